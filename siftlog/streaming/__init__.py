@@ -1,0 +1,5 @@
+"""Nothing here: every search reads finite files once, from start to end.
+
+The row-local parts (``search_entries`` and all of ``siftlog.functions``) are plain column
+expressions and work on a streaming DataFrame of entries as they are.
+"""
