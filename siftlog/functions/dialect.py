@@ -338,11 +338,12 @@ def to_java_regex(pattern: str, case_sensitive: bool = True) -> str:
 def java_compiles(java_pattern: str) -> bool:
     """Whether the JVM accepts the pattern (a driver-side call, no job)."""
     from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     spark = SparkSession.getActiveSession()
     try:
         spark._jvm.java.util.regex.Pattern.compile(java_pattern)
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

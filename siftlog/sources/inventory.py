@@ -79,16 +79,28 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     if status is None:
         return spark.createDataFrame([], FILES_SCHEMA)
     root_uri = status.getPath().toString()
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escape_path(root))
     # the content column is pruned: this only lists
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escape_path(root))
-        .select("path", "length", "modificationTime")
-    )
+    found = reader.select(F.col("path").alias("uri"), "length", F.col("modificationTime").alias("modified"))
+    names = reader._jdf.inputFiles()
+    if len(names) > found.count():  # Spark lists empty files but gives no row for them
+        found = found.unionByName(_empty_files(spark, found, names))
     return found.select(
-        shown_under_root(F.col("path"), root_uri, root).alias("path"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-        F.col("path").alias("uri"),
+        shown_under_root(F.col("uri"), root_uri, root).alias("path"), "length", "modified", "uri",
+    )
+
+
+def _empty_files(spark: SparkSession, found: DataFrame, names) -> DataFrame:
+    every = spark.createDataFrame([(n,) for n in names], "name string").select(
+        F.regexp_replace(decoded_uri(F.col("name")), "^file:/+", "file:/").alias("uri")
+    )
+    rows = []
+    for row in every.join(found, "uri", "left_anti").collect():
+        status = file_status(spark, row.uri)
+        if status is not None:
+            rows.append((row.uri, status.getLen(), status.getModificationTime() / 1000.0))
+    return spark.createDataFrame(rows, "uri string, length bigint, modified double").withColumn(
+        "modified", F.col("modified").cast("timestamp")
     )
 
 

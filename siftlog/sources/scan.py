@@ -54,42 +54,37 @@ def _pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
-def _inflate(data) -> tuple[str | None, bool]:
-    """Why a gzip file cannot be read to its end (or None), and whether its text ends in a newline."""
+def _inflate(data) -> tuple[str | None, bool, int]:
+    """Of a gzip file: why it cannot be read to its end (or None), whether its text ends in a newline, text size."""
     import zlib
 
-    step, at, last, stream = 1 << 20, 0, b"\n", zlib.decompressobj(31)
+    step, at, size, last, stream = 1 << 20, 0, 0, b"\n", zlib.decompressobj(31)
     try:
         while at < len(data):
             chunk = data[at:at + step]
             at += len(chunk)
-            while chunk:
+            while chunk and not stream.eof:
                 text = stream.decompress(chunk, step)
-                last = text[-1:] or last
+                size, last = size + len(text), text[-1:] or last
                 chunk = stream.unconsumed_tail
-                if stream.eof:
-                    at -= len(stream.unused_data)
-                    if not any(data[at:at + step]):  # zero padding after the last member
-                        return None, last == b"\n"
+            if stream.eof:  # another member may follow
+                at -= len(stream.unused_data)
+                if at < len(data):
                     stream = zlib.decompressobj(31)
-                    break
-        if len(data):
-            last = stream.flush()[-1:] or last
-            return "unexpected end of file", last == b"\n"
-        return None, True
+        reason = None if stream.eof or not len(data) else "unexpected end of file"
     except zlib.error as e:
-        return f"corrupt gzip stream: {e}", last == b"\n"
+        reason = f"corrupt gzip stream: {e}"
+    return reason, last == b"\n", size
 
 
 def _inflate_batches(batches):
     import pyarrow as pa
 
     for batch in batches:
-        checked = [_inflate(memoryview(c.as_buffer())) for c in batch.column(1)]
+        reasons, ends, sizes = zip(*(_inflate(memoryview(c.as_buffer())) for c in batch.column(1)), strict=True)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r for r, _ in checked], pa.string()),
-             pa.array([t for _, t in checked], pa.bool_())],
-            names=["uri", "reason", "terminated"],
+            [batch.column(0), pa.array(reasons, pa.string()), pa.array(ends, pa.bool_()), pa.array(sizes, pa.int64())],
+            names=["uri", "reason", "terminated", "size"],
         )
 
 
@@ -282,7 +277,7 @@ def _block_table(lines: DataFrame, gzip_check: DataFrame | None) -> DataFrame:
     missing = F.col("file_size") - F.sum("bytes").over(file)  # one byte short, or two over with a 3-byte mark
     return blocks.select(
         "uri", "block", "n", "n_before", F.col("starts_before"), "first_row", "first_part", "valid",
-        F.sum("n").over(file).alias("file_lines"),
+        F.sum("n").over(file).alias("file_lines"), F.sum("bytes").over(file).alias("file_bytes"),
         F.coalesce(F.max(F.col("head") % 2).over(file) == 1, F.lit(False)).alias("utf16"),
         F.when(F.col("gzip"), ~F.coalesce("terminated", F.lit(True)))
         .otherwise(missing.isin(-1, 2)).alias("unterminated"),
@@ -312,10 +307,22 @@ def _gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load([escape_path(u) for u in uris]).select(
         F.col("_metadata.file_path").alias("uri"), "content"
     )
-    checked = files.mapInArrow(_inflate_batches, "uri string, reason string, terminated boolean")
+    checked = files.mapInArrow(_inflate_batches, "uri string, reason string, terminated boolean, size bigint")
     return written(spark, checked, "gzip")
 
 
+def _failed(gzip_check: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(uri, reason)`` of gzip files: not inflatable, not read to the end by Spark, or not UTF-8."""
+    read = blocks.groupBy("uri").agg(F.max("file_bytes").alias("bytes"), F.bool_and("valid").alias("valid"))
+    # every line counts one byte for its newline; a leading 3-byte mark is not part of the text
+    missing = F.col("size") - F.coalesce("bytes", F.lit(0)) + F.when(F.col("terminated"), 0).otherwise(1)
+    return gzip_check.join(read, "uri", "left").select("uri", F.coalesce(
+        "reason",
+        F.when((F.col("size") > 0) & ~missing.isin(0, 3), F.lit("unreadable bytes after a gzip member")),
+        F.when(~F.col("valid"), F.lit("invalid UTF-8 text")),
+    ).alias("reason")).filter("reason is not null")
+
+
 def _is_gzip(uri: str) -> bool:
     name = uri.rsplit("/", 1)[-1]
     return name.endswith(".gz") and name != ".gz"
@@ -355,10 +362,7 @@ def scan_files(
             marked = blocks.filter("utf16").select(decoded_uri(F.col("uri")).alias("uri")).distinct()
             whole = sorted(r.uri for r in marked.collect())
     if gzip_check is not None:
-        reasons = gzip_check.filter("reason is not null").select("uri", "reason").unionByName(
-            blocks.filter("not valid").select("uri", F.lit("invalid UTF-8 text").alias("reason"))
-        )
-        failed = reasons.groupBy("uri").agg(F.min("reason").alias("reason"))
+        failed = _failed(gzip_check, blocks)
     return FileScan(
         spark=spark, lines=lines, blocks=blocks,
         whole=_whole_texts(spark, whole, declared if declared in WHOLE_FILE_CHARSETS else None) if whole else None,
