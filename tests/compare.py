@@ -10,6 +10,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def connect(sf_dir):
     import duckdb
 
@@ -29,16 +32,18 @@ def differences(spark, db, sf_dir, name, query, sql):
     df = query(spark, sf_dir)
     rows = df.collect()
     took = time.time() - started
+    types = {row[0]: row[1] for row in db.execute(f"DESCRIBE {sql}").fetchall()}
     result = db.execute(sql)
     want_columns = [d[0] for d in result.description]
     want = result.fetchall()
     if sorted(df.columns) != sorted(want_columns):
         return f"columns {sorted(df.columns)} != {sorted(want_columns)}", len(rows), took
+    if types != {c: SQL_TYPES[t] for c, t in df.dtypes}:
+        return f"types {df.dtypes} != {types}", len(rows), took
     got, want = plain(rows, df.columns), plain(want, want_columns)
     if got == want:
         return None, len(rows), took
-    missing = [w for w in want if w not in set(got)][:2]
-    extra = [g for g in got if g not in set(want)][:2]
+    missing, extra = list(set(want) - set(got))[:2], list(set(got) - set(want))[:2]
     return f"rows {len(got)} != {len(want)}; only in SQL {missing}; only in Spark {extra}", len(rows), took
 
 

@@ -23,13 +23,5 @@ def test_query_equals_sql(spark, db, name):
     assert problem is None, problem
 
 
-def test_types_equal_sql(spark, db):
-    same = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
-    for name, sql in oracle_sql().items():
-        got = {c: same[t] for c, t in queries()[name](spark, SF_DIR).dtypes}
-        want = {row[0]: row[1] for row in db.execute(f"DESCRIBE {sql}").fetchall()}
-        assert got == want, name
-
-
 def test_entry(spark):
     assert entry(spark).count() > 0
