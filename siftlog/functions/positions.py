@@ -1,7 +1,7 @@
 """Byte positions of the matches inside an entry, as ARRAY<STRUCT<offset: BIGINT, length: BIGINT>>.
 
 Everything is built-in expressions: the text is ``split`` at the matches and the
-offsets are running sums of the pieces' byte lengths.  Evaluated on hits only.
+offsets add up the pieces' byte lengths.  Evaluated on hits only.
 """
 
 from __future__ import annotations
@@ -25,119 +25,113 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def _no_positions() -> Column:
+    return F.array().cast(POSITIONS_TYPE)
 
 
-def sums_before(numbers: Column) -> Column:
-    """For each element the sum of all earlier ones, in O(n^1.5): sums of sqrt(n) chunks, then inside each."""
+def _positions(items: Column, gap, step, length) -> Column:
+    """Positions of matches that each follow a gap.
 
-    def chunked(a: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(a))).cast("int")
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.ceil(F.size(a) / width).cast("int") - 1),
-            lambda c: F.slice(a, c * width + 1, width),
-        )
-        return _let(chunks, offset_chunks)
+    ``gap(item)`` bytes lie before a match, ``step(item)`` bytes are passed by it, ``length(item)``
+    is reported.  Offsets add up in chunks of sqrt(n) items, so long texts stay far from n * n.
+    Elements are only read, as growing or slicing an array copies it.
+    """
+    zero = F.lit(0).cast("bigint")
 
-    def offset_chunks(chunks: Column) -> Column:
-        return _let(F.transform(chunks, _total), lambda totals: F.flatten(F.transform(
-            chunks,
-            lambda chunk, c: _let(
-                _total(F.slice(totals, 1, c)),
-                lambda base: F.transform(chunk, lambda _, i: base + _total(F.slice(chunk, 1, i))),
-            ),
-        )))
+    def total(values: Column, first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), zero, lambda a, j: a + F.element_at(values, j))
 
-    return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(_let(numbers, chunked))
+    def before(steps: Column, width: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int"))
+        totals = F.transform(chunks, lambda c: total(
+            steps, c * width + 1, F.least((c + 1) * width, F.size(steps))))
+        bases = _let(totals, lambda t: F.transform(
+            t, lambda _, c: F.when(c == 0, zero).otherwise(total(t, F.lit(1), c))))
 
+        def at(base: Column, i: Column) -> Column:
+            chunk = F.floor(i / width).cast("int")
+            inside = F.when(i % width == 0, zero).otherwise(total(steps, chunk * width + 1, i))
+            return F.element_at(base, chunk + 1) + inside
 
-def _no_positions() -> Column:
-    return F.array().cast(POSITIONS_TYPE)
+        return _let(bases, lambda base: F.transform(steps, lambda _, i: at(base, i)))
 
+    def placed(all_items: Column) -> Column:
+        steps = F.transform(all_items, lambda item: gap(item) + step(item))
+        width = F.ceil(F.sqrt(F.size(all_items))).cast("int")
+        sums = _let(steps, lambda s: _let(width, lambda w: before(s, w)))
+        return F.zip_with(all_items, sums, lambda item, at: F.struct(
+            (at + gap(item)).alias("offset"), length(item).alias("length")))
 
-def _plain(content: Column, term: Term) -> Column:
-    hay, needle = content, term.query
-    literal = F.lit(needle)
-    if not term.case_sensitive:
-        hay, literal = F.lower(content), F.lower(literal)
-    # a literal needle is quoted on the JVM side so that both sides are lower-cased alike
-    quoted = F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
-    width = F.octet_length(literal).cast("bigint")
-    lengths = F.transform(F.split(hay, quoted, -1), lambda p: F.octet_length(p).cast("bigint") + width)
+    return _let(items, lambda i: F.when(F.size(i) == 0, _no_positions()).otherwise(placed(i)))
 
-    def build(a: Column) -> Column:
-        return F.transform(
-            F.slice(sums_before(a), 2, F.size(a)),
-            lambda end: F.struct((end - width).alias("offset"), width.alias("length")),
-        )
 
-    return F.when(F.contains(hay, literal), _let(lengths, build)).otherwise(_no_positions())
+def _bytes(text: Column) -> Column:
+    return F.octet_length(text).cast("bigint")
 
 
-def _whole_word(content: Column, term: Term) -> Column:
-    # One character per byte, so that neighbours are judged bytewise and lengths are byte counts.
-    # A zero-width look-ahead finds every start, overlapping ones included.
-    hay, literal = content, F.lit(term.query)
-    if not term.case_sensitive:
-        hay, literal = F.lower(content), F.lower(literal)
+def _between(hay: Column, pattern: Column) -> Column:
+    """The pieces of text before each match."""
+    return _let(F.split(hay, pattern, -1), lambda p: F.slice(p, 1, F.size(p) - 1))
 
-    def as_bytes(text: Column) -> Column:
-        return F.decode(text.cast("binary"), "ISO-8859-1")
 
-    quoted = F.concat(F.lit(r"\Q"), F.replace(as_bytes(literal), F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
-    pattern = F.concat(
-        F.lit(f"(?<!{BYTE_WORD})(?="), quoted, F.lit(f"(?!{BYTE_WORD}))")
-    )
-    width = F.octet_length(literal).cast("bigint")
+def _quoted(literal: Column) -> Column:
+    """A Java pattern for the literal; quoted in the JVM so that both sides are lower-cased alike."""
+    return F.concat(F.lit(r"\Q"), F.replace(literal, F.lit(r"\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
 
-    def build(text: Column) -> Column:
-        return _from_pieces(
-            F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), F.length, lambda _: width, False
-        )
 
-    return F.when(F.contains(hay, literal), _let(as_bytes(hay), build)).otherwise(_no_positions())
+def _folded(content: Column, term: Term) -> tuple[Column, Column]:
+    literal = F.lit(term.query)
+    return (content, literal) if term.case_sensitive else (F.lower(content), F.lower(literal))
 
 
-def _regex(content: Column, pattern: str) -> Column:
-    def build(text: Column) -> Column:
-        return _from_pieces(
-            F.split(text, F.lit(pattern), -1),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            F.octet_length,
-            lambda m: F.octet_length(m).cast("bigint"),
-            True,
-        )
+def _plain(content: Column, term: Term) -> Column:
+    hay, literal = _folded(content, term)
+    width = _bytes(literal)
+    return _positions(_between(hay, _quoted(literal)), _bytes, lambda _: width, lambda _: width)
 
-    return F.when(content.rlike(pattern), _let(content, build)).otherwise(_no_positions())
 
+def _whole_word(content: Column, term: Term) -> Column:
+    # One character per byte, so that neighbours are judged bytewise and lengths are byte counts.
+    # Only the first byte is consumed and the rest looked at, so overlapping words are found too.
+    hay, literal = _folded(content, term)
 
-def _from_pieces(pieces: Column, matches: Column, measure, length_of, drop_touching: bool) -> Column:
-    """Positions from the text between matches and the matches themselves.
+    def as_characters(text: Column) -> Column:
+        return F.decode(text.cast("binary"), "ISO-8859-1")
 
-    ``split`` leaves out an empty match at the very start; the empty piece before it is put back.
-    ``drop_touching`` removes empty matches that touch the end of the match before.
-    """
+    word = as_characters(literal)
+    first, rest = _quoted(F.substring(word, 1, 1)), _quoted(F.substring(word, 2, 1 << 30))
+    pattern = F.concat(
+        first, F.lit(f"(?<!{BYTE_WORD}"), first, F.lit(")(?="), rest, F.lit(f"(?!{BYTE_WORD}))")
+    )
+    width, one = _bytes(literal), F.lit(1).cast("bigint")
+    return _positions(
+        _between(as_characters(hay), pattern),
+        lambda piece: F.length(piece).cast("bigint"), lambda _: one, lambda _: width,
+    )
 
-    def build(both: Column) -> Column:
-        gaps = F.transform(
-            F.when(F.size(both.pieces) == F.size(both.matches), F.concat(F.array(F.lit("")), both.pieces))
-            .otherwise(both.pieces),
-            lambda p: measure(p).cast("bigint"),
-        )
-        widths = F.transform(both.matches, lambda m: measure(m).cast("bigint"))
-        steps = F.zip_with(F.slice(gaps, 1, F.size(widths)), widths, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-        return _let(steps, lambda s: F.zip_with(
-            sums_before(F.transform(s, lambda x: x.g + x.w)), F.zip_with(s, both.matches, lambda x, m: F.struct(
-                x.g.alias("g"), x.w.alias("w"), length_of(m).alias("length"))),
-            lambda before, x: F.struct((before + x.g).alias("offset"), x.length.alias("length"),
-                                       (x.g == 0).alias("touches")),
-        ))
-
-    found = _let(F.struct(pieces.alias("pieces"), matches.alias("matches")), build)
-    if drop_touching:
-        found = F.filter(found, lambda p, i: ~((p.length == 0) & p.touches & (i > 0)))
-    return F.transform(found, lambda p: F.struct(p.offset.alias("offset"), p.length.alias("length")))
+
+def _regex(content: Column, pattern: str) -> Column:
+    regex = F.lit(pattern)
+
+    def found(matches: Column) -> Column:
+        # an empty match at the very start makes no piece; the empty text before it is put back
+        pieces = _let(F.split(content, regex, -1), lambda p: F.when(
+            F.size(p) == F.size(matches), F.concat(F.array(F.lit("")), p)).otherwise(p))
+        steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(
+            _bytes(p).alias("gap"), _bytes(m).alias("width")))
+        positions = _positions(steps, lambda s: s.gap, lambda s: s.width, lambda s: s.width)
+        return F.when(~F.array_contains(matches, ""), positions).otherwise(_without_touching(positions))
+
+    return _let(F.regexp_extract_all(content, regex, F.lit(0)), lambda m: F.when(
+        F.size(m) == 0, _no_positions()).otherwise(found(m)))
+
+
+def _without_touching(positions: Column) -> Column:
+    """An empty match that begins where the match before it ends does not count."""
+    return _let(positions, lambda all_found: F.filter(all_found, lambda p, i: ~(
+        (i > 0) & (p.length == 0)
+        & (p.offset == F.get(all_found, i - 1).offset + F.get(all_found, i - 1).length)
+    )))
 
 
 def term_positions(content: Column, term: Term | str, strict: bool = False) -> Column:
