@@ -14,7 +14,7 @@ from siftlog.functions.dialect import checked_java_regex
 from siftlog.operators.entries import entries_from_lines, entries_from_text
 from siftlog.operators.paging import cap_hits, cap_per_file, files_within_cap, page_bounds, take_page, totals
 from siftlog.plans.report import Step, step_report
-from siftlog.plans.search import Settings, as_hits, entry_condition, search_entries, search_files
+from siftlog.plans.search import Settings, as_hits, entry_condition, filter_entries, search_entries, search_files
 from siftlog.session import new_folder
 from siftlog.sources.inventory import list_files, path_order, select_paths, with_uris
 from siftlog.sources.scan import read_lines
@@ -147,9 +147,7 @@ def extract_timestamps(spark, sf_dir):
 def in_window(regex: str, after: str | None, before: str | None) -> Callable:
     def run(spark, sf_dir):
         window = {"after": after, "before": before, "timestamp_regex": regex}
-        return search_entries(event_entries(spark, sf_dir), time_filter=window).select(
-            "file_path", "start_line", "end_line", "content"
-        )
+        return filter_entries(event_entries(spark, sf_dir), time_filter=window)
 
     return run
 
@@ -166,7 +164,7 @@ def hits_without_content(spark, sf_dir):
 
 
 def error_hits(spark, sf_dir):
-    return search_entries(event_entries(spark, sf_dir), must=["error"]).drop("match_positions")
+    return filter_entries(event_entries(spark, sf_dir), must=["error"])
 
 
 def capped_per_file(spark, sf_dir):
@@ -239,10 +237,10 @@ def search_end_to_end(spark, sf_dir):
 
 def search_events_end_to_end(spark, sf_dir):
     window = {"start_time": "2024-01-03 12:00:00", "end_time": "2024-01-25 00:00:00", "timestamp_regex": SECONDS}
-    hits = search_entries(event_entries(spark, sf_dir), must=["e"], any=["error", "view"], none=['"k": 1'], time_filter=window)
-    capped = cap_hits(hits, 150)
+    query = LogicalQuery.of(must=["e"], any=["error", "view"], none=['"k": 1'])
+    found = filter_entries(event_entries(spark, sf_dir), query, window)
     skip, size = page_bounds(2, 40, 10, 100)
-    return flat_hits(take_page(capped, skip, size))
+    return flat_hits(as_hits(take_page(cap_hits(found, 150), skip, size), query))
 
 
 def files_result(spark, sf_dir, kind="plain", **request):

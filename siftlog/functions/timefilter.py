@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,26 +15,24 @@ from siftlog.errors import InvalidPattern
 from siftlog.functions.dialect import checked_java_regex, ignores_final_newline
 
 # The accepted timestamp shapes and the accepted names of the two bounds.
-_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(\.\d+)?$"
-_ZONED = r"^\d{4}-\d{2}-\d{2}[ Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+_NAIVE = r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?"
+_ZONED = r"\d{4}-\d{2}-\d{2}[ Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})"
 START_NAMES = ("time_start", "start_time", "startTime", "after")
 END_NAMES = ("time_end", "end_time", "endTime", "before")
 
 
 def parse_timestamp(text: Column) -> Column:
-    """TIMESTAMP of an accepted shape, else NULL. Text without an offset is UTC, whatever the session zone."""
-    no_newline = ~F.contains(text, F.lit("\n"))
-    zoned = text.rlike(_ZONED) & no_newline
-    naive = text.rlike(_SHAPE) & no_newline
-    return (
-        F.when(zoned, F.upper(text).try_cast("timestamp"))
-        .when(naive, F.concat(text, F.lit("Z")).try_cast("timestamp"))
-        .otherwise(F.lit(None).cast("timestamp"))
-    )
+    """TIMESTAMP of an accepted shape, else NULL. Text without an offset is UTC, whatever the session zone.
+
+    A chain that uses ``text`` once: a filter evaluates each mention of its input again.
+    """
+    accepted = F.regexp_extract(text, rf"\A(?:{_NAIVE}|{_ZONED})\z", 0)
+    zoned = F.regexp_replace(accepted, r"\A([0-9-]+[ Tt][0-9:.]+)\z", "$1Z")
+    return F.upper(zoned).try_cast("timestamp")
 
 
 def extract_timestamp(content: Column, java_pattern: str) -> Column:
-    return parse_timestamp(F.regexp_substr(content, F.lit(java_pattern)))
+    return parse_timestamp(F.regexp_extract(content, java_pattern, 0))
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class TimeFilter:
         """The range condition, or ``None`` where nothing is filtered (no bounds, no usable regex)."""
         if strict:
             for bound in (self.start, self.end):
-                if bound is not None and not (re.match(_ZONED, bound) or re.match(_SHAPE, bound)):
+                if bound is not None and not re.fullmatch(f"{_NAIVE}|{_ZONED}", bound):
                     raise ValueError(f"not a timestamp: {bound!r}")
         if self.timestamp_regex is None or (self.start is None and self.end is None):
             return None
@@ -73,12 +73,9 @@ class TimeFilter:
                 raise
             return None
         stamp = extract_timestamp(content, pattern)
-        low, high = (parse_timestamp(F.lit(b).cast("string")) for b in (self.start, self.end))
-        if self.start is None:
-            in_range = stamp <= high
-        elif self.end is None:
-            in_range = stamp >= low
-        else:
-            # coalesce bounds so that an unreadable one does not limit anything
-            in_range = stamp.between(F.coalesce(low, stamp), F.coalesce(high, stamp))
-        return F.coalesce(in_range, F.lit(True))
+        conditions = []
+        if self.start is not None:
+            conditions.append(F.coalesce(stamp >= parse_timestamp(F.lit(self.start)), F.lit(True)))
+        if self.end is not None:
+            conditions.append(F.coalesce(stamp <= parse_timestamp(F.lit(self.end)), F.lit(True)))
+        return reduce(and_, conditions)

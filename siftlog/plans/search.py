@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -13,6 +14,7 @@ from siftlog.functions.positions import match_positions
 from siftlog.functions.terms import LogicalQuery
 from siftlog.functions.timefilter import TimeFilter
 from siftlog.operators.paging import cap_hits, page_bounds, take_page, totals, without_content
+from siftlog.session import written
 from siftlog.sources.inventory import (
     display_path,
     file_status,
@@ -23,6 +25,7 @@ from siftlog.sources.inventory import (
 )
 from siftlog.sources.scan import FileScan, scan_files
 
+LOCAL_LISTING = 10_000  # longest file list that plans carry themselves
 HIT_COLUMNS = ["file_path", "start_line", "end_line", "content", "match_positions"]
 
 
@@ -104,6 +107,19 @@ def entry_condition(
     return keep
 
 
+def filter_entries(
+    entries: DataFrame,
+    query: LogicalQuery | Mapping | None = None,
+    time_filter: TimeFilter | Mapping | None = None,
+    default_timestamp_regex: str | None = None,
+    strict: bool = False,
+    **terms,
+) -> DataFrame:
+    """The entries that a search would hit: one filter, nothing is shuffled."""
+    stamp = TimeFilter.of(time_filter, default_timestamp_regex)
+    return entries.filter(entry_condition(LogicalQuery.of(query, **terms), stamp, strict)(F.col("content")))
+
+
 def search_entries(
     entries: DataFrame,
     query: LogicalQuery | Mapping | None = None,
@@ -113,10 +129,12 @@ def search_entries(
     strict: bool = False,
     **terms,
 ) -> DataFrame:
-    """Hits of an entry table: a filter and a projection, nothing is shuffled."""
+    """Hits of an entry table: a filter and a projection, nothing is shuffled.
+
+    To cap or page hits, do that to ``filter_entries`` and call ``as_hits`` on what is left.
+    """
     query = LogicalQuery.of(query, **terms)
-    stamp = TimeFilter.of(time_filter, default_timestamp_regex)
-    kept = entries.filter(entry_condition(query, stamp, strict)(F.col("content")))
+    kept = filter_entries(entries, query, time_filter, default_timestamp_regex, strict)
     return as_hits(kept, query, include_content, strict)
 
 
@@ -155,49 +173,62 @@ def search_files(
     files = with_uris(
         spark, request.root_path, request.include_globs, request.exclude_globs, settings.log_file_paths
     )
-    scan = open_scan(spark, files, request.root_path, pattern, request.charset)
+    # Spark's own file index keeps these addresses on the driver too
+    names = [(i, r.path, r.uri) for i, r in enumerate(files.select("path", "uri").collect())]
+    if request.root_path:
+        names.sort(key=lambda n: n[1].split("/"))
+    scan = open_scan(spark, names, request.root_path, pattern, request.charset)
     keep = entry_condition(query, stamp, strict)
-    entries = scan.entries(keep, query.ignores_final_newline and stamp.ignores_final_newline)
-    hits = as_hits(entries, query, request.include_content, strict)
+    found = scan.entries(keep, query.ignores_final_newline and stamp.ignores_final_newline)
 
-    listed, file, order = files.select("path"), ["file_path"], None
+    listed, file, order = _listing(spark, names), ["file_path"], None
+    first = F.lit(False) if not names else F.col("file_path") == names[0][1]
     if not request.root_path:  # read as given: in that order, repeats again
-        given = [(i, r.path) for i, r in enumerate(listed.collect())]
-        listed = spark.createDataFrame(given, "place bigint, path string")
-        hits = hits.join(listed.withColumnRenamed("path", "file_path"), "file_path")
+        found = found.join(listed.withColumnRenamed("path", "file_path"), "file_path")
         file, order = ["place", "file_path"], F.col("place")
-    first = None
-    if request.max_hits is not None and request.max_hits <= 0:
-        row = listed.first()
-        first = F.lit(False) if row is None else F.col("file_path") == row.path
-        first = first if row is None or order is None else first & (F.col("place") == 0)
-    capped = cap_hits(hits, request.max_hits, file, order, first)
+        first = first & (F.col("place") == 0)
+    capped = cap_hits(found, request.max_hits, file, order, first)
     skip, size = page_bounds(request.page, request.page_size, settings.default_page_size, settings.max_page_size)
-    page = take_page(capped, skip, size, order).select(*HIT_COLUMNS)
     summary = totals(capped, request.page, size).withColumn(
         "files_scanned", _files_scanned(listed, capped, request.max_hits, order).scalar()
     )
-    return SearchResult(page, summary, scan.failed_files(), capped.select(*HIT_COLUMNS))
+
+    def hits(entries: DataFrame) -> DataFrame:  # positions last: only for what is shown
+        return as_hits(entries, query, request.include_content, strict)
+
+    return SearchResult(hits(take_page(capped, skip, size, order)), summary, scan.failed_files(), hits(capped))
+
+
+def _listing(spark: SparkSession, names: list[tuple[int, str, str]]) -> DataFrame:
+    """``(place, path)`` of the files; a long list goes to a table instead of into every plan."""
+    listed = spark.createDataFrame([(i, path) for i, path, _ in names], "place bigint, path string")
+    return listed if len(names) <= LOCAL_LISTING else written(spark, listed, "files")
 
 
 def open_scan(
-    spark: SparkSession, files: DataFrame, root: str = "", pattern: str | None = None, charset: str = "auto"
+    spark: SparkSession, files: DataFrame | list, root: str = "", pattern: str | None = None, charset: str = "auto"
 ) -> FileScan:
-    """A scan whose paths read as in the listing."""
-    show, shown = display_path, {}
+    """A scan whose paths read as in the listing ``files(path, uri)``."""
+    if isinstance(files, DataFrame):
+        files = [(0, r.path, r.uri) for r in files.select("path", "uri").collect()]
+    root_uri = None
     if root:
         status = file_status(spark, root)
-        if status is not None:
-            root_uri = status.getPath().toString()
-            inside = root_uri.rstrip("/") + "/"
-
-            def show(uri: Column) -> Column:
-                walked = uri.startswith(inside) | (uri == root_uri)
-                return F.when(walked, shown_under_root(uri, root_uri, root)).otherwise(display_path(uri))
-
-    odd = files.filter(F.col("path") != show(F.col("uri"))).select("uri", "path").distinct()
-    shown = {r.uri: r.path for r in odd.collect()}
-    return scan_files(spark, files, pattern, charset, show, shown)
+        root_uri = None if status is None else status.getPath().toString()
+
+    def show(uri: Column) -> Column:
+        if root_uri is None:
+            return display_path(uri)
+        walked = uri.startswith(root_uri.rstrip("/") + "/") | (uri == root_uri)
+        return F.when(walked, shown_under_root(uri, root_uri, root)).otherwise(display_path(uri))
+
+    # explicit paths may be spelled in their own way
+    inside = None if root_uri is None else root_uri.rstrip("/") + "/"
+    odd = {
+        uri: path for _, path, uri in files
+        if not (inside and uri.startswith(inside)) and path != re.sub("^file:/+", "/", uri) and uri != root_uri
+    }
+    return scan_files(spark, sorted({uri for _, _, uri in files}), pattern, charset, show, odd)
 
 
 def _files_scanned(listed: DataFrame, capped: DataFrame, max_hits: int | None, order: Column | None) -> DataFrame:

@@ -128,17 +128,19 @@ def list_files(
     Without a root the explicit paths come back as given and globs play no part.  With one, the
     walked files that pass the globs join them, without repeats, in path order.
     """
-    return with_uris(spark, root, include, exclude, paths).drop("uri")
+    files = with_uris(spark, root, include, exclude, paths).drop("uri")
+    return files.orderBy(path_order("path")) if root else files
 
 
 def with_uris(spark, root="", include=(), exclude=(), paths=()) -> DataFrame:
+    """``files(path, length, modified, uri)``, not in order where there is a root."""
     given = explicit(spark, paths) if paths else None
     if not root:
         return given if given is not None else spark.createDataFrame([], FILES_SCHEMA)
     listed = select_paths(walk(spark, root), "path", include, exclude)
     if given is not None:
         listed = given.unionByName(listed).dropDuplicates(["path"])
-    return listed.orderBy(path_order("path"))
+    return listed
 
 
 def require_directory(spark: SparkSession, root: str) -> None:

@@ -330,13 +330,13 @@ def _is_gzip(uri: str) -> bool:
 
 def scan_files(
     spark: SparkSession,
-    files: DataFrame,
+    uris: Sequence[str],
     start_pattern: str | None = None,
     charset: str = "auto",
     show: Callable[[Column], Column] = display_path,
     shown: dict[str, str] | None = None,
 ) -> FileScan:
-    """Prepare ``files(uri, ...)`` for searching; runs the counting pass.
+    """Prepare the files at ``uris`` for searching; runs the counting pass.
 
     ``charset`` "auto" is UTF-8 (undecodable bytes become U+FFFD) unless a file starts with a
     UTF-16 byte order mark; any other name is used for all files without such a mark.
@@ -344,8 +344,6 @@ def scan_files(
     _pin_splits(spark)
     declared = None if charset.lower() in ("auto", "utf-8", "utf8") else charset.upper()
     java = start_regex(start_pattern)
-    # Spark's own file index keeps these addresses on the driver too
-    uris = sorted({r.uri for r in files.select("uri").collect()})
     zipped = [u for u in uris if _is_gzip(u)]
     plain = [u for u in uris if not _is_gzip(u)]
     whole = plain if declared in WHOLE_FILE_CHARSETS else []
@@ -372,6 +370,7 @@ def scan_files(
 
 def read_lines(spark: SparkSession, files: DataFrame, charset: str = "auto", **names) -> DataFrame:
     """``lines(file_path, line_no, line)`` of all readable files; a line keeps its newline."""
-    return scan_files(spark, files, None, charset, **names).entries().select(
+    uris = sorted({r.uri for r in files.select("uri").collect()})  # Spark's file index has them on the driver too
+    return scan_files(spark, uris, None, charset, **names).entries().select(
         "file_path", F.col("start_line").alias("line_no"), F.col("content").alias("line")
     )
