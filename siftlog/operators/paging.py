@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlog.operators.entries import LINES_PER_BLOCK
-from siftlog.operators.running import running_total
+from siftlog.operators.running import block_starts, running_total
 from siftlog.sources.inventory import path_order
 
+TOP_K_ROWS = 100_000  # pages that end within so many rows are taken as a top-k
+
 
 def without_content(hits: DataFrame) -> DataFrame:
     """The same hits with an empty text, positions kept."""
@@ -82,16 +84,54 @@ def page_bounds(page: int, page_size: int, default_page_size: int, max_page_size
 
 
 def take_page(hits: DataFrame, skip: int, size: int, order: Column | None = None) -> DataFrame:
-    """One page in file and line order; empty past the end. Runs as a top-k, without a full sort."""
+    """One page in file and line order; empty past the end.
+
+    A top-k without a full sort.  Every task of it holds ``skip + size`` rows, so far pages are
+    located by counts first.
+    """
     order = path_order("file_path") if order is None else order
+    if skip + size > TOP_K_ROWS:
+        hits, skip = _from_page_files(hits, skip, size, order)
     return hits.orderBy(order, "start_line").offset(skip).limit(size)
 
 
-def totals(hits: DataFrame, page: int, size: int) -> DataFrame:
-    """One row: hits after caps and before paging, and the number of pages."""
-    return hits.agg(F.count(F.lit(1)).alias("total_hits")).select(
+def _from_page_files(hits: DataFrame, skip: int, size: int, order: Column) -> tuple[DataFrame, int]:
+    """Hits of the page alone, found by counting hits per file and per block of lines.
+
+    The running sum over files sees one row per file, the one over blocks runs per file.
+    """
+    file = ["file_path"] + (["place"] if "place" in hits.columns else [])
+    blocked = hits.withColumn("_block", F.floor(F.col("start_line") / LINES_PER_BLOCK))
+    counts = blocked.groupBy(*file, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier_files = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    files = counts.groupBy(*file).agg(F.sum("_n").alias("_file_n")).withColumn("_order", order).withColumn(
+        "_file_before", F.coalesce(F.sum("_file_n").over(earlier_files), F.lit(0))
+    )
+    on_page = (F.col("_file_before") < skip + size) & (F.col("_file_before") + F.col("_file_n") > skip)
+    blocks = block_starts(
+        counts.join(files.filter(on_page).select(*file, "_file_before"), file), file, "_block", ["_n"]
+    ).withColumn("_before", F.col("_file_before") + F.col("_n_before"))
+    needed = blocks.filter(
+        (F.col("_before") < skip + size) & (F.col("_before") + F.col("_n") > skip)
+    ).select(*file, "_block", "_before")
+    in_block = Window.partitionBy(*file, "_block").orderBy("start_line")
+    placed = blocked.join(needed, [*file, "_block"]).withColumn(
+        "_at", F.col("_before") + F.row_number().over(in_block)
+    )
+    return placed.filter(F.col("_at").between(skip + 1, skip + size)).select(*hits.columns), 0
+
+
+def page_totals(counted: DataFrame, page: int, size: int, *keep: str) -> DataFrame:
+    """``total_hits`` with the page that was asked for and the number of pages."""
+    return counted.select(
         "total_hits",
         F.lit(max(page, 1)).alias("page"),
         F.lit(size).alias("page_size"),
         F.ceil(F.col("total_hits") / size).cast("bigint").alias("total_pages"),
+        *keep,
     )
+
+
+def totals(hits: DataFrame, page: int, size: int) -> DataFrame:
+    """One row: hits after caps and before paging, and the number of pages."""
+    return page_totals(hits.agg(F.count(F.lit(1)).alias("total_hits")), page, size)

@@ -13,12 +13,11 @@ from siftlog.errors import ConfigError, InvalidRequest
 from siftlog.functions.positions import match_positions
 from siftlog.functions.terms import LogicalQuery
 from siftlog.functions.timefilter import TimeFilter
-from siftlog.operators.paging import cap_hits, page_bounds, take_page, totals, without_content
+from siftlog.operators.paging import cap_hits, files_within_cap, page_bounds, page_totals, take_page, without_content
 from siftlog.session import written
 from siftlog.sources.inventory import (
     display_path,
     file_status,
-    path_order,
     require_directory,
     shown_under_root,
     with_uris,
@@ -174,9 +173,10 @@ def search_files(
         spark, request.root_path, request.include_globs, request.exclude_globs, settings.log_file_paths
     )
     # Spark's own file index keeps these addresses on the driver too
-    names = [(i, r.path, r.uri) for i, r in enumerate(files.select("path", "uri").collect())]
+    pairs = [(r.path, r.uri) for r in files.select("path", "uri").collect()]
     if request.root_path:
-        names.sort(key=lambda n: n[1].split("/"))
+        pairs.sort(key=lambda p: p[0].split("/"))
+    names = [(i, path, uri) for i, (path, uri) in enumerate(pairs)]
     scan = open_scan(spark, names, request.root_path, pattern, request.charset)
     keep = entry_condition(query, stamp, strict)
     found = scan.entries(keep, query.ignores_final_newline and stamp.ignores_final_newline)
@@ -189,9 +189,8 @@ def search_files(
         first = first & (F.col("place") == 0)
     capped = cap_hits(found, request.max_hits, file, order, first)
     skip, size = page_bounds(request.page, request.page_size, settings.default_page_size, settings.max_page_size)
-    summary = totals(capped, request.page, size).withColumn(
-        "files_scanned", _files_scanned(listed, capped, request.max_hits, order).scalar()
-    )
+    counted = _counted(found, capped, request.max_hits, listed, len(names), file, order)
+    summary = page_totals(counted, request.page, size, "files_scanned")
 
     def hits(entries: DataFrame) -> DataFrame:  # positions last: only for what is shown
         return as_hits(entries, query, request.include_content, strict)
@@ -231,14 +230,21 @@ def open_scan(
     return scan_files(spark, sorted({uri for _, _, uri in files}), pattern, charset, show, odd)
 
 
-def _files_scanned(listed: DataFrame, capped: DataFrame, max_hits: int | None, order: Column | None) -> DataFrame:
-    """One value: listed files up to the one where the cap stops the search, unreadable ones included."""
-    count = F.count(F.lit(1)).alias("files_scanned")
+def _counted(
+    found: DataFrame, capped: DataFrame, max_hits: int | None, listed: DataFrame, files: int,
+    file: list[str], order: Column | None,
+) -> DataFrame:
+    """One row: hits after caps, and files read until the cap stops the search, unreadable ones included."""
+    total, every = F.count(F.lit(1)).alias("total_hits"), F.lit(files).cast("bigint").alias("files_scanned")
     if max_hits is None:
-        return listed.agg(count)
+        return found.agg(total).select("total_hits", every)
     if max_hits <= 0:
-        return listed.limit(1).agg(count)
-    of_hit, of_file = (path_order("file_path"), path_order("path")) if order is None else (order, order)
-    hits = capped.agg(F.count(F.lit(1))).scalar()
-    last = capped.agg(F.max(of_hit)).scalar()
-    return listed.filter((hits < max_hits) | (of_file <= last)).agg(count)
+        return capped.agg(total).select("total_hits", F.least(every, F.lit(1).cast("bigint")).alias("files_scanned"))
+    # the per-file counts tell it all; no hit is ranked for a total
+    reached = files_within_cap(found, max_hits, file, order)
+    if "place" not in file:
+        reached = reached.join(listed.withColumnRenamed("path", "file_path"), "file_path")
+    return reached.agg(
+        F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("total_hits"), F.max("place").alias("last")
+    ).select("total_hits", F.when(F.col("total_hits") < max_hits, every).otherwise(
+        F.col("last") + 1).alias("files_scanned"))

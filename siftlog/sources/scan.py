@@ -24,6 +24,9 @@ from siftlog.session import written
 from siftlog.sources.inventory import decoded_uri, display_path, escape_path
 
 WHOLE_FILE_CHARSETS = ("UTF-16", "UTF-16LE", "UTF-16BE")  # "\n" is not one byte: cannot be split by bytes
+BROADCAST_BLOCKS = 500_000  # about 100 MB; a longer table is joined as Spark sees fit
+PLACE_COLUMNS = ["uri", "block", "n", "n_before", "starts_before", "first_row", "first_part", "file_lines", "utf16",
+                 "unterminated"]
 _ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 
 Keep = Callable[[Column], Column]
@@ -152,7 +155,7 @@ class FileScan:
 
     spark: SparkSession
     lines: DataFrame | None  # uri, block, row, part, at_end, text (with "\n"), is_start
-    blocks: DataFrame | None  # one row per (uri, block): where its lines and entries begin
+    places: DataFrame | None  # one row per (uri, block): where its lines and entries begin
     whole: DataFrame | None  # uri, text: files that are read in one piece
     failed: DataFrame | None  # uri, reason
     start_pattern: str | None
@@ -188,7 +191,7 @@ class FileScan:
         return self.failed.select(self.path_of(F.col("uri")).alias("file_path"), "reason")
 
     def _placed(self, df: DataFrame) -> DataFrame:
-        found = df.join(self.blocks, ["uri", "block"], "left")
+        found = df.join(self.places, ["uri", "block"], "left")
         return found.filter(F.coalesce(~F.col("utf16"), F.lit(True)))
 
     def _single(self, keep: Keep | None, tail_safe: bool) -> DataFrame:
@@ -351,18 +354,21 @@ def scan_files(
 
     gzip_check = _gzip_check(spark, zipped) if zipped else None
     parts = [_text_rows(spark, group, gz, declared) for group, gz in ((split, False), (zipped, True)) if group]
-    lines = blocks = failed = None
+    lines = places = failed = None
     if parts:
         lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         lines = lines.withColumn("is_start", F.lit(False) if java is None else F.col("text").rlike(java))
         blocks = written(spark, _block_table(lines, gzip_check), "blocks")
+        places = blocks.select(*PLACE_COLUMNS)
+        if blocks.count() <= BROADCAST_BLOCKS:
+            places = F.broadcast(places)
         if split:
             marked = blocks.filter("utf16").select(decoded_uri(F.col("uri")).alias("uri")).distinct()
             whole = sorted(r.uri for r in marked.collect())
     if gzip_check is not None:
         failed = _failed(gzip_check, blocks)
     return FileScan(
-        spark=spark, lines=lines, blocks=blocks,
+        spark=spark, lines=lines, places=places,
         whole=_whole_texts(spark, whole, declared if declared in WHOLE_FILE_CHARSETS else None) if whole else None,
         failed=failed, start_pattern=start_pattern, shown=shown or {}, show=show,
     )

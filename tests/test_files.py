@@ -297,3 +297,31 @@ def test_text_scan_is_not_shuffled(spark, tmp_path):
     df = scan.entries(lambda c: F.contains(c, F.lit("error")), True)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan, plan
+
+
+def test_far_pages_equal_near_ones(spark, monkeypatch):
+    from siftlog.operators import paging
+
+    rnd = random.Random(2)
+    rows = [(f"d/{k % 5}-{k % 3}/f{k}.log", n) for k in range(30) for n in rnd.sample(range(1, 400), rnd.choice([0, 3, 40]))]
+    hits = spark.createDataFrame(rows, "file_path string, start_line bigint")
+    every = sorted(rows, key=lambda r: (r[0].split("/"), r[1]))
+    monkeypatch.setattr(paging, "TOP_K_ROWS", 0)
+    monkeypatch.setattr(paging, "LINES_PER_BLOCK", 50)
+    for skip, size in ((0, 7), (113, 50), (len(rows) - 3, 10), (len(rows), 5)):
+        got = [tuple(r) for r in paging.take_page(hits, skip, size).collect()]
+        assert got == every[skip:skip + size]
+
+
+def test_one_hot_file(spark, monkeypatch):
+    from siftlog import cap_per_file, entries_from_lines
+
+    rows = [("hot", n, f"{'>' if n % 7 == 0 else ''}{n}\n") for n in range(1, 3001)] + [("cold", 1, "x\n")]
+    random.Random(4).shuffle(rows)
+    lines = spark.createDataFrame(rows, "file_path string, line_no bigint, line string")
+    entries = entries_from_lines(lines, "^>", lines_per_block=10)
+    got = sorted((r.file_path, r.start_line, r.end_line, r.content) for r in entries.collect())
+    text = "".join(r[2] for r in sorted(rows[:], key=lambda r: r[1]) if r[0] == "hot")
+    assert got == [("cold", 1, 1, "x\n")] + sorted(("hot", *e) for e in model(text, "^>"))
+    first = cap_per_file(entries, 25, lines_per_block=16).orderBy("file_path", "start_line").collect()
+    assert [r.start_line for r in first if r.file_path == "hot"] == [e[0] for e in model(text, "^>")[:25]]
