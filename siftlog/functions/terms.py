@@ -52,7 +52,12 @@ class Term:
                 raise
             return None
 
-    def matches(self, content: Column, strict: bool = False) -> Column:
+    @property
+    def reads_lower_case(self) -> bool:
+        return self.query is not None and not (self.regex or self.whole_word or self.case_sensitive)
+
+    def matches(self, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
+        """Whether ``content`` satisfies the term; ``lower`` is its lower-case form where that is at hand."""
         if self.query is None:
             return F.lit(True)
         if self.regex or self.whole_word:
@@ -60,7 +65,7 @@ class Term:
             return F.lit(False) if pattern is None else content.rlike(pattern)
         if self.case_sensitive:
             return F.contains(content, F.lit(self.query))
-        return F.contains(F.lower(content), F.lower(F.lit(self.query)))
+        return F.contains(F.lower(content) if lower is None else lower, F.lower(F.lit(self.query)))
 
     @property
     def ignores_final_newline(self) -> bool:
@@ -95,24 +100,32 @@ class LogicalQuery:
         return all(t.ignores_final_newline for t in self.terms)
 
     def matches(self, content: Column, strict: bool = False) -> Column:
-        return match_all(self.must, content, strict) & match_any(self.any, content, strict) & match_none(
-            self.none, content, strict
-        )
+        def holds(lower: Column | None = None) -> Column:
+            return (
+                match_all(self.must, content, strict, lower)
+                & match_any(self.any, content, strict, lower)
+                & match_none(self.none, content, strict, lower)
+            )
+
+        if sum(t.reads_lower_case for t in self.terms) < 2:
+            return holds()
+        # a filter evaluates each mention anew, so several terms share one lower-casing of the text
+        return F.exists(F.array(F.lower(content)), holds)
 
 
 def _cheap_first(terms) -> list[Term]:
     return sorted(map(Term.of, terms), key=lambda t: t.regex or t.whole_word)
 
 
-def match_all(terms, content: Column, strict: bool = False) -> Column:
-    return reduce(and_, [t.matches(content, strict) for t in _cheap_first(terms)], F.lit(True))
+def match_all(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
+    return reduce(and_, [t.matches(content, strict, lower) for t in _cheap_first(terms)], F.lit(True))
 
 
-def match_any(terms, content: Column, strict: bool = False) -> Column:
-    columns = [t.matches(content, strict) for t in _cheap_first(terms)]
+def match_any(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
+    columns = [t.matches(content, strict, lower) for t in _cheap_first(terms)]
     return reduce(or_, columns) if columns else F.lit(True)
 
 
-def match_none(terms, content: Column, strict: bool = False) -> Column:
-    columns = [t.matches(content, strict) for t in _cheap_first(terms)]
+def match_none(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
+    columns = [t.matches(content, strict, lower) for t in _cheap_first(terms)]
     return ~reduce(or_, columns) if columns else F.lit(True)

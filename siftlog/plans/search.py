@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from siftlog.errors import ConfigError, InvalidRequest
@@ -173,16 +173,15 @@ def search_files(
         spark, request.root_path, request.include_globs, request.exclude_globs, settings.log_file_paths
     )
     # Spark's own file index keeps these addresses on the driver too
-    pairs = [(r.path, r.uri) for r in files.select("path", "uri").collect()]
+    names = files.select("path", "uri", "length").collect()
     if request.root_path:
-        pairs.sort(key=lambda p: p[0].split("/"))
-    names = [(i, path, uri) for i, (path, uri) in enumerate(pairs)]
+        names.sort(key=lambda n: n.path.split("/"))
     scan = open_scan(spark, names, request.root_path, pattern, request.charset)
     keep = entry_condition(query, stamp, strict)
     found = scan.entries(keep, query.ignores_final_newline and stamp.ignores_final_newline)
 
     listed, file, order = _listing(spark, names), ["file_path"], None
-    first = F.lit(False) if not names else F.col("file_path") == names[0][1]
+    first = F.lit(False) if not names else F.col("file_path") == names[0].path
     if not request.root_path:  # read as given: in that order, repeats again
         found = found.join(listed.withColumnRenamed("path", "file_path"), "file_path")
         file, order = ["place", "file_path"], F.col("place")
@@ -198,18 +197,18 @@ def search_files(
     return SearchResult(hits(take_page(capped, skip, size, order)), summary, scan.failed_files(), hits(capped))
 
 
-def _listing(spark: SparkSession, names: list[tuple[int, str, str]]) -> DataFrame:
+def _listing(spark: SparkSession, names: list[Row]) -> DataFrame:
     """``(place, path)`` of the files; a long list goes to a table instead of into every plan."""
-    listed = spark.createDataFrame([(i, path) for i, path, _ in names], "place bigint, path string")
+    listed = spark.createDataFrame([(i, n.path) for i, n in enumerate(names)], "place bigint, path string")
     return listed if len(names) <= LOCAL_LISTING else written(spark, listed, "files")
 
 
 def open_scan(
-    spark: SparkSession, files: DataFrame | list, root: str = "", pattern: str | None = None, charset: str = "auto"
+    spark: SparkSession, files: DataFrame | list[Row], root: str = "", pattern: str | None = None, charset: str = "auto"
 ) -> FileScan:
-    """A scan whose paths read as in the listing ``files(path, uri)``."""
+    """A scan whose paths read as in the listing ``files(path, uri, length)``."""
     if isinstance(files, DataFrame):
-        files = [(0, r.path, r.uri) for r in files.select("path", "uri").collect()]
+        files = files.select("path", "uri", "length").collect()
     root_uri = None
     if root:
         status = file_status(spark, root)
@@ -224,10 +223,10 @@ def open_scan(
     # explicit paths may be spelled in their own way
     inside = None if root_uri is None else root_uri.rstrip("/") + "/"
     odd = {
-        uri: path for _, path, uri in files
-        if not (inside and uri.startswith(inside)) and path != re.sub("^file:/+", "/", uri) and uri != root_uri
+        f.uri: f.path for f in files
+        if not (inside and f.uri.startswith(inside)) and f.path != re.sub("^file:/+", "/", f.uri) and f.uri != root_uri
     }
-    return scan_files(spark, sorted({uri for _, _, uri in files}), pattern, charset, show, odd)
+    return scan_files(spark, [(f.uri, f.length) for f in files], pattern, charset, show, odd)
 
 
 def _counted(

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from siftlog.session import written
 from siftlog.sources.inventory import decoded_uri, display_path, escape_path
 
 WHOLE_FILE_CHARSETS = ("UTF-16", "UTF-16LE", "UTF-16BE")  # "\n" is not one byte: cannot be split by bytes
+MAX_ROW_BYTES = (1 << 31) - 1  # of a file read as one row
 BROADCAST_BLOCKS = 500_000  # about 100 MB; a longer table is joined as Spark sees fit
 PLACE_COLUMNS = ["uri", "block", "n", "n_before", "starts_before", "first_row", "first_part", "file_lines", "utf16",
                  "unterminated"]
@@ -231,9 +233,11 @@ class FileScan:
         return entries if keep is None else entries.filter(keep(F.col("content")))
 
 
-def _text_rows(spark: SparkSession, uris: Sequence[str], gzip: bool, charset: str | None) -> DataFrame:
+def _text_rows(
+    spark: SparkSession, uris: Sequence[str], gzip: bool, tolerant: bool, charset: str | None
+) -> DataFrame:
     reader = spark.read.option("lineSep", "\n")
-    if gzip:  # what cannot be inflated is reported by its own check
+    if tolerant:  # what cannot be inflated is reported by its own check
         reader = reader.option("ignoreCorruptFiles", "true")
     df = reader.text([escape_path(u) for u in uris]).select(
         "value",
@@ -307,11 +311,13 @@ def _whole_texts(spark: SparkSession, uris: Sequence[str], charset: str | None)
 
 def _gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     """One row per gzip file: can it be inflated to the end, and does its text end in a newline."""
+    schema = "uri string, reason string, terminated boolean, size bigint"
+    if not uris:
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load([escape_path(u) for u in uris]).select(
         F.col("_metadata.file_path").alias("uri"), "content"
     )
-    checked = files.mapInArrow(_inflate_batches, "uri string, reason string, terminated boolean, size bigint")
-    return written(spark, checked, "gzip")
+    return written(spark, files.mapInArrow(_inflate_batches, schema), "gzip")
 
 
 def _failed(gzip_check: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -319,7 +325,7 @@ def _failed(gzip_check: DataFrame, blocks: DataFrame) -> DataFrame:
     read = blocks.groupBy("uri").agg(F.max("file_bytes").alias("bytes"), F.bool_and("valid").alias("valid"))
     # every line counts one byte for its newline; a leading 3-byte mark is not part of the text
     missing = F.col("size") - F.coalesce("bytes", F.lit(0)) + F.when(F.col("terminated"), 0).otherwise(1)
-    return gzip_check.join(read, "uri", "left").select("uri", F.coalesce(
+    return gzip_check.join(read, "uri", "full").select("uri", F.coalesce(
         "reason",
         F.when((F.col("size") > 0) & ~missing.isin(0, 3), F.lit("unreadable bytes after a gzip member")),
         F.when(~F.col("valid"), F.lit("invalid UTF-8 text")),
@@ -333,13 +339,13 @@ def _is_gzip(uri: str) -> bool:
 
 def scan_files(
     spark: SparkSession,
-    uris: Sequence[str],
+    files: Sequence[tuple[str, int]],
     start_pattern: str | None = None,
     charset: str = "auto",
     show: Callable[[Column], Column] = display_path,
     shown: dict[str, str] | None = None,
 ) -> FileScan:
-    """Prepare the files at ``uris`` for searching; runs the counting pass.
+    """Prepare ``files``, pairs of address and length, for searching; runs the counting pass.
 
     ``charset`` "auto" is UTF-8 (undecodable bytes become U+FFFD) unless a file starts with a
     UTF-16 byte order mark; any other name is used for all files without such a mark.
@@ -347,16 +353,22 @@ def scan_files(
     _pin_splits(spark)
     declared = None if charset.lower() in ("auto", "utf-8", "utf8") else charset.upper()
     java = start_regex(start_pattern)
-    zipped = [u for u in uris if _is_gzip(u)]
-    plain = [u for u in uris if not _is_gzip(u)]
+    sizes = dict(sorted(files))
+    plain = [u for u in sizes if not _is_gzip(u)]
+    zipped = [u for u in sizes if _is_gzip(u)]
+    checked = [u for u in zipped if sizes[u] <= MAX_ROW_BYTES]
+    unchecked = [u for u in zipped if sizes[u] > MAX_ROW_BYTES]  # damage in one of these fails the job
     whole = plain if declared in WHOLE_FILE_CHARSETS else []
     split = [] if whole else plain
 
-    gzip_check = _gzip_check(spark, zipped) if zipped else None
-    parts = [_text_rows(spark, group, gz, declared) for group, gz in ((split, False), (zipped, True)) if group]
+    gzip_check = _gzip_check(spark, checked) if zipped else None
+    parts = [
+        _text_rows(spark, group, gzip, tolerant, declared)
+        for group, gzip, tolerant in ((split, False, False), (checked, True, True), (unchecked, True, False)) if group
+    ]
     lines = places = failed = None
     if parts:
-        lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        lines = reduce(DataFrame.unionByName, parts)
         lines = lines.withColumn("is_start", F.lit(False) if java is None else F.col("text").rlike(java))
         blocks = written(spark, _block_table(lines, gzip_check), "blocks")
         places = blocks.select(*PLACE_COLUMNS)
@@ -376,7 +388,7 @@ def scan_files(
 
 def read_lines(spark: SparkSession, files: DataFrame, charset: str = "auto", **names) -> DataFrame:
     """``lines(file_path, line_no, line)`` of all readable files; a line keeps its newline."""
-    uris = sorted({r.uri for r in files.select("uri").collect()})  # Spark's file index has them on the driver too
-    return scan_files(spark, uris, None, charset, **names).entries().select(
+    pairs = [(r.uri, r.length) for r in files.select("uri", "length").collect()]  # as Spark's own file index
+    return scan_files(spark, pairs, None, charset, **names).entries().select(
         "file_path", F.col("start_line").alias("line_no"), F.col("content").alias("line")
     )

@@ -325,3 +325,16 @@ def test_one_hot_file(spark, monkeypatch):
     assert got == [("cold", 1, 1, "x\n")] + sorted(("hot", *e) for e in model(text, "^>"))
     first = cap_per_file(entries, 25, lines_per_block=16).orderBy("file_path", "start_line").collect()
     assert [r.start_line for r in first if r.file_path == "hot"] == [e[0] for e in model(text, "^>")[:25]]
+
+
+def test_gzip_too_large_to_check(spark, tmp_path, monkeypatch):
+    from siftlog.sources import scan
+
+    monkeypatch.setattr(scan, "MAX_ROW_BYTES", 40)
+    put(tmp_path / "a.log", "error a\n")
+    put_gz(tmp_path / "b.gz", "error b\n" + "".join(f"{i}\n" for i in range(100)))
+    put_gz(tmp_path / "c.gz", b"error c\n\xff\n" + bytes(range(97, 123)) * 3)
+    put_gz(tmp_path / "d.gz", "error d\n")
+    result = find(spark, tmp_path, include=["**"], must=["error"])
+    assert [h[3] for h in hits_of(result)] == ["error a\n", "error b\n", "error d\n"]
+    assert [os.path.basename(r.file_path) for r in result.failed_files.collect()] == ["c.gz"]

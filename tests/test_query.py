@@ -30,6 +30,8 @@ def test_boolean_combination(text):
     assert kept(text, contents, must=["error"], any=["traffic", "network"], none=["fatal"]) == contents[:1]
     assert kept(text, contents) == contents
     assert kept(text, contents, must=["traffic", "ERROR"]) == [contents[0], contents[2]]
+    assert kept(text, contents, must=["É"], any=["x", "info"]) == []
+    assert kept(text, contents, must=["O"], any=["INFO", "net"], none=["zz", "Fatal"]) == [contents[1]]
 
 
 def test_plain_terms_and_case(text):
