@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -90,7 +90,13 @@ class SearchResult:
     hits: DataFrame
     summary: DataFrame
     failed_files: DataFrame
-    all_hits: DataFrame
+    capped_entries: DataFrame  # what ``all_hits`` are made of, without positions
+    finish: Callable[[DataFrame], DataFrame]
+
+    @property
+    def all_hits(self) -> DataFrame:
+        """Every hit after the caps, not only one page."""
+        return self.finish(self.capped_entries)
 
 
 def entry_condition(
@@ -194,7 +200,7 @@ def search_files(
     def hits(entries: DataFrame) -> DataFrame:  # positions last: only for what is shown
         return as_hits(entries, query, request.include_content, strict)
 
-    return SearchResult(hits(take_page(capped, skip, size, order)), summary, scan.failed_files(), hits(capped))
+    return SearchResult(hits(take_page(capped, skip, size, order)), summary, scan.failed_files(), capped, hits)
 
 
 def _listing(spark: SparkSession, names: list[Row]) -> DataFrame:
