@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, mixing
+from siftlog.llm import bpe, mixing, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
-from siftlog.session import written
+from siftlog.session import new_folder, written
 
 
 def vocabulary() -> str:
@@ -35,4 +35,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op7_mixing)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC files into the shared folder and read back from them."""
+    folder = new_folder(spark, "warc")
+    folder = folder if "://" in folder else f"file://{folder}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op7_mixing, op8_warc)}

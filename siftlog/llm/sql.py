@@ -43,3 +43,15 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN words > 0 THEN wanted // words * size + greatest(0, least(size, wanted % words - before)) ELSE 0 END::BIGINT AS taken
 FROM o
 """
+
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first,
+  row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS n FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)
+  ), '') AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n = 1 THEN NULL ELSE first END AS refers_to
+FROM r
+"""
