@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, mixing, warc
+from siftlog.llm import bpe, mixing, quality, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
 
 
+QUALITY_LEAST = 0.3
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -28,6 +31,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labelled rows outside the held-out fifth."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), use=~held_out)
+    return quality.score(documents, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     documents = table(spark, sf_dir, "documents")
@@ -44,4 +57,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op7_mixing, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op7_mixing, op8_warc)}
