@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, mixing, quality, warc
+from siftlog.llm import bpe, mixing, personal, quality, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -41,6 +41,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans, and all spans."""
+    documents = table(spark, sf_dir, "documents")
+    tagger = personal.train(personal.labelled(documents))
+    found = personal.find(documents, tagger, keep=["doc_id"])
+
+    def shown(name):
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(shown("base"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     documents = table(spark, sf_dir, "documents")
@@ -57,4 +72,4 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op7_mixing, op8_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op6_personal, op7_mixing, op8_warc)}
