@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, mixing, personal, quality, warc
+from siftlog.llm import bpe, mixing, neighbours, personal, quality, topk, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from labelled rows outside the held-out fifth."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -72,4 +77,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op6_personal, op7_mixing, op8_warc)}
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer scores for every hundredth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op10_topk)}
