@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from siftlog.llm.license_texts import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
+from siftlog.llm.licenses import COPYRIGHT_LINE, LOWER, UPPER
+
 ORACLE: dict[str, str] = {}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -65,3 +68,29 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical lines of a text."""
+    plain = (rf"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+             rf"'(?m){COPYRIGHT_LINE}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')")
+    for a, b in EQUIVALENT_SPELLINGS:
+        plain = f"replace({plain}, {_quoted(a)}, {_quoted(b)})"
+    return f"list_transform(string_split({plain}, chr(10)), lambda x: trim(x, ' '))"
+
+
+ORACLE["op3_licenses"] = f"""
+WITH l(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in LICENSE_TEXTS)}),
+k AS (SELECT array_to_string(list_filter({_canonical("text")}, lambda x: x <> ''), ' ') AS c, min(license) AS license FROM l GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_canonical("text")} AS lines FROM documents),
+w AS (SELECT r, doc_id, array_to_string(list_filter(lines, lambda x: x <> ''), ' ') AS c FROM d),
+n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices
+  FROM (SELECT r, unnest(lines) AS c FROM d) JOIN k USING (c) WHERE c <> '' GROUP BY r)
+SELECT doc_id, CASE WHEN w.c <> '' THEN k.license END AS license, coalesce(notices, '') AS notices,
+  coalesce(n_notices, 0)::BIGINT AS n_notices
+FROM w LEFT JOIN k USING (c) LEFT JOIN n USING (r)
+"""
