@@ -6,7 +6,8 @@ neighbours in two contiguous lists: the lowest rank is found by a scan, the boun
 and only the two ranks beside it are looked up again.  A long word would make that quadratic, so
 beyond ``SHORT`` parts a heap of candidate pairs over linked neighbours gives the same merges.
 
-Words repeat, so each worker keeps the ids of the words it met in a table of bounded size.
+Words repeat, so each worker keeps the ids of the words it met in two tables of bounded size: when the
+newer one is full it becomes the older one, and words met again move on, so frequent words always stay.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from siftlog.llm.columns import field, map_batches, slices, texts_of, without
 
 SHORT = 48  # parts; measured break-even of scan and heap
-KNOWN_WORDS = 200_000  # words whose ids one worker keeps; the table starts anew when it is full
+KNOWN_WORDS = 200_000  # words in each of the two tables of one worker
 NO_RANK = 1 << 62
 
 # The white space and the word pattern that the vocabulary file declares.
@@ -33,6 +34,9 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 
+SEPARATORS = re.compile("[\x1c-\x1f]")
+PLAIN_ENDS = (",", ".", ";", ":", "!", "?")
+
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself when printable in Latin-1, else the next letter from U+0100 on."""
@@ -41,9 +45,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-def merge_by_scan(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+def merge_by_scan(ids: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """Merge in place: parts and the ranks of neighbours as two contiguous lists."""
-    beside = [ranks.get(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+    rank = ranks.get
+    beside = list(map(rank, zip(ids, ids[1:]), repeat(NO_RANK)))
     while beside:
         low = min(beside)
         if low == NO_RANK:
@@ -52,17 +57,17 @@ def merge_by_scan(ids: list[int], ranks: dict[int, int], merged: list[int]) -> l
         ids[i] = merged[low]
         del ids[i + 1], beside[i]
         if i < len(beside):
-            beside[i] = ranks.get(ids[i] << 32 | ids[i + 1], NO_RANK)
+            beside[i] = rank((ids[i], ids[i + 1]), NO_RANK)
         if i:
-            beside[i - 1] = ranks.get(ids[i - 1] << 32 | ids[i], NO_RANK)
+            beside[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
     return ids
 
 
-def merge_by_heap(ids: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+def merge_by_heap(ids: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """The same merges for long words, in n log n."""
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks.get(a << 32 | b, NO_RANK)) != NO_RANK]
+    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := ranks.get((a, b), NO_RANK)) != NO_RANK]
     heapq.heapify(heap)
     while heap:
         rank, i, a, b = heapq.heappop(heap)
@@ -73,19 +78,20 @@ def merge_by_heap(ids: list[int], ranks: dict[int, int], merged: list[int]) -> l
         after[i] = k = after[j]
         if k < n:
             before[k] = i
-            if (r := ranks.get(ids[i] << 32 | ids[k], NO_RANK)) != NO_RANK:
+            if (r := ranks.get((ids[i], ids[k]), NO_RANK)) != NO_RANK:
                 heapq.heappush(heap, (r, i, ids[i], ids[k]))
         h = before[i]
-        if h >= 0 and (r := ranks.get(ids[h] << 32 | ids[i], NO_RANK)) != NO_RANK:
+        if h >= 0 and (r := ranks.get((ids[h], ids[i]), NO_RANK)) != NO_RANK:
             heapq.heappush(heap, (r, h, ids[h], ids[i]))
     return [x for x in ids if x >= 0]
 
 
 class WordTokenizer(dict):
-    """Text to ids and back, for a vocabulary file of that kind; itself the table of known words."""
+    """Text to ids and back, for a vocabulary file of that kind; itself the newer table of known words."""
 
     def __init__(self, spec: bytes):
         super().__init__()
+        self.older: dict[str, list[int]] = {}
         import regex
 
         parsed = json.loads(spec)
@@ -101,7 +107,7 @@ class WordTokenizer(dict):
         self.ranks, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(vocabulary[a] << 32 | vocabulary[b], rank)
+            self.ranks.setdefault((vocabulary[a], vocabulary[b]), rank)
             self.merged.append(vocabulary[a + b])
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.shown = {i: t for t, i in chain(vocabulary.items(), self.special.items())}
@@ -111,29 +117,41 @@ class WordTokenizer(dict):
 
     def __missing__(self, piece: str) -> list[int]:
         """Ids of what stands between two spaces of a normalised text."""
-        ids: list[int] = []
-        for word in self.word.findall(piece):
-            data = word.encode()
-            parts = [self.inner[b] for b in data]
-            parts[-1] = self.last[data[-1]]
-            ids += (merge_by_scan if len(parts) <= SHORT else merge_by_heap)(parts, self.ranks, self.merged)
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece.isalpha():
+                ids = self.merged_word(piece)
+            elif piece[-1:] in PLAIN_ENDS and piece[:-1].isalpha():  # most words before a comma or stop are known
+                ids = self[piece[:-1]] + self[piece[-1:]]
+            else:
+                ids = [i for word in self.word.findall(piece) for i in self.merged_word(word)]
         if len(piece) <= 64:  # what is longer hardly repeats
             if len(self) >= KNOWN_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
-    def normalised(self, text: str) -> str:
-        text = self.space.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
+    def merged_word(self, word: str) -> list[int]:
+        data = word.encode()
+        parts = list(map(self.inner.__getitem__, data))
+        parts[-1] = self.last[data[-1]]
+        return (merge_by_scan if len(parts) <= SHORT else merge_by_heap)(parts, self.ranks, self.merged)
+
+    def normalised(self, text: str) -> list[str]:
+        """What stands between the spaces of the text in composed form and lower case."""
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
         # letter by letter: no rule for a sigma at a word's end
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        # Python also splits at four control characters, which are no white space here
+        return text.split() if not SEPARATORS.search(text) else self.space.split(text)
 
     def pieces(self, text: str) -> Iterator[list[int]]:
         for part in self.apart.split(text) if "<|" in text else (text,):
             if part in self.special:
                 yield [self.special[part]]
             else:
-                yield from map(self.__getitem__, self.normalised(part).split(" "))
+                yield from map(self.__getitem__, self.normalised(part))
 
     def encode(self, text: str):
         import numpy as np
