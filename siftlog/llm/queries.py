@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, licenses, mixing, neighbours, personal, quality, topk, warc
+from siftlog.llm import bpe, jaccard, licenses, mixing, neighbours, personal, quality, topk, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-grams are at least 85 % alike."""
+    return jaccard.components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence each document is, and those its lines name."""
     return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -87,4 +92,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op10_topk)}
