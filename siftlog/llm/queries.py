@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, jaccard, licenses, mixing, neighbours, personal, quality, topk, warc
+from siftlog.llm import bpe, jaccard, licenses, mixing, neighbours, personal, quality, repeats, topk, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -87,9 +87,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of 400 bytes that also start elsewhere."""
+    return repeats.remove(table(spark, sf_dir, "documents"), 400, with_kept=False)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer scores for every hundredth vector."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk)}
