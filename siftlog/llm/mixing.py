@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlog.llm.columns import without, word_count
+from siftlog.session import written
 
 SHARD_DOCUMENTS = 5_000  # about so many documents share a shard
 BLOCKS = 1 << 20  # all words make about so many blocks ...
 LONGEST_BLOCK = 2_048  # ... of at most so many words
+MOST_BROADCAST = 20_000  # rows about sources or shards, of less than 200 bytes each; more are joined by shuffling
 MADE = ["size", "source_size", "target", "taken"]
 
 
@@ -73,6 +75,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
         (most * F.col("_source")).cast("double"))).select("_key", "_source", "_documents", "_all", "_target")
 
 
+def looked_up(df: DataFrame, purpose: str) -> DataFrame:
+    """A small table, written once; broadcast if its size allows, so that the documents need no shuffle for it."""
+    df = written(df.sparkSession, df, purpose)
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def mix(
     df: DataFrame, seed: int = 0, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, size: Column | None = None,
     doc_id: str = "doc_id", source: str = "source", text: str = "text", shard_documents: int = SHARD_DOCUMENTS,
@@ -97,15 +105,15 @@ def mix(
         "_shards": F.ceil(F.col("_documents") / shard_documents),
     })
     targets = apportion(targets, ["_one"], "_key", "_target", "_all", "_seats", "_quota")
-    sources = targets.select("_key", "_source", "_target", "_block", "_quota", "_shards")
+    sources = looked_up(targets.select("_key", "_source", "_target", "_block", "_quota", "_shards"), "sources")
     in_shard = F.conv(F.substring("_place", 1, 8), 16, 10).cast("bigint") % F.col("_shards")
     work = work.join(sources, "_key").withColumn("_shard", in_shard)
     shards = work.groupBy("_key", "_shard").agg(
         F.sum("_size").alias("_words"), *(F.first(c).alias(c) for c in ("_source", "_block", "_quota")))
     shards = apportion(shards, ["_key"], "_shard", "_words", "_source", "_quota", "_blocks")
     wanted = F.least(F.col("_blocks") * F.col("_block"), most * F.col("_words"))
-    shards = shards.select("_key", "_shard", "_words", wanted.alias("_wanted"))
-    # partitions by (source, shard): the window below needs no further exchange
+    shards = looked_up(shards.select("_key", "_shard", "_words", wanted.alias("_wanted")), "shards")
+    # the documents are shuffled once, by (source, shard)
     work = work.join(shards, ["_key", "_shard"])
     before = F.sum("_size").over(Window.partitionBy("_key", "_shard").orderBy(
         "_place", doc_id, "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")

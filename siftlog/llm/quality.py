@@ -32,6 +32,8 @@ PENALTY = 1e-3
 class Model:
     good: bytes  # dictionaries
     bad: bytes
+    low: tuple[float, ...]  # range of the features among the rows of the regression: beyond it they count as its edge
+    high: tuple[float, ...]
     center: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]  # the first is the intercept
@@ -52,7 +54,7 @@ def _compressors(good: bytes, bad: bytes) -> list:
 
 
 def _features(compressors: list, texts: list[str]):
-    """The sizes' logarithms relative to the text, the normalised difference, the length, and their products."""
+    """The normalised difference, the sizes' logarithms relative to the text, and its length."""
     import numpy as np
 
     size = np.empty((len(texts), 4))
@@ -60,8 +62,13 @@ def _features(compressors: list, texts: list[str]):
         data = text.encode("utf-8", "surrogatepass")
         size[i] = *(len(c(data)) for c in compressors), len(data) + 8
     good, bad, plain, raw = size.T
-    base = np.column_stack([
+    return np.column_stack([
         (bad - good) / (bad + good), np.log(good / raw), np.log(bad / raw), np.log(plain / raw), np.log(raw) / 10])
+
+
+def _products(base):
+    import numpy as np
+
     n = base.shape[1]
     return np.column_stack([base, *(base[:, i] * base[:, j] for i in range(n) for j in range(i, n))])
 
@@ -99,14 +106,16 @@ def fit_texts(dictionary_rows: list[tuple[str, int]], calibration_rows: list[tup
     good, bad = (_dictionary([t for t, label in dictionary_rows if label == kind]) for kind in (1, 0))
     rows = calibration_rows or dictionary_rows
     labels = np.array([label for _, label in rows], float)
-    x = _features(_compressors(good, bad), [t for t, _ in rows]) if rows else np.zeros((0, 20))
+    base = _features(_compressors(good, bad), [t for t, _ in rows]) if rows else np.zeros((1, 5))
+    x = _products(base)
+    edges = tuple(base.min(0).tolist()), tuple(base.max(0).tolist())
     if not good or not bad or labels.min(initial=1) == labels.max(initial=0):
         share = (sum(label for _, label in dictionary_rows) + labels.sum() + 1) / (len(dictionary_rows) + len(rows) + 2)
         zeros = (0.0,) * x.shape[1]
-        return Model(good, bad, zeros, (1.0,) * x.shape[1], (float(np.log(share / (1 - share))), *zeros))
+        return Model(good, bad, *edges, zeros, (1.0,) * x.shape[1], (float(np.log(share / (1 - share))), *zeros))
     center, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - center) / scale, labels)
-    return Model(good, bad, tuple(center.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
+    return Model(good, bad, *edges, tuple(center.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
 
 
 def fit(
@@ -147,10 +156,11 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
 
         m = sent.value
         compressors = _compressors(m.good, m.bad)
-        center, scale, w = map(np.array, (m.center, m.scale, m.weights))
+        low, high, center, scale, w = map(np.array, (m.low, m.high, m.center, m.scale, m.weights))
         for batch in batches:
             for part in slices(batch, width):
-                x = (_features(compressors, texts_of(part.column(width))) - center) / scale
+                base = np.clip(_features(compressors, texts_of(part.column(width))), low, high)
+                x = (_products(base) - center) / scale
                 p = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(p)], names=schema.names)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlog.llm import bpe, jaccard, licenses, mixing, neighbours, personal, quality, repeats, topk, warc
@@ -14,6 +14,10 @@ from siftlog.session import new_folder, written
 QUALITY_LEAST = 0.3
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -48,11 +52,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from labelled rows outside the held-out fifth."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     documents = table(spark, sf_dir, "documents")
-    model = quality.fit(documents, table(spark, sf_dir, "labels"), use=~held_out)
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), use=~held_out())
     return quality.score(documents, model, keep=["doc_id"]).select(
-        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
 
 
