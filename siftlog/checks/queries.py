@@ -207,9 +207,20 @@ def path_ranks(spark, sf_dir):
     return first.select(F.col("file_path").alias("path"))
 
 
-def list_data_files(spark, sf_dir):
-    files = list_files(spark, sf_dir, include=["**/*.parquet"])
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), (F.col("length") > 0).alias("has_bytes"))
+def listed_files(spark, sf_dir):
+    """Files written from all documents, as the walk lists them, beside what the table says about them."""
+    files = short_path(list_files(spark, document_files(spark, sf_dir), include=["**/part-*.txt"]).withColumnRenamed("path", "file_path"))
+    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    found = files.withColumn("source", F.regexp_extract("file_path", "source=([^/]*)/", 1))
+    return found.join(docs, "source").groupBy("source", "documents").agg(F.count(F.lit(1)).alias("files"))
+
+
+def constant_terms(spark, sf_dir):
+    """Every line beside conditions that no text can change: a null term excludes all, an invalid one in ``must`` matches none."""
+    content = F.col("content")
+    return document_lines(spark, sf_dir).select(
+        "file_path", "start_line", LogicalQuery.of(must=["e"], none=[None]).matches(content).alias("null_in_none"),
+        LogicalQuery.of(must=[Term(r"(e)\1", regex=True)]).matches(content).alias("invalid_in_must"))
 
 
 def event_report(spark, sf_dir):
@@ -306,9 +317,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "must_any_none": matching("en", any=["que", "the", "der"], none=[Term("tion", case_sensitive=True)]),
     "match_columns": match_columns,
     "null_term": matching(None, "enter"),
-    "null_term_in_none": matching("enter", none=[None]),
     "invalid_regex_term": matching("enter", any=[Term("(?=x)", regex=True), "th"], none=[Term("e(", regex=True)]),
-    "invalid_regex_in_must": matching(Term(r"(e)\1", regex=True)),
+    "constant_terms": constant_terms,
     "extract_timestamps": extract_timestamps,
     "time_range": in_window(SECONDS, "2024-01-10 08:00:00", "2024-01-12T17:30:00Z"),
     "time_open_range": in_window(SECONDS, None, "2024-01-04T02:00:00+02:00"),
@@ -328,7 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_only": count_only,
     "glob_include_exclude": glob_include_exclude,
     "path_order": path_ranks,
-    "list_data_files": list_data_files,
+    "listed_files": listed_files,
     "step_report": event_report,
     "search_end_to_end": search_end_to_end,
     "search_events_end_to_end": search_events_end_to_end,

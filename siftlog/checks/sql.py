@@ -243,9 +243,8 @@ FROM marked GROUP BY conv_id, entry""",
   contains(lower(content), 'que') OR contains(lower(content), 'the') OR contains(lower(content), 'der') AS any_of,
   NOT (contains(lower(content), 'que') OR contains(content, 'The')) AS none_of"""),
     "null_term": from_lines("contains(lower(content), 'enter')"),
-    "null_term_in_none": from_lines("false"),
     "invalid_regex_term": from_lines("contains(lower(content), 'enter') AND contains(lower(content), 'th')"),
-    "invalid_regex_in_must": from_lines("false"),
+    "constant_terms": from_lines("true", "file_path, start_line, false AS null_in_none, false AS invalid_in_must"),
     "extract_timestamps": events("true", "file_path, start_line, ts AS entry_ts"),
     "time_range": events(
         "date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10 08:00:00' AND TIMESTAMP '2024-01-12 17:30:00'"),
@@ -282,10 +281,7 @@ FROM marked GROUP BY conv_id, entry""",
 WHERE (regexp_full_match(url, '(.*/)?fr/.*') OR regexp_full_match(url, 'https://.*\.(net|org)/[de][en]/..*'))
   AND NOT (regexp_full_match(url, '.*ref=x') OR regexp_full_match(url, '(.*/)?blog\..*/.*'))""",
     "path_order": "SELECT url AS path FROM pages ORDER BY string_split(url, '/') LIMIT 100",
-    "list_data_files": "SELECT name || '.parquet' AS file_name, true AS has_bytes FROM (VALUES " + ", ".join(
-        f"('{t}')" for t in ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
-                             "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
-    ) + ") AS t(name)",
+    "listed_files": "SELECT source, count(*) AS documents, count(DISTINCT doc_id // 1000) AS files FROM documents GROUP BY source",
     "step_report": STEP_REPORT,
     "search_end_to_end":
         f"WITH {DOCUMENT_ENTRIES}, picked AS (SELECT * FROM entries WHERE {END_TO_END_WHERE}), "

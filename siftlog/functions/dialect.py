@@ -356,7 +356,8 @@ def checked_java_regex(pattern: str, case_sensitive: bool = True) -> str:
     return java
 
 
-_TAIL_FREE = re.compile(r"(?:[^\\\[\]$\n(]|\((?!\?)|\\[dwb.:/@#,=\-\[\](){}|*+?]|\[[^\\\[\]^\n][^\\\[\]\n]*\])*")
+# classes without control characters: no range of theirs can hold a newline
+_TAIL_FREE = re.compile(r"(?:[^\\\[\]$\n(]|\((?!\?)|\\[dwb.:/@#,=\-\[\](){}|*+?]|\[[^\\\[\]^\x00-\x1f][^\\\[\]\x00-\x1f]*\])*")
 
 
 def ignores_final_newline(pattern: str) -> bool:

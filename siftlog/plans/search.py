@@ -226,12 +226,15 @@ def open_scan(
         walked = uri.startswith(root_uri.rstrip("/") + "/") | (uri == root_uri)
         return F.when(walked, shown_under_root(uri, root_uri, root)).otherwise(display_path(uri))
 
-    # explicit paths may be spelled in their own way
+    # explicit paths may be spelled in their own way, and one file in several
     inside = None if root_uri is None else root_uri.rstrip("/") + "/"
+    spelled = {(f.uri, f.path) for f in files}
     odd = {
-        f.uri: f.path for f in files
-        if not (inside and f.uri.startswith(inside)) and f.path != re.sub("^file:/+", "/", f.uri) and f.uri != root_uri
+        uri for uri, path in spelled
+        if not (inside and uri.startswith(inside) and path == root.rstrip("/") + "/" + uri[len(inside):])
+        and path != re.sub("^file:/+", "/", uri) and uri != root_uri
     }
+    odd = sorted(s for s in spelled if s[0] in odd)
     return scan_files(spark, [(f.uri, f.length) for f in files], pattern, charset, show, odd)
 
 

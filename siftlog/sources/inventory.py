@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import re
+import stat
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
@@ -74,34 +77,50 @@ def shown_under_root(uri: Column, root_uri: str, root: str) -> Column:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file below ``root`` at any depth; none if ``root`` does not exist."""
+    """Every regular file below ``root`` at any depth, hidden names too; none if ``root`` does not exist.
+
+    Symbolic links below the root are not followed, and a local folder that cannot be read is passed over.
+    """
     status = file_status(spark, root)
     if status is None:
         return spark.createDataFrame([], FILES_SCHEMA)
     root_uri = status.getPath().toString()
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escape_path(root))
-    # the content column is pruned: this only lists
-    found = reader.select(F.col("path").alias("uri"), "length", F.col("modificationTime").alias("modified"))
-    names = reader._jdf.inputFiles()
-    if len(names) > found.count():  # Spark lists empty files but gives no row for them
-        found = found.unionByName(_empty_files(spark, found, names))
+    rows = _local_files(root_uri) if root_uri.startswith("file:") else _stored_files(spark, status.getPath())
+    found = spark.createDataFrame(rows, "uri string, length bigint, modified double")
     return found.select(
-        shown_under_root(F.col("uri"), root_uri, root).alias("path"), "length", "modified", "uri",
+        shown_under_root(F.col("uri"), root_uri, root).alias("path"), "length",
+        F.col("modified").cast("timestamp").alias("modified"), "uri",
     )
 
 
-def _empty_files(spark: SparkSession, found: DataFrame, names) -> DataFrame:
-    every = spark.createDataFrame([(n,) for n in names], "name string").select(
-        F.regexp_replace(decoded_uri(F.col("name")), "^file:/+", "file:/").alias("uri")
-    )
+def _local_files(root_uri: str) -> list[tuple[str, int, float]]:
+    top = root_uri.removeprefix("file:")
+    if os.path.isfile(top):
+        info = os.stat(top)
+        return [(root_uri, info.st_size, info.st_mtime)]
     rows = []
-    for row in every.join(found, "uri", "left_anti").collect():
-        status = file_status(spark, row.uri)
-        if status is not None:
-            rows.append((row.uri, status.getLen(), status.getModificationTime() / 1000.0))
-    return spark.createDataFrame(rows, "uri string, length bigint, modified double").withColumn(
-        "modified", F.col("modified").cast("timestamp")
-    )
+    for folder, _, names in os.walk(top):  # skips what it cannot read
+        for name in names:
+            path = os.path.join(folder, name)
+            with contextlib.suppress(OSError):
+                info = os.lstat(path)
+                if stat.S_ISREG(info.st_mode):
+                    rows.append((f"file:{path}", info.st_size, info.st_mtime))
+    return rows
+
+
+def _stored_files(spark: SparkSession, path) -> list[tuple[str, int, float]]:
+    """One recursive listing call of the store; each status comes over as text."""
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found, rows = fs.listFiles(path, True), []
+    while found.hasNext():
+        m = _STATUS.search(found.next().toString())
+        rows.append((m[1], int(m[2]), int(m[3]) / 1000.0))
+    return rows
+
+
+# Fixed value: how Hadoop prints the status of a file.
+_STATUS = re.compile(r"path=(.*); isDirectory=false; length=(\d+);.*?modification_time=(\d+)", re.DOTALL)
 
 
 def explicit(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -10,6 +10,8 @@ session, and a lookup that does not fit its block fails the job instead of givin
 
 from __future__ import annotations
 
+import os
+import urllib.parse
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -22,8 +24,11 @@ from pyspark.sql.window import Window
 from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_text, join_pieces, start_regex
 from siftlog.operators.running import block_starts
 from siftlog.session import written
+from siftlog.shipping import ship
 from siftlog.sources.inventory import decoded_uri, display_path, escape_path
 
+# Name endings that Spark's reader takes for its own or a compressed file's.
+READER_ENDINGS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".passthrough", "._COPYING_")
 WHOLE_FILE_CHARSETS = ("UTF-16", "UTF-16LE", "UTF-16BE")  # "\n" is not one byte: cannot be split by bytes
 MAX_ROW_BYTES = (1 << 31) - 1  # of a file read as one row
 BROADCAST_BLOCKS = 500_000  # about 100 MB; a longer table is joined as Spark sees fit
@@ -161,15 +166,17 @@ class FileScan:
     whole: DataFrame | None  # uri, text: files that are read in one piece
     failed: DataFrame | None  # uri, reason
     start_pattern: str | None
-    shown: dict[str, str]
+    shown: list[tuple[str, str]]  # (address, path) of files that are spelled in their own way, every spelling
     show: Callable[[Column], Column]
 
-    def path_of(self, uri: Column) -> Column:
-        plain = decoded_uri(uri)
-        path = self.show(plain)
-        for address, given in self.shown.items():
-            path = F.when(plain == address, F.lit(given)).otherwise(path)
-        return path
+    def named(self, df: DataFrame) -> DataFrame:
+        """Add ``file_path``; a row of a file with several spellings comes once for each."""
+        plain = decoded_uri(F.col("uri"))
+        if not self.shown:
+            return df.withColumn("file_path", self.show(plain))
+        names = self.spark.createDataFrame(self.shown, "_address string, _given string")
+        return df.join(names, plain == F.col("_address"), "left").withColumn(
+            "file_path", F.coalesce("_given", self.show(plain))).drop("_address", "_given")
 
     def entries(self, keep: Keep | None = None, keep_ignores_final_newline: bool = False) -> DataFrame:
         """Entries of all readable files, only those that ``keep`` holds for."""
@@ -185,12 +192,12 @@ class FileScan:
         entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         if self.failed is not None:
             entries = entries.join(self.failed, "uri", "left_anti")
-        return entries.withColumn("file_path", self.path_of(F.col("uri"))).select(*ENTRY_COLUMNS)
+        return self.named(entries).select(*ENTRY_COLUMNS)
 
     def failed_files(self) -> DataFrame:
         if self.failed is None:
             return self.spark.createDataFrame([], "file_path string, reason string")
-        return self.failed.select(self.path_of(F.col("uri")).alias("file_path"), "reason")
+        return self.named(self.failed).select("file_path", "reason")
 
     def _placed(self, df: DataFrame) -> DataFrame:
         found = df.join(self.places, ["uri", "block"], "left")
@@ -237,8 +244,8 @@ def _text_rows(
     spark: SparkSession, uris: Sequence[str], gzip: bool, tolerant: bool, charset: str | None
 ) -> DataFrame:
     reader = spark.read.option("lineSep", "\n")
-    if tolerant:  # what cannot be inflated is reported by its own check
-        reader = reader.option("ignoreCorruptFiles", "true")
+    if tolerant:  # what cannot be read to its end is reported by its own check
+        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.text([escape_path(u) for u in uris]).select(
         "value",
         F.col("_metadata.file_path").alias("uri"),
@@ -274,6 +281,7 @@ def _block_table(lines: DataFrame, gzip_check: DataFrame | None) -> DataFrame:
         F.min(F.when(F.col("block") == 0, F.col("row") * 2 + mark)).alias("head"),
         F.bool_and(~F.col("gzip") | F.is_valid_utf8("value")).alias("valid"),
         F.bool_or("gzip").alias("gzip"),
+        F.max(F.struct("row", "is_start", "bare_start")).alias("last"),
     )
     file = Window.partitionBy("uri")
     blocks = block_starts(counted, ["uri"], "block", ["n", "starts"])
@@ -288,9 +296,16 @@ def _block_table(lines: DataFrame, gzip_check: DataFrame | None) -> DataFrame:
         F.coalesce(F.max(F.col("head") % 2).over(file) == 1, F.lit(False)).alias("utf16"),
         F.when(F.col("gzip"), ~F.coalesce("terminated", F.lit(True)))
         .otherwise(missing.isin(-1, 2)).alias("unterminated"),
+        F.when(F.col("block") == F.max("block").over(file), F.col("last")).alias("last"),
     )
 
 
+def _open_ends(blocks: DataFrame) -> DataFrame:
+    """Last lines without a newline that the start pattern judges otherwise than with one: usually none."""
+    return blocks.filter("unterminated and last.is_start <> last.bare_start").select(
+        "uri", "block", F.col("last.row").alias("open_row"), F.col("last.bare_start").alias("open_start"))
+
+
 def _whole_texts(spark: SparkSession, uris: Sequence[str], charset: str | None) -> DataFrame:
     files = spark.read.format("binaryFile").load([escape_path(u) for u in uris]).select(
         F.col("_metadata.file_path").alias("uri"), "content"
@@ -309,6 +324,103 @@ def _whole_texts(spark: SparkSession, uris: Sequence[str], charset: str | None)
     return texts.select("uri", "text")
 
 
+def _own_reader(charset: str | None):
+    """uri -> (uri, reason, text) of files that Spark's reader would drop or take for compressed."""
+    def make(batches):
+        import codecs
+        import zlib
+
+        import pyarrow as pa
+        import pyarrow.fs as fs
+
+        def read(uri: str) -> bytes:
+            if uri.startswith("file:"):
+                with open(urllib.parse.unquote(uri.removeprefix("file:")), "rb") as f:
+                    data = f.read()
+            else:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path, compression=None) as f:
+                    data = f.read()
+            if not uri.endswith(".gz"):
+                return data
+            out = []
+            while data:
+                member = zlib.decompressobj(31)
+                out.append(member.decompress(data))
+                if not member.eof:
+                    raise ValueError("corrupt gzip stream: unexpected end of file")
+                data = member.unused_data
+            text = b"".join(out)
+            text.decode()
+            return text
+
+        def text_of(data: bytes) -> str:
+            for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+                if data.startswith(mark):
+                    return data[len(mark):].decode(name, "replace")
+            try:
+                return data.decode()
+            except UnicodeDecodeError:
+                return data.decode(charset or "utf-8", "replace")
+
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                reason = text = None
+                try:
+                    text = text_of(read(uri))
+                except UnicodeDecodeError:
+                    reason = "invalid UTF-8 text"
+                except (OSError, ValueError, zlib.error) as e:
+                    reason = f"cannot be read: {e}"
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uri]), pa.array([reason], pa.string()), pa.array([text], pa.string())], names=["uri", "reason", "text"])
+
+    return make
+
+
+def _own_texts(spark: SparkSession, uris: Sequence[str], charset: str | None) -> DataFrame:
+    rows = spark.createDataFrame([(urllib.parse.quote(u, safe="/:"),) for u in uris], "uri string")
+    read = rows.repartition(max(1, min(len(uris), 10_000))).mapInArrow(_own_reader(charset), "uri string, reason string, text string")
+    return written(spark, read, "own")
+
+
+def _reads_itself(uri: str) -> bool:
+    name = uri.rsplit("/", 1)[-1]
+    return name[:1] in (".", "_") or name.endswith(READER_ENDINGS)
+
+
+def _unreadable(uris: Sequence[str]) -> dict[str, str]:
+    """Local files that went away or may not be read since they were listed, with the reason."""
+    out = {}
+    for uri in uris:
+        if uri.startswith("file:"):
+            path = uri.removeprefix("file:")
+            if not os.path.isfile(path):
+                out[uri] = "cannot be read: no such file"
+            elif not os.access(path, os.R_OK):
+                out[uri] = "cannot be read: permission denied"
+    return out
+
+
+def _short(spark: SparkSession, blocks: DataFrame | None, sizes: dict[str, int]) -> DataFrame:
+    """``(uri, reason)`` of plain files of which less was read than was listed."""
+    listed = spark.createDataFrame(
+        [(u, urllib.parse.quote(u, safe="/:"), n) for u, n in sizes.items() if n], "plain string, encoded string, length bigint")
+    if blocks is None:
+        return listed.select(F.col("encoded").alias("uri"), F.lit("cannot be read").alias("reason"))
+    read = blocks.groupBy("uri").agg(F.max("file_bytes").alias("bytes"), F.bool_or("utf16").alias("utf16")).withColumn(
+        "plain", decoded_uri(F.col("uri")))
+    missing = F.col("length") - F.coalesce("bytes", F.lit(0))  # one byte counts for the newline of each line; a mark has three
+    return listed.join(read, "plain", "left").filter(~F.coalesce("utf16", F.lit(False)) & ((missing > 3) | (missing == 1))).select(
+        F.coalesce("uri", "encoded").alias("uri"), F.lit("cannot be read to its end").alias("reason"))
+
+
+def _utf8_files(spark: SparkSession, uris: Sequence[str]) -> set[str]:
+    """Of plain files those that are valid UTF-8, with or without a mark; the list of files is on the driver anyway."""
+    rows = _text_rows(spark, uris, False, True, None).groupBy("uri").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    return {r.uri for r in rows.filter("valid").select(decoded_uri(F.col("uri")).alias("uri")).collect()}
+
+
 def _gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
     """One row per gzip file: can it be inflated to the end, and does its text end in a newline."""
     schema = "uri string, reason string, terminated boolean, size bigint"
@@ -343,46 +455,68 @@ def scan_files(
     start_pattern: str | None = None,
     charset: str = "auto",
     show: Callable[[Column], Column] = display_path,
-    shown: dict[str, str] | None = None,
+    shown: list[tuple[str, str]] | None = None,
 ) -> FileScan:
     """Prepare ``files``, pairs of address and length, for searching; runs the counting pass.
 
-    ``charset`` "auto" is UTF-8 (undecodable bytes become U+FFFD) unless a file starts with a
-    UTF-16 byte order mark; any other name is used for all files without such a mark.
+    ``charset`` is for files that are neither marked nor valid UTF-8; "auto" puts U+FFFD for what cannot be
+    decoded.  A file that cannot be read is reported, and the others are searched.
     """
+    ship(spark)
     _pin_splits(spark)
     declared = None if charset.lower() in ("auto", "utf-8", "utf8") else charset.upper()
     java = start_regex(start_pattern)
     sizes = dict(sorted(files))
-    plain = [u for u in sizes if not _is_gzip(u)]
-    zipped = [u for u in sizes if _is_gzip(u)]
+    gone = _unreadable(list(sizes))
+    sizes = {u: n for u, n in sizes.items() if u not in gone}
+    own = [u for u in sizes if _reads_itself(u)]
+    plain = [u for u in sizes if not _is_gzip(u) and not _reads_itself(u)]
+    zipped = [u for u in sizes if _is_gzip(u) and not _reads_itself(u)]
     checked = [u for u in zipped if sizes[u] <= MAX_ROW_BYTES]
     unchecked = [u for u in zipped if sizes[u] > MAX_ROW_BYTES]  # damage in one of these fails the job
     whole = plain if declared in WHOLE_FILE_CHARSETS else []
     split = [] if whole else plain
+    utf8 = set(split) if declared is None else _utf8_files(spark, split) if split else set()
+    groups = (
+        ([u for u in split if u in utf8], False, True, None), ([u for u in split if u not in utf8], False, True, declared),
+        (checked, True, True, declared), (unchecked, True, False, declared))
 
     gzip_check = _gzip_check(spark, checked) if zipped else None
-    parts = [
-        _text_rows(spark, group, gzip, tolerant, declared)
-        for group, gzip, tolerant in ((split, False, False), (checked, True, True), (unchecked, True, False)) if group
-    ]
-    lines = places = failed = None
+    parts = [_text_rows(spark, *group) for group in groups if group[0]]
+    lines = places = blocks = None
+    failed = [spark.createDataFrame([(urllib.parse.quote(u, safe="/:"), r) for u, r in gone.items()], "uri string, reason string")] if gone else []
     if parts:
         lines = reduce(DataFrame.unionByName, parts)
-        lines = lines.withColumn("is_start", F.lit(False) if java is None else F.col("text").rlike(java))
-        blocks = written(spark, _block_table(lines, gzip_check), "blocks")
+        start = F.lit(False) if java is None else F.col("text").rlike(java)
+        bare = start if java is None else F.when(F.col("at_end"), F.expr("left(text, char_length(text) - 1)").rlike(java)).otherwise(start)
+        lines = lines.withColumns({"is_start": start, "bare_start": bare})
+        table = _block_table(lines, gzip_check)
+        blocks = written(spark, table, "blocks")
+        ends = [] if java is None else _open_ends(blocks).collect()  # a row for each such file; the list of files is here anyway
+        if ends:
+            odd = F.broadcast(spark.createDataFrame(ends, "uri string, block bigint, open_row bigint, open_start boolean"))
+            lines = lines.join(odd, ["uri", "block"], "left").withColumn("is_start", F.when(
+                F.col("row") == F.col("open_row"), F.col("open_start")).otherwise(F.col("is_start"))).drop("open_row", "open_start")
+            blocks = written(spark, _block_table(lines, gzip_check), "blocks")
+        lines = lines.drop("bare_start")
         places = blocks.select(*PLACE_COLUMNS)
         if blocks.count() <= BROADCAST_BLOCKS:
             places = F.broadcast(places)
         if split:
             marked = blocks.filter("utf16").select(decoded_uri(F.col("uri")).alias("uri")).distinct()
             whole = sorted(r.uri for r in marked.collect())
+    if split:
+        failed.append(_short(spark, blocks, {u: sizes[u] for u in split}))
     if gzip_check is not None:
-        failed = _failed(gzip_check, blocks)
+        failed.append(_failed(gzip_check, blocks))
+    texts = [_whole_texts(spark, whole, declared if declared in WHOLE_FILE_CHARSETS else None)] if whole else []
+    if own:
+        read = _own_texts(spark, own, declared)
+        failed.append(read.filter("reason is not null").select("uri", "reason"))
+        texts.append(read.filter("reason is null").select("uri", "text"))
     return FileScan(
-        spark=spark, lines=lines, places=places,
-        whole=_whole_texts(spark, whole, declared if declared in WHOLE_FILE_CHARSETS else None) if whole else None,
-        failed=failed, start_pattern=start_pattern, shown=shown or {}, show=show,
+        spark=spark, lines=lines, places=places, whole=reduce(DataFrame.unionByName, texts) if texts else None,
+        failed=reduce(DataFrame.unionByName, failed) if failed else None, start_pattern=start_pattern, shown=shown or [], show=show,
     )
 
 

@@ -338,3 +338,92 @@ def test_gzip_too_large_to_check(spark, tmp_path, monkeypatch):
     result = find(spark, tmp_path, include=["**"], must=["error"])
     assert [h[3] for h in hits_of(result)] == ["error a\n", "error b\n", "error d\n"]
     assert [os.path.basename(r.file_path) for r in result.failed_files.collect()] == ["c.gz"]
+
+
+def test_names_that_the_reader_would_drop_or_inflate(spark, tmp_path):
+    names = ["a.log", "_a.log", ".b.log", "_logs/d.log", "c.log.lz4", "c.log.snappy", "c.log.zst", "c.log.deflate", "c.log.bz2", "e f%20+.log.zst"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        put(tmp_path / name, "an error\nfine\nlast error")
+    put_gz(tmp_path / "_z.log.gz", b"an error\n")
+    put(tmp_path / "_bad.gz", b"no gzip")
+    os.symlink(tmp_path / "a.log", tmp_path / "link.log")
+    result = find(spark, tmp_path, include=["**/*"], must=["error"], page_size=100)
+    assert {os.path.relpath(r.file_path, tmp_path) for r in result.all_hits.collect()} == {*names, "_z.log.gz"}
+    assert result.all_hits.count() == 2 * len(names) + 1
+    assert [os.path.basename(r.file_path) for r in result.failed_files.collect()] == ["_bad.gz"]
+    assert result.summary.first().files_scanned == len(names) + 2
+    explicit = find(spark, "", must=["error"], settings=Settings(log_file_paths=(str(tmp_path / "_a.log"),)))
+    assert explicit.all_hits.count() == 2
+
+
+def test_files_that_go_away_are_reported(spark, tmp_path, monkeypatch):
+    for name in ("a.log", "b.log", "c.log"):
+        put(tmp_path / name, "error\n" * 5)
+    import siftlog.plans.search as search
+
+    listed = search.with_uris
+
+    def rotated(*args):
+        files = spark.createDataFrame(listed(*args).collect())
+        os.remove(tmp_path / "b.log")
+        put(tmp_path / "c.log", "error\n" * 2)
+        return files
+
+    monkeypatch.setattr(search, "with_uris", rotated)
+    result = find(spark, tmp_path, must=["error"])
+    assert {h[0] for h in hits_of(result)} == {"a.log"}
+    assert {os.path.basename(r.file_path): r.reason for r in result.failed_files.collect()} == {
+        "b.log": "cannot be read: no such file", "c.log": "cannot be read to its end"}
+    assert result.summary.first().files_scanned == 3
+
+
+def test_charset_is_chosen_per_file(spark, tmp_path):
+    put(tmp_path / "plain.log", "é eins\n".encode())
+    put(tmp_path / "marked.log", b"\xef\xbb\xbf" + "é zwei\n".encode())
+    put(tmp_path / "latin.log", "é drei\n".encode("latin-1"))
+    put(tmp_path / "wide.log", "﻿é vier\n".encode("utf-16-le"))
+    put(tmp_path / "_own.log", "é fünf\n".encode("latin-1"))
+    hits = hits_of(find(spark, tmp_path, must=["é"], charset="ISO-8859-1"))
+    assert {h[3] for h in hits} == {"é eins\n", "é zwei\n", "é drei\n", "é vier\n", "é fünf\n"}
+
+
+def test_spellings_and_repeats_of_explicit_paths(spark, tmp_path):
+    put(tmp_path / "a.log", "error\n")
+    paths = (f"{tmp_path}/./a.log", f"{tmp_path}//a.log", f"{tmp_path}/./a.log", f"{tmp_path}/a.log")
+    result = find(spark, "", must=["error"], settings=Settings(log_file_paths=paths))
+    assert [r.file_path for r in result.hits.collect()] == list(paths)
+    many = tuple(f"{tmp_path}/./f{i}.log" for i in range(700))
+    for name in many:
+        put(name, "error\n")
+    result = find(spark, "", must=["error"], settings=Settings(log_file_paths=many))
+    assert result.summary.first().total_hits == 700
+
+
+def test_final_newline_shortcuts(spark, tmp_path):
+    put(tmp_path / "a.log", "ax")
+    assert hits_of(find(spark, tmp_path, must=[{"query": "x[\t-~]", "regex": True}])) == []
+    put(tmp_path / "a.log", "x\nERR")
+    result = find(spark, tmp_path, must=[None], log_start_pattern="^ERR$")
+    assert [h[1:3] for h in hits_of(result)] == [(1, 1), (2, 2)]
+
+
+def test_workers_need_no_path(tmp_path):
+    import subprocess
+    import sys
+
+    put(tmp_path / "a.log", "2025 one error\nmore\n2025 two\n")
+    put_gz(tmp_path / "b.log.gz", b"2025 error\n")
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from siftlog import search_files
+from siftlog.session import local_session
+spark = local_session(2, 2)
+result = search_files(spark, {{"scan_config": {{"root_path": {str(tmp_path)!r}}}, "logical_query": {{"must": ["error"]}}, "log_start_pattern": "^2025"}})
+print("hits", result.all_hits.count())
+"""
+    (tmp_path / "empty").mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "empty", env=env, capture_output=True, text=True, timeout=200)
+    assert "hits 2" in out.stdout, out.stderr[-1500:]
