@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +41,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_folder(spark)}/siftlog-{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/siftlog-{purpose}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+@contextmanager
+def working_folders(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the working tables that were written within: read or write results before."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in _made[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+        del _made[first:]
 
 
 def written(spark: SparkSession, df, purpose: str):

@@ -427,3 +427,15 @@ print("hits", result.all_hits.count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "empty", env=env, capture_output=True, text=True, timeout=200)
     assert "hits 2" in out.stdout, out.stderr[-1500:]
+
+
+def test_working_folders_are_deleted(spark, tmp_path):
+    from siftlog.session import shared_folder, working_folders
+
+    put(tmp_path / "a.log", "error\n")
+    shared = shared_folder(spark)
+    before = set(os.listdir(shared))
+    with working_folders(spark):
+        assert find(spark, tmp_path, must=["error"]).hits.count() == 1
+        assert set(os.listdir(shared)) > before
+    assert set(os.listdir(shared)) == before
