@@ -22,20 +22,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b; longs); the root is the smallest node of its component.
 
+    With ``rounds`` only so many are made: then each node has one root of its component, not always the smallest.
+
     Each round is a fixed number of joins and aggregates, and the rounds grow with the logarithm of the
     longest path.  Every round is written to the shared folder, so that a lost executor repeats one round only.
     """
     spark = edges.sparkSession
     now = written(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    seen, made = None, 0
+    while made != rounds:
+        made += 1
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
         now = written(spark, _stars(_stars(now, True), False), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+        now.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

@@ -11,7 +11,7 @@ behind the others of that quarter and are sent only where a prefix reaches them;
 
 Equal sets are one set from the start.  The sets that share a prefix token are not paired with one another: a
 leader of the token is compared with the rest, everything linked becomes one component, and only tokens whose sets
-lie in several components go on, with up to ``LEADERS`` new leaders at a time.  That ends with every two sets of
+lie in several components go on, with ``LEADERS`` new leaders at a time, and more as fewer sets are left.  That ends with every two sets of
 a token compared or in one component, so the components are exact, and a group of near copies costs one
 comparison each.  Tokens and sets are compared by 64-bit hashes.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftlog.llm.columns import map_batches, slices
 from siftlog.llm.components import connected_components
@@ -28,8 +29,11 @@ from siftlog.session import written
 COMMON = 0.002  # share of documents
 MOST_COMMON = 100_000  # common tokens that are known to all tasks (0.8 MB); the most frequent ones
 SALTS = 64
-LEADERS = 32
-KNOWN_WORDS = 500_000  # hashes of words a worker keeps
+BITS = 2_048  # of a set's map: its elements' hashes; bits that only one of two sets has are elements that only it has
+LEADERS = 128
+MOST_BROADCAST = 200_000  # pairs of 16 bytes that may be broadcast; more are joined by shuffling
+PAIRS_PER_ENTRY = 8  # a round makes at most so many pairs for each entry that the first round had
+KNOWN_WORDS = 200_000  # hashes of words a worker keeps
 QUARTER = 1 << 62  # tokens below are counted: unsigned hashes with two leading zero bits
 
 
@@ -160,7 +164,13 @@ def _full(words: int):
                 np.cumsum([len(t) for t in found], out=ends[1:])
                 flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int64())), lists], names=["set_id", "shingles"])
+                maps = np.zeros((len(found), BITS), np.uint8)
+                for m, f in zip(maps, found, strict=True):
+                    m[(f % np.uint64(BITS)).astype(np.int64)] = 1
+                maps = np.packbits(maps, axis=1).view(np.int64).reshape(len(found), BITS // 64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(same, pa.int64())), lists, pa.array(list(maps), pa.list_(pa.int64()))],
+                    names=["set_id", "shingles", "bits"])
 
     return make
 
@@ -174,19 +184,20 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     frequent = map_batches(used.select("tokens"), _frequent, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
     rows = frequent.filter(F.col("docs") >= max(16, COMMON * total / 2)).orderBy(F.desc("docs"), "token").limit(MOST_COMMON).collect()
     common = sets.sparkSession.sparkContext.broadcast(np.array(sorted(r.token for r in rows), np.int64))
-    # one exchange, read twice: to count the tokens, and to hand the counts to their sets
     entries = map_batches(
         used.select("n", "set_id", "tokens"), _entries(percent, common), "token long, set_id long, plain int, salt int")
-    entries = entries.repartition("token", "salt")
-    counts = entries.groupBy("token", "salt").agg(
-        F.count(F.lit(1)).alias("docs"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-    one = counts.filter("salt < 0 and low <> high").select("token", "salt", "docs")
-    salted = counts.filter("salt >= 0")
-    whole = salted.groupBy("token").agg(F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
-    shared = one.unionByName(salted.select("token", "salt").join(whole.filter("low <> high"), "token").select("token", "salt", "docs"))
-    found = entries.join(shared, ["token", "salt"])
-    kind = F.least(F.col("salt"), F.lit(0))  # copies of a set send the same tokens: a set of structs
-    of_set = found.groupBy("set_id").agg(F.max("plain").alias("plain"), F.collect_set(F.struct(kind.alias("kind"), "docs", "token")).alias("shared"))
+    # one shuffle of the entries: counted where they meet, and only those that may be shared go on
+    same = Window.partitionBy("token", "salt")
+    counted = entries.withColumns({
+        "docs": F.count(F.lit(1)).over(same), "low": F.min("set_id").over(same), "high": F.max("set_id").over(same)})
+    counted = written(sets.sparkSession, counted.filter("salt >= 0 or low <> high").dropDuplicates(["token", "salt", "set_id"]), "shared")
+    salted = counted.filter("salt >= 0")
+    whole = salted.groupBy("token", "salt").agg(*(F.first(c).alias(c) for c in ("docs", "low", "high"))).groupBy("token").agg(
+        F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = counted.filter("salt < 0").select("token", "set_id", "plain", "salt", "docs").unionByName(
+        salted.drop("docs", "low", "high").join(whole.filter("low <> high").select("token", "docs"), "token"))
+    kind = F.least(F.col("salt"), F.lit(0))
+    of_set = found.groupBy("set_id").agg(F.max("plain").alias("plain"), F.collect_list(F.struct(kind.alias("kind"), "docs", "token")).alias("shared"))
     own = F.col("plain") - F.size(F.filter("shared", lambda x: x.kind == -1))
     return of_set.select("set_id", own.alias("u"), "shared")
 
@@ -241,11 +252,13 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     holders = sets.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("id")).join(chosen.select("set_id"), "set_id", "left_semi")
     texts = df.select(df[doc_id].cast("long").alias("doc"), df[text].alias("text")).join(
         holders, F.col("doc").eqNullSafe(F.col("id"))).select("set_id", "text")
-    full = map_batches(texts, _full(words), "set_id long, shingles array<long>").dropDuplicates(["set_id"])
-    whole = written(spark, full.join(chosen.select("set_id", "n", *(f"p{k}" for k in range(1, ORDERS))), "set_id"), "shingles")
+    full = map_batches(texts, _full(words), "set_id long, shingles array<long>, bits array<long>").dropDuplicates(["set_id"])
+    whole = written(spark, full, "shingles")
 
     entries = chosen.select("set_id", "n", (1000 * F.col("u") / F.col("n")).cast("int").alias("off"), F.explode("p0").alias("token"))
-    roots = _link(spark, entries, whole, percent)
+    filters = written(spark, chosen.select("set_id", "n", *(_token_bits(F.col(f"p{k}")).alias(f"p{k}") for k in range(1, ORDERS))).join(
+        whole.select("set_id", "bits"), "set_id"), "filters")
+    roots = connected_components(_links(spark, entries, filters, whole.select("set_id", "shingles"), percent))
     of_doc = sets.select("id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "group", F.coalesce("root", "set_id"))
     least = of_doc.filter("n > 0").groupBy("group").agg(F.min("id").alias("least"))
@@ -254,19 +267,19 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                          F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _link(spark, entries: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the sets that have links."""
-    roots = spark.createDataFrame([], "node long, root long")
-    done = None
+def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all sets of a component; not every link within one."""
+    done, links, most, turn = None, None, 0, 0
     entries = entries.withColumn("label", F.col("set_id"))
-    turn = 0
     while True:
         # tokens whose sets still lie in several components
         mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         entries = written(spark, entries.join(mixed.select("token"), "token", "left_semi"), "entries")
-        if entries.isEmpty():
-            return roots
-        slots = 1 if turn == 0 else LEADERS
+        left = entries.count()
+        if not left:
+            return spark.createDataFrame([], "a long, b long") if links is None else links
+        most = left * PAIRS_PER_ENTRY if turn == 0 else most
+        slots = 1 if turn == 0 else max(LEADERS, min(left, most // left))
         leaders = entries.groupBy("token", F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(slots)).alias("slot")).agg(
             F.min(F.struct("off", "set_id", "n", "label")).alias("leader"))
         leaders = written(spark, leaders.select("token", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("set_id", "n", "label"))), "leaders")
@@ -277,29 +290,54 @@ def _link(spark, entries: DataFrame, whole: DataFrame, percent: int) -> DataFram
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        links = _verified(pairs, whole, percent)
-        label = roots.withColumnRenamed("node", "set_id")
-        by = links.join(label.select(F.col("set_id").alias("a"), F.col("root").alias("ra")), "a", "left")
-        by = by.join(label.select(F.col("set_id").alias("b"), F.col("root").alias("rb")), "b", "left")
-        edges = by.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        merged = connected_components(edges)
-        new = merged.withColumnsRenamed({"node": "old", "root": "new"})
-        # what had a root follows it; what had none is a node itself
-        roots = written(spark, roots.join(new, roots.root == new.old, "left").select("node", F.coalesce("new", "root").alias("root"))
-                        .unionByName(merged).distinct(), "roots")
+        new = _verified(pairs, prefixes, whole, percent)
+        links = new if links is None else links.unionByName(new)
+        # labels only spare comparisons, so one round of merging is enough
+        labels = connected_components(links, 1).select(F.col("node").alias("set_id"), "root")
         # the leaders have met all sets of their tokens
         entries = entries.drop("label").join(leaders.select("token", F.col("l_set_id").alias("set_id")), ["token", "set_id"], "left_anti")
-        entries = entries.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-            "label", F.coalesce("root", "set_id")).drop("root")
+        entries = entries.join(labels, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
         turn += 1
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix token in the other orders too, and whose sets are similar enough."""
-    one = pairs.join(whole.withColumnRenamed("set_id", "a"), "a")
-    two = one.join(whole.select(F.col("set_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in whole.columns if c != "set_id")), "b")
+def _token_bits(tokens: Column) -> Column:
+    """A map of 256 bits, as four longs: two lists that share a token share a bit."""
+    def word(k: Column) -> Column:
+        here = F.filter(tokens, lambda t: F.floor(F.pmod(t, F.lit(256)) / 64) == k)
+        bit = F.transform(here, lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))
+        return F.aggregate(bit, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), word)
+
+
+def _only(one: str, other: str) -> Column:
+    """How many bits only the first map has."""
+    return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
+
+
+def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with what ``sets`` has of both; where the pairs are few, ``sets`` is not shuffled."""
+    few = pairs.count() <= MOST_BROADCAST
+    names = [c for c in sets.columns if c != "set_id"]
+    sides = [
+        sets.join(F.broadcast(pairs) if few else pairs, F.col("set_id") == F.col(side)).select(
+            "a", "b", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in ("a", "b")]
+    return sides[0].join(sides[1], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a prefix token in the other orders too, whose maps leave enough in common, and whose sets have it.
+
+    The first two tests read a few hundred bytes of each set and let all similar pairs pass.
+    """
+    spark = pairs.sparkSession
+    filtered = _both_sides(pairs, prefixes)
     for k in range(1, ORDERS):
-        two = two.filter(F.arrays_overlap(f"p{k}", f"b_p{k}"))
-    both = F.size(F.array_intersect("shingles", "b_shingles"))
-    return two.select("a", "b", "n", "b_n", both.alias("both")).filter(
-        100 * F.col("both") >= percent * (F.col("n") + F.col("b_n") - F.col("both"))).select("a", "b")
+        filtered = filtered.filter(F.exists(F.zip_with(f"a_p{k}", f"b_p{k}", lambda x, y: x.bitwiseAND(y)), lambda w: w != 0))
+    most = F.least(F.col("a_n") - _only("a_bits", "b_bits"), F.col("b_n") - _only("b_bits", "a_bits"))
+    filtered = filtered.filter(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
+    filtered = written(spark, filtered.select("a", "b"), "candidates")
+    found = _both_sides(filtered, whole)
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    found = found.select("a", "b", (F.size("a_shingles") + F.size("b_shingles")).alias("sizes"), both.alias("both"))
+    return written(spark, found.filter(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b"), "links")

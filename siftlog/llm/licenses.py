@@ -1,6 +1,6 @@
 """Licence scan by canonical digests: equal texts after normalising have equal digests, found by a hash join.
 
-Normalising lower-cases A-Z, drops lines that begin a copyright statement, turns everything but letters and
+Normalising takes lower case, drops lines that begin a copyright statement, turns everything but letters and
 digits into single spaces and writes equivalent spellings one way.  The whole text and each of its lines are
 looked up among the digests of known licence texts and notices.  Everything is built-in functions.
 """
@@ -17,14 +17,12 @@ from siftlog.llm.license_texts import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
 
 MOST_BROADCAST = 20_000  # digests of known texts that may be broadcast; more are joined by shuffling
 MADE = ["license", "notices", "n_notices"]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright|©|\(c\)|all rights reserved)[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form, each in single spaces; lines without letters or digits are empty."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    kept = F.regexp_replace(lower, f"(?md){COPYRIGHT_LINE}", "")
+    kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"(?md){COPYRIGHT_LINE}", "")
     plain = F.regexp_replace(kept, r"[^\p{L}\p{N}\n]+", " ")
     spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENT_SPELLINGS, plain)
     return F.transform(F.split(spelled, "\n"), lambda line: F.trim(line))
@@ -57,15 +55,17 @@ def scan(df: DataFrame, licenses: DataFrame | None = None, doc_id: str = "doc_id
     if known.count() <= MOST_BROADCAST:
         known = F.broadcast(known)
     kept = without(df.columns if keep is None else keep, MADE)
-    read = df.select(df[doc_id].alias("_id"), F.xxhash64(df[text]).alias("_same"), canonical_lines(df[text]).alias("_lines"))
-    # one row for each matching line; equal rows share one result
-    lines = read.select("_id", "_same", F.posexplode("_lines").alias("_n", "_line")).filter("_line <> ''").select(
-        "_id", "_same", "_n", digest(F.col("_line")).alias("digest")).join(known, "digest").select("_id", "_same", "_n", "license")
-    found = lines.distinct().groupBy("_id", "_same").agg(
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices"))
-    out = df.select(*(df[c] for c in kept), df[doc_id].alias("_own_id"), F.xxhash64(df[text]).alias("_own"),
-                    digest(whole(canonical_lines(df[text]))).alias("_digest"))
-    out = out.join(known.withColumnRenamed("digest", "_known"), F.col("_digest") == F.col("_known"), "left")
-    out = out.join(found, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_same")), "left")
+    # the whole text counts as line 0; equal rows share one result
+    lines = canonical_lines(df[text])
+    read = df.select(df[doc_id].alias("_id"), F.xxhash64(df[text]).alias("_same"), lines.alias("_lines")).select(
+        "_id", "_same", F.posexplode(F.concat(F.array(whole(F.col("_lines"))), "_lines")).alias("_n", "_line"))
+    found = read.filter("_line <> ''").select("_id", "_same", "_n", digest(F.col("_line")).alias("digest")).join(
+        known, "digest").select("_id", "_same", "_n", "license").distinct()
+    of_line = F.when(F.col("_n") > 0, F.col("license"))
+    found = found.groupBy("_id", "_same").agg(
+        F.max(F.when(F.col("_n") == 0, F.col("license"))).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(of_line)), ",").alias("notices"), F.count(of_line).alias("n_notices"))
+    out = df.select(*(df[c] for c in kept), df[doc_id].alias("_own_id"), F.xxhash64(df[text]).alias("_own")).join(
+        found, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_same")), "left")
     return out.select(*kept, "license", F.coalesce("notices", F.lit("")).alias("notices"),
                       F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"))

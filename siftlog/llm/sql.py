@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftlog.llm.license_texts import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
-from siftlog.llm.licenses import COPYRIGHT_LINE, LOWER, UPPER
+from siftlog.llm.licenses import COPYRIGHT_LINE
 
 ORACLE: dict[str, str] = {}
 
@@ -76,7 +76,7 @@ def _quoted(text: str) -> str:
 
 def _canonical(text: str) -> str:
     """SQL for the canonical lines of a text."""
-    plain = (rf"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+    plain = (rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), "
              rf"'(?m){COPYRIGHT_LINE}', '', 'g'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')")
     for a, b in EQUIVALENT_SPELLINGS:
         plain = f"replace({plain}, {_quoted(a)}, {_quoted(b)})"
