@@ -32,7 +32,7 @@ SALTS = 64
 BITS = 2_048  # of a set's map: its elements' hashes; bits that only one of two sets has are elements that only it has
 LEADERS = 128
 MOST_BROADCAST = 200_000  # pairs of 16 bytes that may be broadcast; more are joined by shuffling
-PAIRS_PER_ENTRY = 8  # a round makes at most so many pairs for each entry that the first round had
+PAIRS_PER_ENTRY = 32  # a round makes at most so many pairs for each entry that the first round had
 KNOWN_WORDS = 200_000  # hashes of words a worker keeps
 QUARTER = 1 << 62  # tokens below are counted: unsigned hashes with two leading zero bits
 
@@ -280,7 +280,9 @@ def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, per
             return spark.createDataFrame([], "a long, b long") if links is None else links
         most = left * PAIRS_PER_ENTRY if turn == 0 else most
         slots = 1 if turn == 0 else max(LEADERS, min(left, most // left))
-        leaders = entries.groupBy("token", F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(slots)).alias("slot")).agg(
+        # few enough entries: every set leads
+        slot = F.col("set_id") if slots >= left else F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(slots))
+        leaders = entries.groupBy("token", slot.alias("slot")).agg(
             F.min(F.struct("off", "set_id", "n", "label")).alias("leader"))
         leaders = written(spark, leaders.select("token", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("set_id", "n", "label"))), "leaders")
         pairs = entries.join(leaders, "token").filter(
