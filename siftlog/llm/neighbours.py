@@ -43,7 +43,6 @@ def collision_search(ids, rows, query_ids, queries, k: int, largest: float, seed
     norms = np.sqrt((queries * queries).sum(1, keepdims=True))
     centres = (np.column_stack([queries / norms, np.zeros(len(queries))]) @ directions).T
     wanted = min(n, int(10 * k + SHARE * n))
-    columns = rows.T.copy()
 
     def edges(open_, half):
         low, high = np.empty((LISTS, len(open_)), np.int64), np.empty((LISTS, len(open_)), np.int64)
@@ -77,7 +76,11 @@ def collision_search(ids, rows, query_ids, queries, k: int, largest: float, seed
                 continue
             still[j] = False
             hit = hit[ids[hit] != query_ids[q]]
-            near = columns[:, hit]
+            rough = rows[hit] @ queries[q]  # differs from the exact score by rounding only
+            if len(hit) > 4 * k:
+                slack = 1e-12 * width * largest * norms[q, 0]
+                hit = hit[rough >= np.partition(rough, len(hit) - k)[len(hit) - k] - slack]
+            near = rows[hit].T
             score = np.zeros(len(hit))
             for d in range(width):  # in the order of the components: equal vectors score equally
                 score += near[d] * queries[q, d]
