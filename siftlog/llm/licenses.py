@@ -1,6 +1,6 @@
 """Licence scan by canonical digests: equal texts after normalising have equal digests, found by a hash join.
 
-Normalising takes lower case, drops lines that begin a copyright statement, turns everything but letters and
+Normalising takes lower case, drops lines that are copyright statements, turns everything but letters and
 digits into single spaces and writes equivalent spellings one way.  The whole text and each of its lines are
 looked up among the digests of known licence texts and notices.  Everything is built-in functions.
 """
@@ -17,20 +17,42 @@ from siftlog.llm.license_texts import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
 
 MOST_BROADCAST = 20_000  # digests of known texts that may be broadcast; more are joined by shuffling
 MADE = ["license", "notices", "n_notices"]
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright|©|\(c\)|all rights reserved)[^\n]*$"
+# Statements within licence texts, which stand wherever their lines are wrapped, so they count as body: the Free Software
+# Foundation's own and the templates of appendices ("19yy <name of author>", "[yyyy] [name of copyright owner]").
+OF_TEXTS = ["free software foundation", "name of", "year", "yy"]
+
+
+def _other_than(words: list[str]) -> str:
+    """A pattern for what begins with a letter, but with none of ``words`` (a-z and spaces; no look-ahead needed)."""
+    starts = sorted({w[:i] for w in words for i in range(len(w))}, key=lambda p: (len(p), p))
+    after = {p: "".join(sorted({w[len(p)] for w in words if w.startswith(p) and w != p})) for p in starts}
+    letters = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in after[""])
+    return "|".join([f"[{letters}]", r"[^\x00-\x7F]", *(f"{p}[^{after[p]}\\n]" for p in starts if p)])
+
+
+_YEAR = r"(?:\d{4}|[\[<{(](?:year|yyyy))"
+# "copyright" with (c), the sign or a year, a sign, "(c)" with a year; "all rights reserved" alone.  The body of a licence
+# says "copyright holders", "copyright notice" and "(c) You must", and keeps such lines however they are wrapped.
+COPYRIGHT_LINE = (
+    rf"^[^\p{{L}}\p{{N}}\n]*(?:(?:copyright[ \t:,-]*(?:\(c\)|©|{_YEAR})|\(c\)[ \t]*{_YEAR}|©)"
+    rf"(?:[^\p{{L}}\n]*[\[<{{(](?:year|yyyy))?[^\p{{L}}\n]*(?:(?:{_other_than(OF_TEXTS)})[^\n]*)?|all rights reserved[^\p{{L}}\p{{N}}\n]*)$")
 
 
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form, each in single spaces; lines without letters or digits are empty."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"(?md){COPYRIGHT_LINE}", "")
     plain = F.regexp_replace(kept, r"[^\p{L}\p{N}\n]+", " ")
-    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENT_SPELLINGS, plain)
-    return F.transform(F.split(spelled, "\n"), lambda line: F.trim(line))
+    return F.transform(F.split(spelled(plain, EQUIVALENT_SPELLINGS), "\n"), lambda line: F.trim(line))
+
+
+def spelled(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
 
 
 def whole(lines: Column) -> Column:
-    """One canonical text of canonical lines."""
-    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
+    """One canonical text of canonical lines; spellings of two words may have stood on two lines."""
+    joined = F.array_join(F.filter(lines, lambda line: line != ""), " ")
+    return spelled(joined, [pair for pair in EQUIVALENT_SPELLINGS if " " in pair[0]])
 
 
 def digest(canonical: Column) -> Column:

@@ -1,3 +1,6 @@
+import textwrap
+from collections import Counter
+
 from siftlog.llm.license_texts import LICENSE_TEXTS
 from siftlog.llm.licenses import scan
 
@@ -39,3 +42,31 @@ def test_query_equals_sql(spark):
     for name in ORACLE:
         problem, count, _ = compare.differences(spark, compare.connect(sf_dir), sf_dir, name, QUERIES[name], ORACLE[name])
         assert problem is None and count, (name, problem)
+
+
+def rewrapped(text, width):
+    """Each paragraph filled to ``width`` columns; 0: the whole text as one line, None: one line a paragraph."""
+    if width == 0:
+        return " ".join(text.split())
+    parts = [" ".join(p.split()) for p in text.split("\n\n")]
+    return "\n\n".join(parts if width is None else (textwrap.fill(p, width, break_on_hyphens=False) for p in parts))
+
+
+def test_wrapping_does_not_count(spark):
+    whole = [(a, b) for a, b in LICENSE_TEXTS if len(b) > 300]
+    widths = (60, 66, 70, 72, 74, 76, 78, 79, 80, 90, 100, None, 0)
+    rows = [(i, rewrapped(b, w), None) for i, (_, b) in enumerate(whole) for w in widths]
+    assert Counter((r.doc_id, r.license) for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()) == {
+        (i, a): len(widths) for i, (a, _) in enumerate(whole)}
+
+
+def test_only_copyright_statements_are_dropped(spark):
+    dropped = ["Copyright (c) 2001 Someone", "copyright 2001-2003, Free Spirits", "© Someone", "(C) 1999 X", "// Copyright: © 2020 Žofie",
+               "Copyright (C) <year> <copyright holders>", "Copyright (c) 2001 X. All rights reserved.", "All rights reserved.\r", "Copyright (c)"]
+    kept = ["COPYRIGHT HOLDERS BE LIABLE FOR ANYTHING ELSE", "Copyright notice", "(c) You must", "All rights reserved by them", "Copyright and more",
+            "Copyright (C) 2007 Free Software Foundation, Inc.", "Copyright [yyyy] [name of copyright owner]", "Copyright (C) 19yy  <name of author>"]
+    rows = [(i, line + "\n" + MIT, None) for i, line in enumerate(dropped + kept)]
+    found = {r.doc_id: r.license for r in scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [found[i] for i in range(len(rows))] == ["MIT"] * len(dropped) + [None] * len(kept)
+    other = MIT.replace("COPYRIGHT HOLDERS BE LIABLE", "COPYRIGHT HOLDERS BE GLADLY LIABLE")
+    assert got(scan(spark.createDataFrame([(1, other, None)], SCHEMA))) == [(1, None, "", 0)]
