@@ -1,8 +1,13 @@
 """Known licence texts and short licence notices.
 
-Facts to compare with, so they are public texts as they stand.
+Facts to compare with, so they are public texts as they stand.  ``LICENSE_TEXTS`` also holds the forms they are found in:
+short ones under other titles or none, long ones without their appendix or with an older address, and SPDX lines.
 """
 
+import re
+
+from siftlog.llm.license_full_texts import FULL_TEXTS
+
 LICENSE_TEXTS: list[tuple[str, str]] = [
     ("MIT", """MIT License
 
@@ -83,6 +88,87 @@ required.
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
 
+_BSD_3 = LICENSE_TEXTS[3][1].replace("BSD 2-Clause", "BSD 3-Clause").replace("\n\nTHIS SOFTWARE", """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE""")
+_TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)"], "ISC": ["The ISC License", "ISC License (ISC)"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License (0BSD)"], "Zlib": ["The zlib License"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "BSD-2-Clause"], "BSD-3-Clause": ["The BSD 3-Clause License", "BSD-3-Clause"],
+}
+
+
+def _retitled(license: str, text: str) -> list[tuple[str, str]]:
+    """A text that begins with its title, without it and under other titles."""
+    body = text.split("\n\n", 1)[1]
+    return [(license, body), *((license, f"{title}\n\n{body}") for title in _TITLES[license])]
+
+
+def _forms(license: str, text: str) -> list[tuple[str, str]]:
+    """A full text, also up to the end of its terms, with its template for a copyright line filled in, and with the address
+    the Free Software Foundation had before."""
+    forms = [text]
+    terms = re.search(r"END OF TERMS AND CONDITIONS", text)
+    if terms:
+        forms.append(text[:terms.end()])
+        forms.append(text[:terms.start()].rstrip())
+    if "[name of copyright owner]" in text:  # a filled line is a copyright statement, which is dropped
+        forms.append(text.replace("Copyright [yyyy] [name of copyright owner]", ""))
+    address = r"51 Franklin St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA"
+    forms += [re.sub(address, "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", form) for form in forms if re.search(address, form)]
+    return [(license, form) for form in forms]
+
+
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. \
+You may obtain a copy of the License at"""
+_APACHE_REST = """http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, \
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing \
+permissions and limitations under the License."""
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+# whole headers, their first paragraphs on one line, and the lines of the usual wrapping that name a licence
+_HEADERS: list[tuple[str, str]] = [
+    ("Apache-2.0", f"{_APACHE}\n\n{_APACHE_REST}"), ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file'),
+    ("Apache-2.0", "The ASF licenses this file to You under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("MPL-2.0", _MPL), ("MPL-2.0", _MPL.replace(" at http", ",\nat http")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+_GNU = {"General Public License": {"GPL-1.0": "1", "GPL-2.0": "2", "GPL-3.0": "3"}, "Affero General Public License": {"AGPL-3.0": "3"},
+        "Library General Public License": {"LGPL-2.0": "2"}, "Lesser General Public License": {"LGPL-2.1": "2.1", "LGPL-3.0": "3"}}
+for _name, _versions in _GNU.items():
+    for _id, _version in _versions.items():
+        _HEADERS += [(_id, f"This work is licensed under the GNU {_name}, version {_version}."), (_id, f"Licensed under the GNU {_name}, version {_version}.")]
+        # punctuation does not count
+        _HEADERS += [(_id, f"This {_what} is free software; you can redistribute it and/or modify it under the terms of the GNU {_name} as published by "
+                           f"the Free Software Foundation; either version {_version} of the License, or (at your option) any later version.")
+                     for _what in ("program", "library", "file")]
+
+# "+" is no letter, so GPL-2.0+ is the line of GPL-2.0
+_SPDX = {
+    "MIT": [], "ISC": [], "0BSD": [], "Zlib": [], "BSD-2-Clause": [], "BSD-3-Clause": [], "Apache-2.0": [], "MPL-1.1": [], "MPL-2.0": [],
+    "Unlicense": [], "BSL-1.0": [], "CC0-1.0": [], "CC-BY-4.0": [], "CC-BY-SA-4.0": [], "CC-BY-NC-4.0": [],
+    **{gnu: ["-only", "-or-later"] for versions in _GNU.values() for gnu in versions},
+}
+LICENSE_TEXTS += [
+    *(form for license, text in LICENSE_TEXTS[:5] for form in _retitled(license, text)),
+    ("BSD-3-Clause", _BSD_3), *_retitled("BSD-3-Clause", _BSD_3),
+    *(form for license, text in FULL_TEXTS for form in _forms(license, text)), *_HEADERS,
+    *((license, f"SPDX-License-Identifier: {license}{end}") for license, ends in _SPDX.items() for end in ["", *ends]),
+]
+
 # Spellings that count as equal; applied to lower-case words with single spaces between them.
 EQUIVALENT_SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),

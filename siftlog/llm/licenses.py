@@ -18,8 +18,8 @@ from siftlog.llm.license_texts import EQUIVALENT_SPELLINGS, LICENSE_TEXTS
 MOST_BROADCAST = 20_000  # digests of known texts that may be broadcast; more are joined by shuffling
 MADE = ["license", "notices", "n_notices"]
 # Statements within licence texts, which stand wherever their lines are wrapped, so they count as body: the Free Software
-# Foundation's own and the templates of appendices ("19yy <name of author>", "[yyyy] [name of copyright owner]").
-OF_TEXTS = ["free software foundation", "name of", "year", "yy"]
+# Foundation's own and the templates of appendices ("19yy <name of author>", "19xx name of author", "[yyyy] [name of copyright owner]").
+OF_TEXTS = ["free software foundation", "name of", "year", "yy", "xx name"]
 
 
 def _other_than(words: list[str]) -> str:
@@ -27,7 +27,8 @@ def _other_than(words: list[str]) -> str:
     starts = sorted({w[:i] for w in words for i in range(len(w))}, key=lambda p: (len(p), p))
     after = {p: "".join(sorted({w[len(p)] for w in words if w.startswith(p) and w != p})) for p in starts}
     letters = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in after[""])
-    return "|".join([f"[{letters}]", r"[^\x00-\x7F]", *(f"{p}[^{after[p]}\\n]" for p in starts if p)])
+    return "|".join([f"[{letters}]", r"[^\x00-\x7F]", *(f"{p}[^{after[p]}\\n]" for p in starts if p),
+                     *(f"{p}$" for p in starts if p.strip() and not p.endswith(" ") and " " not in after[p])])  # not one whose line ends early
 
 
 _YEAR = r"(?:\d{4}|[\[<{(](?:year|yyyy))"

@@ -1,6 +1,7 @@
 import textwrap
 from collections import Counter
 
+from siftlog.llm.license_full_texts import FULL_TEXTS
 from siftlog.llm.license_texts import LICENSE_TEXTS
 from siftlog.llm.licenses import scan
 
@@ -70,3 +71,20 @@ def test_only_copyright_statements_are_dropped(spark):
     assert [found[i] for i in range(len(rows))] == ["MIT"] * len(dropped) + [None] * len(kept)
     other = MIT.replace("COPYRIGHT HOLDERS BE LIABLE", "COPYRIGHT HOLDERS BE GLADLY LIABLE")
     assert got(scan(spark.createDataFrame([(1, other, None)], SCHEMA))) == [(1, None, "", 0)]
+
+
+def test_known_texts_and_lines(spark):
+    full = dict(FULL_TEXTS)
+    filled = full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2013 Some Body")
+    ends = full["GPL-2.0"].index("END OF TERMS")
+    header = full["Apache-2.0"][full["Apache-2.0"].index("   Licensed under the Apache"):]
+    bsd = next(t for a, t in LICENSE_TEXTS if a == "BSD-3-Clause")
+    rows = [(license, text, license, "") for license, text in full.items()] + [
+        ("filled", filled, "Apache-2.0", ""), ("terms", full["GPL-2.0"][:ends], "GPL-2.0", ""), ("bsd", "Copyright 2014 X\n" + bsd, "BSD-3-Clause", ""),
+        ("untitled", "Copyright (c) 2020 X\n\n" + MIT.split("\n\n", 1)[1], "MIT", ""), ("more", full["MPL-2.0"] + "\nand more", None, ""),
+        ("header", "/*\n" + header + "\n*/\nint main() {}", None, "Apache-2.0"), ("spdx", "// SPDX-License-Identifier: BSD-3-Clause\nx", None, "BSD-3-Clause"),
+        ("later", "# SPDX-License-Identifier: GPL-2.0-or-later\nx", None, "GPL-2.0"), ("plus", "SPDX-License-Identifier: LGPL-2.1+ */\nx", None, "LGPL-2.1"),
+        ("agpl", "x\nSPDX-License-Identifier: AGPL-3.0-or-later", None, "AGPL-3.0")]
+    found = scan(spark.createDataFrame(rows, "doc_id string, text string, want string, lines string")).collect()
+    wrong = [(r.doc_id, r.license, r.notices) for r in found if r.license != r.want or (r.lines or r.want is None) and r.notices != r.lines]
+    assert len(found) == len(rows) and not wrong
