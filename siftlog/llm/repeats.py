@@ -1,4 +1,4 @@
-"""Repeated byte strings: maximal repeats by an enhanced suffix array, and texts without them.
+"""Repeated byte strings: which bytes of each text a repeat covers, and texts without them.
 
 A corpus is too large for one suffix array, so suffixes meet only where a repeat can be.  Every window of
 ``length`` bytes has an anchor: the position in it whose short string has the smallest hash, the leftmost of
@@ -8,11 +8,13 @@ all that is shuffled at first is a row of hashes per run, about one for every ``
 * runs with equal anchor and equal bytes at two places are repeats as a whole;
 * anchors whose runs differ are open: the bytes of one run of each kind meet, in bins of bounded size.
 
-In a bin the suffixes that start a repeated window, and whose left neighbours differ, make a sparse
-suffix array with the lengths of common prefixes.  A scan with a stack finds its common-prefix intervals; an
-interval of at least ``length`` whose left extensions differ is a maximal repeat, and every suffix stands under its
-deepest one, so the tree holds all occurrences in linear size.  An anchor with too many different runs for one bin
-is settled by counting its windows' hashes instead.  Equal texts are one text from the start.
+In a bin the suffixes that start a repeated window, and whose left neighbours differ, make a sparse suffix array with
+the lengths of common prefixes.  The longest prefix a suffix shares with a neighbour is its span.  An anchor with too
+many different runs for one bin is settled by counting its windows' hashes instead.  Equal texts are one text from the start.
+
+Groups of maximal repeats are not returned: hashes and neighbours decide every span.  A bin's common-prefix intervals
+whose left extensions differ are found and written beside the leaves, but nothing reads them, they end at the edges of
+runs, and copies, equal runs and common anchors are not among them.
 """
 
 from __future__ import annotations
@@ -340,7 +342,7 @@ class Repeats:
     """What of a table's texts is repeated.
 
     ``texts``: a row per input row (id, sha, key, n).  ``copied``: keys of texts that occur more than once.  ``leaves``: of
-    the open anchors, each suffix with the longest prefix it shares, and its place in the tree of maximal repeats.
+    the open anchors, each suffix with the longest prefix it shares, and its place in its bin's tree, which decides no span.
     ``spans``: (key, spans) of the other texts, covering every byte of a window that also starts elsewhere.
     ``needed``: the texts these spans are of.
     """
