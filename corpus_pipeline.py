@@ -24,12 +24,15 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 5-gram similarity 0.8 join, the one of the smallest id.
 
-    Documents without words have no such links and stay.  Rows of equal id and text count once.
+    Documents without words have no such links and stay.  Rows of equal id and text count once.  Ids may repeat or be null
+    (which counts as the largest): of one id's texts, each is judged by itself, and of linked ones a single one stays.
     """
-    of_doc = jaccard.components(docs, words=5, percent=80)
-    kept = written(spark, of_doc.filter("n_shingles = 0 or doc_id <=> component_id").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("rows")), "kept")
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
+    of_doc = jaccard.groups(docs, words=5, percent=80, with_hash=True)
+    rows = of_doc.groupBy("n", "group", "id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    first = rows.filter("n > 0").groupBy("group").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "rows")).alias("first")).select("first.id", "first.text_hash", "first.rows")
+    kept = written(spark, first.unionByName(rows.filter("n = 0").select("id", "text_hash", "rows")), "kept")
+    same = docs["doc_id"].eqNullSafe(kept["id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
     repeated = kept.filter("rows > 1")
     once = docs.join(kept.filter("rows = 1"), same, "left_semi")
     return once if repeated.isEmpty() else once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

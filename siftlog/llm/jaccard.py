@@ -81,7 +81,7 @@ def prefix_length(n, percent: int):
 
 
 def _sets(percent: int, words: int):
-    """(id, text) -> id, n, set_id and the tokens that may stand in a prefix: the quarter, or more where it is too small."""
+    """(id, text, ...) -> id, n, set_id and the tokens that may stand in a prefix: the quarter, or more where it is too small; and the rest."""
     def make(batches):
         import numpy as np
         import pyarrow as pa
@@ -99,8 +99,8 @@ def _sets(percent: int, words: int):
                 np.cumsum([len(t) for t in tokens], out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists],
-                    names=["id", "n", "set_id", "tokens"])
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), lists, *part.columns[2:]],
+                    names=["id", "n", "set_id", "tokens", *part.schema.names[2:]])
 
     return make
 
@@ -231,10 +231,23 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     ``words``-grams is at least ``percent`` hundredths; ``component_id`` is the smallest id that links lead to, the
     row's own included.  Null and empty texts have no n-grams and link with nothing; equal rows link with each other.
     """
+    of_doc = groups(df, doc_id, text, words, percent)
+    least = of_doc.filter("n > 0").groupBy("group").agg(F.min("id").alias("least"))
+    placed = of_doc.join(least, "group", "left")
+    return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, with_hash: bool = False) -> DataFrame:
+    """(id, n, set_id, group), a row for each row of ``df``: rows with n-grams that links join share a group.
+
+    ``with_hash`` adds text_hash, xxhash64 of the text, for tables whose ids do not tell rows apart.
+    """
     spark = df.sparkSession
+    hashed = [F.xxhash64(df[text]).alias("text_hash")] if with_hash else []
     sets = written(spark, map_batches(
-        df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text")), _sets(percent, words),
-        "id long, n long, set_id long, tokens array<long>"), "sets")
+        df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text"), *hashed), _sets(percent, words),
+        "id long, n long, set_id long, tokens array<long>" + (", text_hash long" if with_hash else "")), "sets")
     prefixes = (_prefix(F.col("shared"), F.col("u"), F.col("n"), percent, k).alias(f"p{k}") for k in range(ORDERS))
     sizes = sets.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"))
     reached = written(spark, _shared_tokens(sets, percent).join(sizes, "set_id").filter(
@@ -259,12 +272,8 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     filters = written(spark, chosen.select("set_id", "n", *(_token_bits(F.col(f"p{k}")).alias(f"p{k}") for k in range(1, ORDERS))).join(
         whole.select("set_id", "bits"), "set_id"), "filters")
     roots = connected_components(_links(spark, entries, filters, whole.select("set_id", "shingles"), percent))
-    of_doc = sets.select("id", "n", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+    return sets.drop("tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "group", F.coalesce("root", "set_id"))
-    least = of_doc.filter("n > 0").groupBy("group").agg(F.min("id").alias("least"))
-    placed = of_doc.join(least, "group", "left")
-    return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:

@@ -53,3 +53,17 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    def prose(word):
+        return " ".join(f"{word}{i}" for i in range(60))
+
+    rows = [(1, prose("a")), (5, prose("a") + " end"), (5, prose("b")), (7, prose("c")), (7, prose("c") + " end"), (7, prose("c")),
+            (8, prose("d")), (8, prose("d")), (None, prose("a") + " other"), (None, prose("e")), (None, prose("f")), (None, prose("f") + " end"),
+            (9, None), (9, ""), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.distinct_documents(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert Counter((r.doc_id, (r.text or "-")[:1]) for r in found.collect()) == Counter(
+        [(1, "a"), (5, "b"), (7, "c"), (8, "d"), (None, "e"), (None, "f"), (9, "-"), (9, "-"), (None, "-")])
