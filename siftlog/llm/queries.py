@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, jaccard, licenses, mixing, neighbours, personal, quality, repeats, topk, warc
+from siftlog.llm import bpe, jaccard, licenses, merkle, mixing, neighbours, personal, quality, repeats, topk, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -100,4 +100,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents, their proofs, and what these say after some lengths were changed."""
+    documents = table(spark, sf_dir, "documents")
+    hit = F.coalesce(F.crc32(documents["doc_id"].cast("string")) % 7 == 0, F.lit(False))
+    return merkle.manifest(documents, ["doc_id", "source", "lang", "n_chars", "text"], tampered={
+        "n_chars": F.when(hit, documents["n_chars"] + 1).otherwise(documents["n_chars"])})
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk, op11_merkle)}

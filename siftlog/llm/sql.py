@@ -94,3 +94,63 @@ SELECT doc_id, CASE WHEN w.c <> '' THEN k.license END AS license, coalesce(notic
   coalesce(n_notices, 0)::BIGINT AS n_notices
 FROM w LEFT JOIN k USING (c) LEFT JOIN n USING (r)
 """
+
+
+def _crc32(data: str) -> str:
+    """SQL for the CRC-32 of a text's UTF-8 bytes; needs the row ``crc(t)`` of the 256 table entries."""
+    octet = "('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::BIGINT"
+    octets = f"list_transform(range(octet_length(encode(s))), lambda i: {octet})"
+    step = "xor(a >> 8, t[(xor(a, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, lambda a, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)".replace("(s)", f"({data})")
+
+
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), " \
+    "lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, n) AS v FROM range(256) AS r(n)))"
+
+
+def _leaf(n_chars: str = "n_chars") -> str:
+    def value(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+
+    return "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+ORACLE["op11_merkle"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS k, {_leaf()} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS changed
+  FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+tree AS (
+  SELECT k, 0 AS lvl, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT k, any_value(lvl) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY k, i // 2),
+sub AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, i, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT any_value(lvl) + 1, i // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY i // 2),
+steps AS (
+  SELECT k, i, n, 0 AS lvl, i AS at, n AS w, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM l
+  UNION ALL
+  SELECT s.k, s.i, s.n, s.lvl + 1, s.at // 2, (s.w + 1) // 2, CASE WHEN o.i < s.at THEN o.h END, CASE WHEN o.i > s.at THEN o.h END
+  FROM steps s LEFT JOIN tree o ON o.k = s.k AND o.lvl = s.lvl AND o.i = xor(s.at, 1) WHERE s.w > 1),
+topsteps AS (
+  SELECT k, i, n, 0 AS lvl, i AS at, n AS w, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM sub
+  UNION ALL
+  SELECT s.k, s.i, s.n, s.lvl + 1, s.at // 2, (s.w + 1) // 2, CASE WHEN o.i < s.at THEN o.h END, CASE WHEN o.i > s.at THEN o.h END
+  FROM topsteps s LEFT JOIN top o ON o.lvl = s.lvl AND o.i = xor(s.at, 1) WHERE s.w > 1),
+walk AS (
+  SELECT k, i, list({{'b': coalesce(before, ''), 'a': coalesce(after, '')}} ORDER BY lvl) FILTER (lvl > 0) AS p FROM steps GROUP BY k, i),
+topwalk AS (
+  SELECT k, list({{'b': coalesce(before, ''), 'a': coalesce(after, '')}} ORDER BY lvl) FILTER (lvl > 0) AS p FROM topsteps GROUP BY k),
+f AS (
+  SELECT l.doc_id, l.leaf, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+    coalesce(walk.p, []) || coalesce(topwalk.p, []) AS p, coalesce(l.changed, l.leaf) AS start
+  FROM l JOIN walk USING (k, i) JOIN topwalk USING (k) JOIN sub USING (k)),
+g AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(p, lambda x: x.b || x.a), '')) AS proof_sha256,
+    list_reduce(list_transform(p, lambda x: [x.b, x.a]), lambda h, x: [sha256(x[1] || h[1] || x[2])], [start])[1] AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM g
+"""
