@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, jaccard, licenses, merkle, mixing, neighbours, personal, quality, repeats, topk, warc
+from siftlog.llm import bpe, jaccard, licenses, merkle, mixing, neighbours, personal, quality, repeats, spelling, topk, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
@@ -108,4 +108,9 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars": F.when(hit, documents["n_chars"] + 1).otherwise(documents["n_chars"])})
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk, op11_merkle)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some misspelt on purpose, with the usual form of each."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk, op11_merkle, op12_spelling)}

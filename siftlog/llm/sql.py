@@ -154,3 +154,32 @@ g AS (
     list_reduce(list_transform(p, lambda x: [x.b, x.a]), lambda h, x: [sha256(x[1] || h[1] || x[2])], [start])[1] AS folded_root FROM f)
 SELECT *, folded_root = root AS verified FROM g
 """
+
+
+ORACLE["op12_spelling"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)),
+docs AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY doc_id, w),
+hashed AS (SELECT w, n, {_crc32("(doc_id::VARCHAR || ':' || w)")} AS h FROM docs, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed),
+words AS (SELECT w, sum(n)::BIGINT AS n FROM made GROUP BY w HAVING length(w) >= 7 AND sum(n) >= 2),
+gaps AS (SELECT w, i, substr(w, 1, i) || substr(w, i + 2) AS v FROM words, range(64) AS r(i) WHERE i < length(w)),
+pairs AS (
+  SELECT a.w, b.w AS near FROM gaps a JOIN gaps b ON a.v = b.v AND a.i = b.i AND a.w <> b.w
+  UNION SELECT g.w, s.w FROM gaps g JOIN words s ON s.w = g.v
+  UNION SELECT s.w, g.w FROM gaps g JOIN words s ON s.w = g.v),
+best AS (
+  SELECT p.w, count(*) AS n_near, min(-x.n) AS less, min({{'less': -x.n, 'near': p.near}}).near AS near
+  FROM pairs p JOIN words x ON x.w = p.near GROUP BY p.w),
+forms AS (
+  SELECT words.w, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -less >= 10 * n THEN near END AS form,
+    CASE WHEN -less >= 10 * n THEN -less END::BIGINT AS form_n
+  FROM words LEFT JOIN best ON best.w = words.w),
+paths AS (
+  SELECT w, form AS at FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT p.w, f.form FROM paths p JOIN forms f ON f.w = p.at WHERE f.form IS NOT NULL),
+roots AS (SELECT p.w, p.at FROM paths p JOIN forms f ON f.w = p.at WHERE f.form IS NULL)
+SELECT forms.w AS word, form, coalesce(roots.at, forms.w) AS root, n, n_near, form_n FROM forms LEFT JOIN roots ON roots.w = forms.w
+"""
