@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlog.llm import bpe, jaccard, licenses, merkle, mixing, neighbours, personal, quality, repeats, spelling, topk, warc
+from siftlog.llm import bpe, jaccard, licenses, merkle, mixing, neighbours, personal, quality, repeats, spelling, topk, toxicity, warc
 from siftlog.llm.columns import table, word_count
 from siftlog.llm.sql import ORACLE as ORACLE
 from siftlog.session import new_folder, written
 
 
 QUALITY_LEAST = 0.3
+TOXIC_LEAST = 0.3
 
 
 def held_out() -> Column:
@@ -113,4 +114,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk, op11_merkle, op12_spelling)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labelled rows outside the held-out quarter."""
+    documents = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), use=~held)
+    return toxicity.score(documents, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_licenses, op4_neighbours, op5_quality, op6_personal, op7_mixing, op8_warc, op9_repeats, op10_topk, op11_merkle, op12_spelling, op13_toxicity)}
