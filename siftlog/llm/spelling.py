@@ -8,13 +8,14 @@ edit apart share all their other grams.  So only the word's rarest grams are lis
 their place and the word's length.  Short lists that meet are merged and their words verified letter by letter.
 
 A list of more than ``SHORT_LIST`` words is not compared word by word: its words share the gram, so an edit lies in the
-rest, and the list is split by the rest without one letter.  A word whose bound leaves no gram is also listed under the
+rest, and the list is split by the rest without one letter (long words: by halves).  A word whose bound leaves no gram is also listed under the
 empty gram, the longest list of all.  So the work grows with the words and with the pairs that are near.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,7 +28,8 @@ from siftlog.session import written
 SHORTEST, LONGEST = 2, 4  # letters of a gram
 COMMON = 200  # words: a gram in more is extended ...
 MOST_COMMON = 20_000  # ... if it is among so many; bounds the dictionary that is broadcast
-SHORT_LIST = 16  # words
+SHORT_LIST = 32  # words
+LONG_WORD = 64  # letters
 HELD_WORDS = 200_000  # counted in a task before they are handed on
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
@@ -117,20 +119,14 @@ class Grams:
         new gram that ends behind the edit can swallow grams up to its end if the letters from the edit on end a gram.
         """
         size, most = len(word), 0
+        starts, ends = [p[0] for p in parts], [p[1] for p in parts]  # both ascend, so those that are hit are neighbours
         for at in range(size + 1):
             # the first start from which a gram may reach the edit, the last end that a gram over the edit may reach
             left = next((s for s in range(max(0, at - LONGEST + 1), at) if word[s:at] in self.heads), at)
+            first = min(bisect_left(starts, left), bisect_right(ends, at))
             for after in ((at, at + 1) if at < size else (at,)):  # an insertion, or a deletion or replacement of word[at]
                 right = next((e for e in range(min(size, after + LONGEST - 1), after, -1) if word[after:e] in self.tails), after)
-                hit = 0
-                for start, end in parts:
-                    if end <= at:
-                        hit += start >= left
-                    elif start >= after:
-                        hit += end <= right
-                    else:
-                        hit += 1
-                most = max(most, hit)
+                most = max(most, max(bisect_right(ends, right), bisect_left(starts, after)) - first)
         return most
 
     def listed(self, word: str) -> list[tuple[str, int]]:
@@ -182,37 +178,53 @@ def _lists(words: DataFrame, grams: Grams) -> DataFrame:
     return map_batches(words.select("word"), make, "gram string, start int, size int, word string")
 
 
-def _variants(listed: DataFrame) -> DataFrame:
-    """``(at, rest, word)`` for each letter outside a listed gram: ``rest`` stands for gram, place and the word without it."""
-    gram = F.length("gram")
+def _splits(listed: DataFrame) -> DataFrame:
+    """``(rest, at, word)``: each word of a list by all it has beside one letter outside the gram.
+
+    A word of more than ``LONG_WORD`` letters, for which that would be many, by each half instead: an edit leaves one
+    half as it is.  The longer of two words is halved as the shorter one, from either end.
+    """
+    gram, word = F.length("gram"), F.col("word")
     outside = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda p: (p < F.col("start")) | (p >= F.col("start") + gram))
-    left_out = listed.withColumn("at", F.explode(outside))
-    without = F.expr("concat(left(word, at), substring(word, at + 2))")
     start = F.col("start") - (F.col("at") < F.col("start")).cast("int")
-    return left_out.select("at", F.xxhash64("gram", start, without).alias("rest"), "word")
+    without = F.expr("concat(left(word, at), substring(word, at + 2))")
+    letters = listed.filter(F.col("size") <= LONG_WORD).withColumn("at", F.explode(outside)).select(
+        F.xxhash64("gram", start, without).alias("rest"), "at", "word")
+    shorter = F.col("size") - F.col("longer")
+    halves = listed.filter(F.col("size") >= LONG_WORD).withColumn("longer", F.explode(F.when(
+        F.col("size") > LONG_WORD, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn(
+        "half", F.floor(shorter / 2).cast("int")).withColumn("at", F.explode(F.array(F.lit(-1), F.lit(-2)))).select(
+        F.xxhash64("gram", shorter, F.when(F.col("at") == -1, F.left(word, F.col("half"))).otherwise(
+            F.right(word, shorter - F.col("half")))).alias("rest"), "at", "word")
+    return letters.unionByName(halves)
 
 
 def near_pairs(words: DataFrame, grams: Grams | None = None) -> DataFrame:
-    """``(a, b)`` of the words that are one edit apart, each pair once; ``b`` is longer, or as long and greater."""
+    """``(a, b)`` of the words that are one edit apart, each pair once; ``b`` is longer, or as long and greater.
+
+    Lists and their splits travel under 64-bit hashes, as every pair that meets is verified.
+    """
     spark = words.sparkSession
     grams = grams or gram_dictionary(words)
-    lists = written(spark, _lists(words, grams), "lists")
-    key = ["gram", "start", "size"]
-    by_gram = lists.filter("gram <> ''")
-    long = by_gram.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHORT_LIST).drop("n")
-    short, in_long = by_gram.join(long, key, "left_anti"), by_gram.join(long, key, "left_semi").unionByName(lists.filter("gram = ''"))
+    lists = written(spark, _lists(words, grams), "lists").filter("word is not null")
+    by_gram = lists.filter("gram <> ''").withColumn("list", F.xxhash64("gram", "start", "size"))
+    long = by_gram.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHORT_LIST).select("list")
+    short = by_gram.select("list", "word").join(long, "list", "left_anti")
     near = F.levenshtein("a", "b", 1) == 1
 
     # words of one length keep the places of the grams they share; behind an added letter these move by one
-    a, b = short.select(*key, F.col("word").alias("a")), short.select(*key, F.col("word").alias("b"))
-    moved = by_gram.select("gram", F.col("word").alias("a"), F.explode(F.array("start", F.col("start") + 1)).alias("start"),
-                           (F.col("size") + 1).alias("size"))
-    found = [a.join(b, key).filter((F.col("a") < F.col("b")) & near), moved.join(b, key).filter(near)]
+    a, b = (short.select("list", F.col("word").alias(name)) for name in ("a", "b"))
+    moved = by_gram.select(F.explode(F.array(*(F.xxhash64("gram", F.col("start") + i, F.col("size") + 1) for i in (0, 1)))).alias("list"),
+                           F.col("word").alias("a"))
+    found = [a.join(b, "list").filter((F.col("a") < F.col("b")) & near), moved.join(b, "list").filter(near)]
 
-    split = written(spark, _variants(in_long), "splits")
-    one, other = split.select("rest", "at", F.col("word").alias("a")), split.select("rest", "at", F.col("word").alias("b"))
+    split = _splits(by_gram.join(long, "list", "left_semi").drop("list").unionByName(lists.filter("gram = ''")))
+    one, other = split.withColumnsRenamed({"word": "a", "at": "at_a"}), split.withColumnsRenamed({"word": "b", "at": "at_b"})
     itself = lists.select(F.xxhash64("gram", "start", "word").alias("rest"), F.col("word").alias("a"))
-    found += [one.join(other, ["rest", "at"]).filter((F.col("a") < F.col("b")) & near), itself.join(other, "rest").filter(near)]
+    size_a, size_b = F.length("a"), F.length("b")
+    ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
+    found += [one.join(other, "rest").filter((F.col("at_a") == F.col("at_b")) & ordered & near),
+              itself.join(other, "rest").filter(near & (F.col("at_b") < size_b))]  # the same columns: one exchange for all
     pairs = found[0].select("a", "b")
     for part in found[1:]:
         pairs = pairs.unionByName(part.select("a", "b"))

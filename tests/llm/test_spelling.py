@@ -54,7 +54,8 @@ def test_bound_holds_for_every_edit(common):
 
 def test_near_pairs_equal_brute_force(spark):
     words = some_words(random.Random(7), 300)
-    words += ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "é" * 400, "é" * 401, "é" * 399 + "a"]
+    words += ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", *("é" * n for n in (63, 64, 65, 66, 400, 401)), "é" * 63 + "a", "a" + "é" * 64, "é" * 399 + "a"]
+    words += ["a" * i + "b" * (64 + k - i) for i in range(0, 60, 9) for k in (0, 1)]
     want = sorted((a, b) if (len(a), a) < (len(b), b) else (b, a) for i, a in enumerate(words) for b in words[i + 1:] if one_edit(a, b))
     df = spark.createDataFrame([(w,) for w in set(words)], "word string")
     for grams in (dictionary(words, 5), None):
