@@ -20,7 +20,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from siftlog.llm.columns import field, map_batches, slices, texts_of, without
 
@@ -199,9 +198,8 @@ def fit(
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = known.withColumn("place", F.md5(F.col("id").cast("string")))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    by_label = Window.partitionBy("label").orderBy("place", "id")
-    picked = known.withColumn("n", F.row_number().over(by_label)).filter(
-        F.col("n") <= F.when(F.col("label") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS)).drop("n")
+    toxic, clean = (known.filter(F.col("label") == kind).orderBy("place", "id").limit(n) for kind, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)))
+    picked = toxic.unionByName(clean)  # each a top-k: no task sees all rows of a label
     texts = documents.select(documents[doc_id].alias("id"), documents[text].alias("text")).filter(F.length("text") <= LONGEST_FITTED)
     rows = texts.join(F.broadcast(picked), "id").groupBy("id", "label", "place").agg(
         F.min("text").alias("text")).collect()  # at most TOXIC_ROWS + CLEAN_ROWS
