@@ -165,6 +165,7 @@ class FileScan:
     places: DataFrame | None  # one row per (uri, block): where its lines and entries begin
     whole: DataFrame | None  # uri, text: files that are read in one piece
     failed: DataFrame | None  # uri, reason
+    failed_count: int
     start_pattern: str | None
     shown: list[tuple[str, str]]  # (address, path) of files that are spelled in their own way, every spelling
     show: Callable[[Column], Column]
@@ -190,8 +191,9 @@ class FileScan:
         if not parts:
             return self.spark.createDataFrame([], "file_path string, start_line bigint, end_line bigint, content string")
         entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        if self.failed is not None:
-            entries = entries.join(self.failed, "uri", "left_anti")
+        if self.failed_count:
+            failed = F.broadcast(self.failed) if self.failed_count <= BROADCAST_BLOCKS else self.failed
+            entries = entries.join(failed, "uri", "left_anti")
         return self.named(entries).select(*ENTRY_COLUMNS)
 
     def failed_files(self) -> DataFrame:
@@ -514,9 +516,11 @@ def scan_files(
         read = _own_texts(spark, own, declared)
         failed.append(read.filter("reason is not null").select("uri", "reason"))
         texts.append(read.filter("reason is null").select("uri", "text"))
+    # small beside the text: written and counted, so that a search joins it without moving text, or not at all
+    failures = written(spark, reduce(DataFrame.unionByName, failed), "failed") if failed else None
     return FileScan(
         spark=spark, lines=lines, places=places, whole=reduce(DataFrame.unionByName, texts) if texts else None,
-        failed=reduce(DataFrame.unionByName, failed) if failed else None, start_pattern=start_pattern, shown=shown or [], show=show,
+        failed=failures, failed_count=failures.count() if failed else 0, start_pattern=start_pattern, shown=shown or [], show=show,
     )
 
 
