@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from siftlog.functions.positions import match_positions, term_positions
 from siftlog.functions.terms import LogicalQuery, Term, match_all, match_any, match_none
 from siftlog.functions.timefilter import extract_timestamp
-from siftlog.functions.dialect import checked_java_regex
 from siftlog.operators.entries import entries_from_lines, entries_from_text
 from siftlog.operators.paging import cap_hits, cap_per_file, files_within_cap, page_bounds, take_page, totals
 from siftlog.plans.report import Step, step_report
@@ -129,6 +128,14 @@ def numbered_events(spark, sf_dir):
     return events_as_lines(table(spark, sf_dir, "events"))
 
 
+def regex_long_entries(spark, sf_dir):
+    """Whole documents as entries, under patterns that a backtracking search could try in very many ways."""
+    whole = entries_from_text(documents(spark, sf_dir), r"^\x00")
+    return filter_entries(
+        whole, must=[Term(r"[Tt]h(e|en|an)+ (.|\n)*(on|ing)+\.\n", regex=True, case_sensitive=True)],
+        none=[Term(r"(en|er|\n)+the(.|\n)* (a|an|and)+\.", regex=True, case_sensitive=True)])
+
+
 def match_columns(spark, sf_dir):
     content = F.col("content")
     return document_lines(spark, sf_dir).select(
@@ -140,7 +147,7 @@ def match_columns(spark, sf_dir):
 
 
 def extract_timestamps(spark, sf_dir):
-    stamp = extract_timestamp(F.col("content"), checked_java_regex(SECONDS + r"\.\d+"))
+    stamp = extract_timestamp(F.col("content"), SECONDS + r"\.\d+")
     return event_entries(spark, sf_dir).select("file_path", "start_line", stamp.cast("timestamp_ntz").alias("entry_ts"))
 
 
@@ -312,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contains_case_sensitive": matching(Term("The", case_sensitive=True)),
     "regex_ignore_case": matching(Term(r"^the [a-z]+tion|dé.e", regex=True)),
     "regex_case_sensitive": matching(Term(r"[A-Z][a-z]+ [A-Z]|\.$", regex=True, case_sensitive=True)),
+    "regex_long_entries": regex_long_entries,
     "whole_word": matching(Term("LE", whole_word=True)),
     "whole_word_case_sensitive": matching(Term("de", whole_word=True, case_sensitive=True)),
     "must_any_none": matching("en", any=["que", "the", "der"], none=[Term("tion", case_sensitive=True)]),
@@ -328,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "positions_plain_case_sensitive": positions_of(Term("é", case_sensitive=True)),
     "positions_whole_word": positions_of(Term("LE", whole_word=True)),
     "positions_regex": positions_of(Term("[aeiou]n[a-z]*", regex=True)),
+    "positions_linear": positions_of(Term("(en|an|t)+e", regex=True, case_sensitive=True)),
     "positions_concat": positions_concat,
     "hits_without_content": hits_without_content,
     "cap_per_file": capped_per_file,

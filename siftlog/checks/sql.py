@@ -232,6 +232,11 @@ FROM marked GROUP BY conv_id, entry""",
     "contains_case_sensitive": from_lines("contains(content, 'The')"),
     "regex_ignore_case": from_lines("regexp_matches(content, '(?i)^the [a-z]+tion|dé[^\\n]e')"),
     "regex_case_sensitive": from_lines(r"regexp_matches(content, '[A-Z][a-z]+ [A-Z]|\.$')"),
+    "regex_long_entries": rf"""WITH {DOCUMENT_LINES}, whole AS (
+  SELECT file_path, min(start_line) AS start_line, max(end_line) AS end_line, string_agg(content, '' ORDER BY start_line) AS content
+  FROM lines GROUP BY file_path)
+SELECT * FROM whole WHERE regexp_matches(content, '[Tt]h(e|en|an)+ (?s:.)*(on|ing)+\.\n')
+  AND NOT regexp_matches(content, '(en|er|\n)+the(?s:.)* (a|an|and)+\.')""",
     "whole_word": from_lines(f"regexp_matches(content, '{WORD_LE}')"),
     "whole_word_case_sensitive": from_lines(f"regexp_matches(content, '(^|{NOT_WORD})de($|{NOT_WORD})')"),
     "must_any_none": from_lines(
@@ -260,6 +265,8 @@ FROM marked GROUP BY conv_id, entry""",
         f"WITH {DOCUMENT_LINES}, {plain_positions('lines', 'le')}, {word_filter('plain')} SELECT {RENUMBERED} FROM plain_words",
     "positions_regex":
         f"WITH {DOCUMENT_LINES}, {regex_positions('lines', '(?i)[aeiou]n[a-z]*')} SELECT {POSITION_COLUMNS} FROM rx",
+    "positions_linear":
+        f"WITH {DOCUMENT_LINES}, {regex_positions('lines', '(?:en|an|t)+e')} SELECT {POSITION_COLUMNS} FROM rx",
     "positions_concat":
         f"WITH {DOCUMENT_LINES}, {EN_PLAIN}, {plain_positions('lines', 'le', name='le')}, {word_filter('le')}, "
         f"{regex_positions('lines', '(?i)[aeiou]n[a-z]+')}, {plain_positions('lines', 'zz', name='zz')}, "

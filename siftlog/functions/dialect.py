@@ -106,6 +106,23 @@ class _Rewriter:
         self.flags = {"m": False, "x": False, "U": False}
         self.open: list[tuple[int, dict]] = []
         self.names: set[str] = set()
+        self.loops = 0  # unbounded repetitions of single characters
+        self.choices = 0  # bounded ones of varying number
+        self.top_choice = False  # "|" outside of groups
+        self.deep = False  # an unbounded repetition of a group, for which the JVM's matcher calls itself
+        self.loops_groups = False  # one that it may try in very many ways
+
+    def one(self, piece: str) -> str:
+        """A piece that takes exactly one character."""
+        return piece
+
+    def dot(self) -> str:
+        return "."
+
+    def anchor(self, c: str) -> str:
+        if c == "^":
+            return r"(?:\A|(?<=\n))" if self.flags["m"] else r"\A"
+        return r"(?=\n|\z)" if self.flags["m"] else r"\z"
 
     def fail(self, why: str):
         raise InvalidPattern(f"{why} at {self.at} in {self.src!r}")
@@ -123,9 +140,10 @@ class _Rewriter:
                 end = self.src.find("\n", self.at)
                 self.at = len(self.src) if end < 0 else end + 1
             elif c == "\\":
-                self.put(self.escape(in_class=False)[0])
+                text, code = self.escape(in_class=False)
+                self.put(text if code is None else self.one(text))
             elif c == "[":
-                self.put(self.char_class())
+                self.put(self.one(self.char_class()))
             elif c == "(":
                 self.group()
             elif c == ")":
@@ -139,16 +157,12 @@ class _Rewriter:
                 self.at += 1
                 self.out.append("|")
                 self.atom = None
+                self.top_choice |= not self.open
             elif c in "*+?{":
                 self.repeat()
             else:
                 self.at += 1
-                if c == "^":
-                    self.put(r"(?:\A|(?<=\n))" if self.flags["m"] else r"\A")
-                elif c == "$":
-                    self.put(r"(?=\n|\z)" if self.flags["m"] else r"\z")
-                else:
-                    self.put("." if c == "." else escape_literal(c))
+                self.put(self.anchor(c) if c in "^$" else self.dot() if c == "." else self.one(escape_literal(c)))
         if self.open:
             self.fail("unclosed group")
         return "".join(self.out)
@@ -204,9 +218,12 @@ class _Rewriter:
                 self.fail("bad counted repetition")
             text = "{" + low + (comma or "") + (high or "") + "}"
             self.at = m.end()
+            least, most = int(low), int(high) if high else None if comma else int(low)
         else:
             text = self.src[self.at]
             self.at += 1
+            least, most = int(text == "+"), 1 if text == "?" else None
+        self.weigh(least, most)
         lazy = self.src.startswith("?", self.at)
         self.at += lazy
         if self.repeated:  # a repetition of a repetition, which Java would read as possessive
@@ -214,6 +231,28 @@ class _Rewriter:
         self.out.append(text + ("?" if lazy != self.flags["U"] else ""))
         self.repeated = True
 
+    def weigh(self, least: int, most: int | None) -> None:
+        """What a repetition of the last piece means for a backtracking search."""
+        varies = most is None or most > least
+        if self.repeated or self.closed:
+            inner = "".join(self.out[self.atom:]).replace("(?", "(")
+            inside = len(re.findall(r"(?<!\\)[?{|]", inner)), len(re.findall(r"(?<!\\)[*+]|,\}", inner))
+            if most is None:
+                self.deep = True
+                self.loops_groups |= any(inside)
+            elif most > 1:
+                self.choices += (most - 1) * inside[0]
+                self.loops += (most - 1) * inside[1]
+        if most is None or most - least > 20:
+            self.loops += 1
+        elif varies:
+            self.choices += 1
+
+    @property
+    def closed(self) -> bool:
+        """Whether the last piece is a group of the pattern and not one piece that merely looks like one."""
+        return self.out[self.atom].startswith("(") and self.out[-1] == ")"
+
     def escape(self, in_class: bool) -> tuple[str, int | None]:
         """Consume one escape; return its Java text and, for a single character, its code point."""
         self.at += 1

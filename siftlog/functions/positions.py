@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftlog.functions.dialect import escape_literal
+from siftlog.functions.linear import positions as located
 from siftlog.functions.terms import LogicalQuery, Term
 
 POSITIONS_TYPE = "array<struct<offset:bigint,length:bigint>>"
@@ -140,8 +141,10 @@ def term_positions(content: Column, term: Term | str, strict: bool = False) -> C
     if term.query is None or (term.query == "" and not term.regex):
         return _no_positions()
     if term.regex:
-        pattern = term.java_regex(strict)
-        return _no_positions() if pattern is None else _regex(content, pattern)
+        m = term.matcher(strict)
+        if m is None:
+            return _no_positions()
+        return located(content, m, lambda c: _regex(c, m.java)) if m.sends else _regex(content, m.java)
     return (_whole_word if term.whole_word else _plain)(content, term)
 
 

@@ -16,6 +16,7 @@ from siftlog.functions.dialect import (
     escape_literal,
     ignores_final_newline,
 )
+from siftlog.functions.linear import Matcher, matcher, matches
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,40 @@ class Term:
                 raise
             return None
 
+    def matcher(self, strict: bool = False) -> Matcher | None:
+        """How a regex term is matched; ``None`` for other terms and invalid patterns."""
+        if not self.regex or self.query is None:
+            return None
+        try:
+            return matcher(self.query, self.case_sensitive)
+        except InvalidPattern:
+            if strict:
+                raise
+            return None
+
+    @property
+    def sends(self) -> bool:
+        """Whether some texts must leave the JVM for it."""
+        m = self.matcher()
+        return m is not None and m.sends
+
     @property
     def reads_lower_case(self) -> bool:
         return self.query is not None and not (self.regex or self.whole_word or self.case_sensitive)
 
-    def matches(self, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
-        """Whether ``content`` satisfies the term; ``lower`` is its lower-case form where that is at hand."""
+    def matches(
+        self, content: Column, strict: bool = False, lower: Column | None = None, needed: Column | None = None
+    ) -> Column:
+        """Whether ``content`` satisfies the term; ``lower`` is its lower-case form where that is at hand.
+
+        Where ``needed`` does not hold the result may be null.
+        """
         if self.query is None:
             return F.lit(True)
-        if self.regex or self.whole_word:
+        if self.regex:
+            m = self.matcher(strict)
+            return F.lit(False) if m is None else matches(content, m, needed)
+        if self.whole_word:
             pattern = self.java_regex(strict)
             return F.lit(False) if pattern is None else content.rlike(pattern)
         if self.case_sensitive:
@@ -100,32 +126,36 @@ class LogicalQuery:
         return all(t.ignores_final_newline for t in self.terms)
 
     def matches(self, content: Column, strict: bool = False) -> Column:
-        def holds(lower: Column | None = None) -> Column:
+        def holds(lower: Column | None = None, needed: Column | None = None) -> Column:
             return (
-                match_all(self.must, content, strict, lower)
-                & match_any(self.any, content, strict, lower)
-                & match_none(self.none, content, strict, lower)
+                match_all(self.must, content, strict, lower, needed)
+                & match_any(self.any, content, strict, lower, needed)
+                & match_none(self.none, content, strict, lower, needed)
             )
 
+        if any(t.sends for t in self.terms):  # outside of any function of functions, and only for what else holds
+            cheap = match_all([t for t in self.must if not t.sends], content, strict) & match_none(
+                [t for t in self.none if not t.sends], content, strict)
+            return holds(None, cheap)
         if sum(t.reads_lower_case for t in self.terms) < 2:
             return holds()
         # a filter evaluates each mention anew, so several terms share one lower-casing of the text
-        return F.exists(F.array(F.lower(content)), holds)
+        return F.exists(F.array(F.lower(content)), lambda lower: holds(lower))
 
 
 def _cheap_first(terms) -> list[Term]:
     return sorted(map(Term.of, terms), key=lambda t: t.regex or t.whole_word)
 
 
-def match_all(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
-    return reduce(and_, [t.matches(content, strict, lower) for t in _cheap_first(terms)], F.lit(True))
+def match_all(terms, content: Column, strict: bool = False, lower: Column | None = None, needed: Column | None = None) -> Column:
+    return reduce(and_, [t.matches(content, strict, lower, needed) for t in _cheap_first(terms)], F.lit(True))
 
 
-def match_any(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
-    columns = [t.matches(content, strict, lower) for t in _cheap_first(terms)]
+def match_any(terms, content: Column, strict: bool = False, lower: Column | None = None, needed: Column | None = None) -> Column:
+    columns = [t.matches(content, strict, lower, needed) for t in _cheap_first(terms)]
     return reduce(or_, columns) if columns else F.lit(True)
 
 
-def match_none(terms, content: Column, strict: bool = False, lower: Column | None = None) -> Column:
-    columns = [t.matches(content, strict, lower) for t in _cheap_first(terms)]
+def match_none(terms, content: Column, strict: bool = False, lower: Column | None = None, needed: Column | None = None) -> Column:
+    columns = [t.matches(content, strict, lower, needed) for t in _cheap_first(terms)]
     return ~reduce(or_, columns) if columns else F.lit(True)

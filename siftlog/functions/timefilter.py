@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftlog.errors import InvalidPattern
-from siftlog.functions.dialect import checked_java_regex, ignores_final_newline
+from siftlog.functions.dialect import ignores_final_newline
+from siftlog.functions.linear import first_match, matcher
 
 # The accepted timestamp shapes and the accepted names of the two bounds.
 _NAIVE = r"\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?"
@@ -31,8 +32,9 @@ def parse_timestamp(text: Column) -> Column:
     return F.upper(zoned).try_cast("timestamp")
 
 
-def extract_timestamp(content: Column, java_pattern: str) -> Column:
-    return parse_timestamp(F.regexp_extract(content, java_pattern, 0))
+def extract_timestamp(content: Column, pattern: str) -> Column:
+    """The first match of the pattern as a TIMESTAMP, NULL where there is none or it cannot be read."""
+    return parse_timestamp(first_match(content, matcher(pattern)))
 
 
 @dataclass(frozen=True)
@@ -67,12 +69,11 @@ class TimeFilter:
         if self.timestamp_regex is None or (self.start is None and self.end is None):
             return None
         try:
-            pattern = checked_java_regex(self.timestamp_regex)
+            stamp = extract_timestamp(content, self.timestamp_regex)
         except InvalidPattern:
             if strict:
                 raise
             return None
-        stamp = extract_timestamp(content, pattern)
         conditions = []
         if self.start is not None:
             conditions.append(F.coalesce(stamp >= parse_timestamp(F.lit(self.start)), F.lit(True)))

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_text, join_pieces, start_regex
+from siftlog.functions.linear import matcher, matches
+from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_text, join_pieces
 from siftlog.operators.running import block_starts
 from siftlog.session import written
 from siftlog.shipping import ship
@@ -467,7 +468,7 @@ def scan_files(
     ship(spark)
     _pin_splits(spark)
     declared = None if charset.lower() in ("auto", "utf-8", "utf8") else charset.upper()
-    java = start_regex(start_pattern)
+    starts = None if start_pattern is None else matcher(start_pattern)
     sizes = dict(sorted(files))
     gone = _unreadable(list(sizes))
     sizes = {u: n for u, n in sizes.items() if u not in gone}
@@ -489,12 +490,13 @@ def scan_files(
     failed = [spark.createDataFrame([(urllib.parse.quote(u, safe="/:"), r) for u, r in gone.items()], "uri string, reason string")] if gone else []
     if parts:
         lines = reduce(DataFrame.unionByName, parts)
-        start = F.lit(False) if java is None else F.col("text").rlike(java)
-        bare = start if java is None else F.when(F.col("at_end"), F.expr("left(text, char_length(text) - 1)").rlike(java)).otherwise(start)
+        start = F.lit(False) if starts is None else matches(F.col("text"), starts)
+        bare = start if starts is None else F.when(F.col("at_end"), matches(
+            F.expr("left(text, char_length(text) - 1)"), starts, needed=F.col("at_end"))).otherwise(start)
         lines = lines.withColumns({"is_start": start, "bare_start": bare})
         table = _block_table(lines, gzip_check)
         blocks = written(spark, table, "blocks")
-        ends = [] if java is None else _open_ends(blocks).collect()  # a row for each such file; the list of files is here anyway
+        ends = [] if starts is None else _open_ends(blocks).collect()  # a row for each such file; the list of files is here anyway
         if ends:
             odd = F.broadcast(spark.createDataFrame(ends, "uri string, block bigint, open_row bigint, open_start boolean"))
             lines = lines.join(odd, ["uri", "block"], "left").withColumn("is_start", F.when(
