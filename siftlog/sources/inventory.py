@@ -69,6 +69,14 @@ def decoded_uri(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
+def encoded_uri(address: Column) -> Column:
+    """Percent-encoded form of a plain address, which ``decoded_uri`` reads back."""
+    out = F.url_encode(address)
+    for made, plain in (("+", "%20"), ("%2F", "/"), ("%3A", ":")):
+        out = F.replace(out, F.lit(made), F.lit(plain))
+    return out
+
+
 def shown_under_root(uri: Column, root_uri: str, root: str) -> Column:
     """The path as a walk from ``root`` would spell it."""
     return F.when(uri == root_uri, F.lit(root)).otherwise(F.concat(

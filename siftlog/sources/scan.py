@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftlog.functions.linear import matcher, matches
-from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_text, join_pieces
+from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_lines, join_pieces
 from siftlog.operators.running import block_starts
 from siftlog.session import written
 from siftlog.shipping import ship
-from siftlog.sources.inventory import decoded_uri, display_path, escape_path
+from siftlog.sources.inventory import decoded_uri, display_path, encoded_uri, escape_path
+from siftlog.sources.stream import gzip_check, streamed_lines
 
 # Name endings that Spark's reader takes for its own or a compressed file's.
 READER_ENDINGS = (".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".passthrough", "._COPYING_")
-WHOLE_FILE_CHARSETS = ("UTF-16", "UTF-16LE", "UTF-16BE")  # "\n" is not one byte: cannot be split by bytes
-MAX_ROW_BYTES = (1 << 31) - 1  # of a file read as one row
+WIDE_CHARSETS = ("UTF-16", "UTF-16LE", "UTF-16BE")  # "\n" is not one byte: cannot be split by bytes
 BROADCAST_BLOCKS = 500_000  # about 100 MB; a longer table is joined as Spark sees fit
 PLACE_COLUMNS = ["uri", "block", "n", "n_before", "starts_before", "first_row", "first_part", "file_lines", "utf16",
                  "unterminated"]
@@ -65,40 +65,6 @@ def _pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
-def _inflate(data) -> tuple[str | None, bool, int]:
-    """Of a gzip file: why it cannot be read to its end (or None), whether its text ends in a newline, text size."""
-    import zlib
-
-    step, at, size, last, stream = 1 << 20, 0, 0, b"\n", zlib.decompressobj(31)
-    try:
-        while at < len(data):
-            chunk = data[at:at + step]
-            at += len(chunk)
-            while chunk and not stream.eof:
-                text = stream.decompress(chunk, step)
-                size, last = size + len(text), text[-1:] or last
-                chunk = stream.unconsumed_tail
-            if stream.eof:  # another member may follow
-                at -= len(stream.unused_data)
-                if at < len(data):
-                    stream = zlib.decompressobj(31)
-        reason = None if stream.eof or not len(data) else "unexpected end of file"
-    except zlib.error as e:
-        reason = f"corrupt gzip stream: {e}"
-    return reason, last == b"\n", size
-
-
-def _inflate_batches(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        reasons, ends, sizes = zip(*(_inflate(memoryview(c.as_buffer())) for c in batch.column(1)), strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(reasons, pa.string()), pa.array(ends, pa.bool_()), pa.array(sizes, pa.int64())],
-            names=["uri", "reason", "terminated", "size"],
-        )
-
-
 def _cut_batches(batches):
     """Cut Arrow batches of lines into pieces of entries, without touching single rows.
 
@@ -164,7 +130,7 @@ class FileScan:
     spark: SparkSession
     lines: DataFrame | None  # uri, block, row, part, at_end, text (with "\n"), is_start
     places: DataFrame | None  # one row per (uri, block): where its lines and entries begin
-    whole: DataFrame | None  # uri, text: files that are read in one piece
+    streamed: DataFrame | None  # uri, line_no, line: files that tasks read themselves
     failed: DataFrame | None  # uri, reason
     failed_count: int
     start_pattern: str | None
@@ -186,8 +152,8 @@ class FileScan:
         if self.lines is not None:
             cut = self._single if self.start_pattern is None else self._multi
             parts.append(cut(keep, keep_ignores_final_newline or keep is None))
-        if self.whole is not None:
-            df = entries_from_text(self.whole, self.start_pattern, "uri", "text").withColumnRenamed("file_path", "uri")
+        if self.streamed is not None:
+            df = entries_from_lines(self.streamed.withColumnRenamed("uri", "file_path"), self.start_pattern).withColumnRenamed("file_path", "uri")
             parts.append(df if keep is None else df.filter(keep(F.col("content"))))
         if not parts:
             return self.spark.createDataFrame([], "file_path string, start_line bigint, end_line bigint, content string")
@@ -244,11 +210,10 @@ class FileScan:
 
 
 def _text_rows(
-    spark: SparkSession, uris: Sequence[str], gzip: bool, tolerant: bool, charset: str | None
+    spark: SparkSession, uris: Sequence[str], gzip: bool, charset: str | None
 ) -> DataFrame:
-    reader = spark.read.option("lineSep", "\n")
-    if tolerant:  # what cannot be read to its end is reported by its own check
-        reader = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    # what cannot be read to its end is reported by its own check
+    reader = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.text([escape_path(u) for u in uris]).select(
         "value",
         F.col("_metadata.file_path").alias("uri"),
@@ -270,7 +235,7 @@ def _text_rows(
     )
 
 
-def _block_table(lines: DataFrame, gzip_check: DataFrame | None) -> DataFrame:
+def _block_table(lines: DataFrame, checked: DataFrame | None) -> DataFrame:
     head = F.substring(F.col("value").cast("binary"), 1, 2)
     mark = F.when(F.hex(head).isin("FFFE", "FEFF") & ~F.col("gzip"), 1).otherwise(0)
     counted = lines.groupBy("uri", "block").agg(
@@ -288,8 +253,8 @@ def _block_table(lines: DataFrame, gzip_check: DataFrame | None) -> DataFrame:
     )
     file = Window.partitionBy("uri")
     blocks = block_starts(counted, ["uri"], "block", ["n", "starts"])
-    if gzip_check is not None:
-        blocks = blocks.join(gzip_check.select("uri", "terminated"), "uri", "left")
+    if checked is not None:
+        blocks = blocks.withColumn("plain", decoded_uri(F.col("uri"))).join(checked.select("plain", "terminated"), "plain", "left")
     else:
         blocks = blocks.withColumn("terminated", F.lit(True))
     missing = F.col("file_size") - F.sum("bytes").over(file)  # one byte short, or two over with a 3-byte mark
@@ -309,84 +274,6 @@ def _open_ends(blocks: DataFrame) -> DataFrame:
         "uri", "block", F.col("last.row").alias("open_row"), F.col("last.bare_start").alias("open_start"))
 
 
-def _whole_texts(spark: SparkSession, uris: Sequence[str], charset: str | None) -> DataFrame:
-    files = spark.read.format("binaryFile").load([escape_path(u) for u in uris]).select(
-        F.col("_metadata.file_path").alias("uri"), "content"
-    )
-    mark = F.hex(F.substring("content", 1, 2))
-    parts = []
-    for name, bom in (("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF")):
-        marked = files.filter(mark == bom)
-        parts.append(_lossy_decode(spark, marked, "substring(content, 3)", name, "text"))
-    if charset is not None:
-        bare = files.filter(~mark.isin("FFFE", "FEFF"))
-        parts.append(_lossy_decode(spark, bare, "content", "UTF-16BE" if charset == "UTF-16" else charset, "text"))
-    texts = parts[0]
-    for part in parts[1:]:
-        texts = texts.unionByName(part)
-    return texts.select("uri", "text")
-
-
-def _own_reader(charset: str | None):
-    """uri -> (uri, reason, text) of files that Spark's reader would drop or take for compressed."""
-    def make(batches):
-        import codecs
-        import zlib
-
-        import pyarrow as pa
-        import pyarrow.fs as fs
-
-        def read(uri: str) -> bytes:
-            if uri.startswith("file:"):
-                with open(urllib.parse.unquote(uri.removeprefix("file:")), "rb") as f:
-                    data = f.read()
-            else:
-                store, path = fs.FileSystem.from_uri(uri)
-                with store.open_input_stream(path, compression=None) as f:
-                    data = f.read()
-            if not uri.endswith(".gz"):
-                return data
-            out = []
-            while data:
-                member = zlib.decompressobj(31)
-                out.append(member.decompress(data))
-                if not member.eof:
-                    raise ValueError("corrupt gzip stream: unexpected end of file")
-                data = member.unused_data
-            text = b"".join(out)
-            text.decode()
-            return text
-
-        def text_of(data: bytes) -> str:
-            for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
-                if data.startswith(mark):
-                    return data[len(mark):].decode(name, "replace")
-            try:
-                return data.decode()
-            except UnicodeDecodeError:
-                return data.decode(charset or "utf-8", "replace")
-
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                reason = text = None
-                try:
-                    text = text_of(read(uri))
-                except UnicodeDecodeError:
-                    reason = "invalid UTF-8 text"
-                except (OSError, ValueError, zlib.error) as e:
-                    reason = f"cannot be read: {e}"
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri]), pa.array([reason], pa.string()), pa.array([text], pa.string())], names=["uri", "reason", "text"])
-
-    return make
-
-
-def _own_texts(spark: SparkSession, uris: Sequence[str], charset: str | None) -> DataFrame:
-    rows = spark.createDataFrame([(urllib.parse.quote(u, safe="/:"),) for u in uris], "uri string")
-    read = rows.repartition(max(1, min(len(uris), 10_000))).mapInArrow(_own_reader(charset), "uri string, reason string, text string")
-    return written(spark, read, "own")
-
-
 def _reads_itself(uri: str) -> bool:
     name = uri.rsplit("/", 1)[-1]
     return name[:1] in (".", "_") or name.endswith(READER_ENDINGS)
@@ -420,27 +307,17 @@ def _short(spark: SparkSession, blocks: DataFrame | None, sizes: dict[str, int])
 
 def _utf8_files(spark: SparkSession, uris: Sequence[str]) -> set[str]:
     """Of plain files those that are valid UTF-8, with or without a mark; the list of files is on the driver anyway."""
-    rows = _text_rows(spark, uris, False, True, None).groupBy("uri").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    rows = _text_rows(spark, uris, False, None).groupBy("uri").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
     return {r.uri for r in rows.filter("valid").select(decoded_uri(F.col("uri")).alias("uri")).collect()}
 
 
-def _gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
-    """One row per gzip file: can it be inflated to the end, and does its text end in a newline."""
-    schema = "uri string, reason string, terminated boolean, size bigint"
-    if not uris:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load([escape_path(u) for u in uris]).select(
-        F.col("_metadata.file_path").alias("uri"), "content"
-    )
-    return written(spark, files.mapInArrow(_inflate_batches, schema), "gzip")
-
-
-def _failed(gzip_check: DataFrame, blocks: DataFrame) -> DataFrame:
+def _failed(checked: DataFrame, blocks: DataFrame) -> DataFrame:
     """``(uri, reason)`` of gzip files: not inflatable, not read to the end by Spark, or not UTF-8."""
-    read = blocks.groupBy("uri").agg(F.max("file_bytes").alias("bytes"), F.bool_and("valid").alias("valid"))
+    read = blocks.groupBy("uri").agg(F.max("file_bytes").alias("bytes"), F.bool_and("valid").alias("valid")).withColumn(
+        "plain", decoded_uri(F.col("uri")))
     # every line counts one byte for its newline; a leading 3-byte mark is not part of the text
     missing = F.col("size") - F.coalesce("bytes", F.lit(0)) + F.when(F.col("terminated"), 0).otherwise(1)
-    return gzip_check.join(read, "uri", "full").select("uri", F.coalesce(
+    return checked.join(read, "plain", "full").select(F.coalesce("uri", encoded_uri(F.col("plain"))).alias("uri"), F.coalesce(
         "reason",
         F.when((F.col("size") > 0) & ~missing.isin(0, 3), F.lit("unreadable bytes after a gzip member")),
         F.when(~F.col("valid"), F.lit("invalid UTF-8 text")),
@@ -475,16 +352,14 @@ def scan_files(
     own = [u for u in sizes if _reads_itself(u)]
     plain = [u for u in sizes if not _is_gzip(u) and not _reads_itself(u)]
     zipped = [u for u in sizes if _is_gzip(u) and not _reads_itself(u)]
-    checked = [u for u in zipped if sizes[u] <= MAX_ROW_BYTES]
-    unchecked = [u for u in zipped if sizes[u] > MAX_ROW_BYTES]  # damage in one of these fails the job
-    whole = plain if declared in WHOLE_FILE_CHARSETS else []
-    split = [] if whole else plain
+    wide = plain if declared in WIDE_CHARSETS else []
+    split = [] if wide else plain
     utf8 = set(split) if declared is None else _utf8_files(spark, split) if split else set()
     groups = (
-        ([u for u in split if u in utf8], False, True, None), ([u for u in split if u not in utf8], False, True, declared),
-        (checked, True, True, declared), (unchecked, True, False, declared))
+        ([u for u in split if u in utf8], False, None), ([u for u in split if u not in utf8], False, declared),
+        (zipped, True, declared))
 
-    gzip_check = _gzip_check(spark, checked) if zipped else None
+    checked = gzip_check(spark, zipped) if zipped else None
     parts = [_text_rows(spark, *group) for group in groups if group[0]]
     lines = places = blocks = None
     failed = [spark.createDataFrame([(urllib.parse.quote(u, safe="/:"), r) for u, r in gone.items()], "uri string, reason string")] if gone else []
@@ -494,35 +369,34 @@ def scan_files(
         bare = start if starts is None else F.when(F.col("at_end"), matches(
             F.expr("left(text, char_length(text) - 1)"), starts, needed=F.col("at_end"))).otherwise(start)
         lines = lines.withColumns({"is_start": start, "bare_start": bare})
-        table = _block_table(lines, gzip_check)
+        table = _block_table(lines, checked)
         blocks = written(spark, table, "blocks")
         ends = [] if starts is None else _open_ends(blocks).collect()  # a row for each such file; the list of files is here anyway
         if ends:
             odd = F.broadcast(spark.createDataFrame(ends, "uri string, block bigint, open_row bigint, open_start boolean"))
             lines = lines.join(odd, ["uri", "block"], "left").withColumn("is_start", F.when(
                 F.col("row") == F.col("open_row"), F.col("open_start")).otherwise(F.col("is_start"))).drop("open_row", "open_start")
-            blocks = written(spark, _block_table(lines, gzip_check), "blocks")
+            blocks = written(spark, _block_table(lines, checked), "blocks")
         lines = lines.drop("bare_start")
         places = blocks.select(*PLACE_COLUMNS)
         if blocks.count() <= BROADCAST_BLOCKS:
             places = F.broadcast(places)
         if split:
             marked = blocks.filter("utf16").select(decoded_uri(F.col("uri")).alias("uri")).distinct()
-            whole = sorted(r.uri for r in marked.collect())
+            wide = sorted(r.uri for r in marked.collect())
     if split:
         failed.append(_short(spark, blocks, {u: sizes[u] for u in split}))
-    if gzip_check is not None:
-        failed.append(_failed(gzip_check, blocks))
-    texts = [_whole_texts(spark, whole, declared if declared in WHOLE_FILE_CHARSETS else None)] if whole else []
-    if own:
-        read = _own_texts(spark, own, declared)
-        failed.append(read.filter("reason is not null").select("uri", "reason"))
-        texts.append(read.filter("reason is null").select("uri", "text"))
+    if checked is not None:
+        failed.append(_failed(checked, blocks))
+    streamed = None
+    if own or wide:
+        streamed, unread = streamed_lines(spark, [(u, sizes[u]) for u in sorted({*own, *wide})], declared)
+        streamed, unread = (df.withColumn("uri", encoded_uri(F.col("uri"))) for df in (streamed, unread))
+        failed.append(unread.select("uri", "reason"))
     # small beside the text: written and counted, so that a search joins it without moving text, or not at all
     failures = written(spark, reduce(DataFrame.unionByName, failed), "failed") if failed else None
     return FileScan(
-        spark=spark, lines=lines, places=places, whole=reduce(DataFrame.unionByName, texts) if texts else None,
-        failed=failures, failed_count=failures.count() if failed else 0, start_pattern=start_pattern, shown=shown or [], show=show,
+        spark=spark, lines=lines, places=places, streamed=streamed, failed=failures, failed_count=failures.count() if failed else 0, start_pattern=start_pattern, shown=shown or [], show=show,
     )
 
 

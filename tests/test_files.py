@@ -327,17 +327,44 @@ def test_one_hot_file(spark, monkeypatch):
     assert [r.start_line for r in first if r.file_path == "hot"] == [e[0] for e in model(text, "^>")[:25]]
 
 
-def test_gzip_too_large_to_check(spark, tmp_path, monkeypatch):
-    from siftlog.sources import scan
-
-    monkeypatch.setattr(scan, "MAX_ROW_BYTES", 40)
-    put(tmp_path / "a.log", "error a\n")
-    put_gz(tmp_path / "b.gz", "error b\n" + "".join(f"{i}\n" for i in range(100)))
-    put_gz(tmp_path / "c.gz", b"error c\n\xff\n" + bytes(range(97, 123)) * 3)
-    put_gz(tmp_path / "d.gz", "error d\n")
-    result = find(spark, tmp_path, include=["**"], must=["error"])
-    assert [h[3] for h in hits_of(result)] == ["error a\n", "error b\n", "error d\n"]
-    assert [os.path.basename(r.file_path) for r in result.failed_files.collect()] == ["c.gz"]
+def test_gzip_is_checked_in_pieces(tmp_path):
+    from siftlog.sources.stream import checked_gzip, inflated, pieces_of
+
+    rng = random.Random(3)
+    text = rng.randbytes(90_000).hex().encode() + bytes(200_000) + b"end\n"
+    whole = gzip.compress(text[:50_000]) + gzip.compress(text[50_000:])
+    path = put(tmp_path / "a.gz", whole)
+    for piece in (7, 1_000, 1 << 20):  # far smaller than the file: no size is special
+        with open(path, "rb") as f:
+            parts = list(inflated(pieces_of(f, piece), piece))
+        assert b"".join(parts) == text and max(map(len, parts)) <= piece
+    assert checked_gzip("file:" + path) == (None, True, len(text))
+    for cut in (10, 30_000, len(whole) - 1):
+        assert checked_gzip("file:" + put(tmp_path / "b.gz", whole[:cut]))[0] == "unexpected end of file"
+    assert checked_gzip("file:" + put(tmp_path / "c.gz", whole + b"xx"))[0] is not None
+    assert checked_gzip("file:" + put(tmp_path / "d.gz", whole[:3_000] + b"xxxx" + whole[3_004:]))[0].startswith("corrupt")
+    assert checked_gzip("file:" + put(tmp_path / "e.gz", b"")) == (None, True, 0)
+    assert checked_gzip("file:" + str(tmp_path / "none.gz"))[0].startswith("cannot be read")
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16-be"])
+def test_wide_files_are_read_in_parts(spark, tmp_path, encoding):
+    from siftlog.sources.stream import streamed_lines
+
+    rng = random.Random(9)
+    mark = "\ufeff".encode(encoding)
+    texts = ["", "one", "one\n", "\n\n\n", "".join(rng.choice("ab\u0a0a\u0a00\u000a😀é\n") for _ in range(500)), "x" * 300 + "\n" + "😀" * 200]
+    files = [(f"file:{put(tmp_path / f'f{i}', mark + t.encode(encoding))}", 2 + len(t.encode(encoding))) for i, t in enumerate(texts)]
+    for part in (4, 30, 202, 1 << 20):
+        lines, failed = streamed_lines(spark, files, None, part)
+        got = {}
+        for r in lines.orderBy("uri", "line_no").collect():
+            got.setdefault(r.uri, []).append((r.line_no, r.line))
+        for (uri, _), text in zip(files, texts, strict=True):
+            want = [line + "\n" for line in text.split("\n")]
+            want[-1] = want[-1][:-1]
+            assert got.get(uri, []) == [(i + 1, line) for i, line in enumerate(want) if line or i + 1 < len(want)], (part, uri)
+        assert failed.count() == 0
 
 
 def test_names_that_the_reader_would_drop_or_inflate(spark, tmp_path):
