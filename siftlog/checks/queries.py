@@ -50,8 +50,9 @@ def document_files(spark: SparkSession, sf_dir: str, kind: str = "plain") -> str
     """Folder of log files made from all documents, written once per session to the shared folder.
 
     A file holds up to DOCS_PER_FILE documents of one source in id order, each under a line
-    ``DOC <id> <lang>``.  ``kind``: "plain", "gzip", "latin1", or "mixed_gzip", where the sources
-    with a 3 or 7 at the end are Latin-1 and so not readable as UTF-8.
+    ``DOC <id> <lang>``.  ``kind``: "plain", "gzip", "latin1", "mixed_gzip", where the sources
+    with a 3 or 7 at the end are Latin-1 and so not readable as UTF-8, "mixed_utf16", where they are
+    UTF-16 with a mark, or "odd_names", which Spark's reader would drop or take for compressed.
     """
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _written:
@@ -65,14 +66,37 @@ def document_files(spark: SparkSession, sf_dir: str, kind: str = "plain") -> str
         elif kind == "mixed_gzip":
             docs = docs.withColumn("value", F.when(F.col("source").rlike("[37]$"), latin1).otherwise(F.col("value")))
         folder = new_folder(spark, "logs")
-        writer = docs.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "doc_id").drop("doc_id")
-        writer.write.partitionBy("source", "chunk").option(
-            "compression", "gzip" if kind.endswith("gzip") else "none"
-        ).text(folder)
+        if kind == "mixed_utf16":
+            wide = docs.filter(F.col("source").rlike("[37]$"))
+            first = wide.groupBy("source", "chunk").agg(F.min("doc_id").alias("first"))
+            wide = wide.join(first, ["source", "chunk"]).withColumn("value", F.concat(
+                F.when(F.col("doc_id") == F.col("first"), F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit(""))),
+                F.encode("value", "UTF-16LE")).cast("string")).drop("first")
+            _write_files(wide, folder, lineSep="\n\0")  # the same bytes in UTF-16LE
+            docs = docs.filter(~F.col("source").rlike("[37]$"))
+        _write_files(docs, folder, compression="gzip" if kind.endswith("gzip") else "none")
+        if kind == "odd_names":
+            _rename_files(spark, folder)
         _written[key] = folder
     return _written[key]
 
 
+def _write_files(docs: DataFrame, folder: str, **options: str) -> None:
+    writer = docs.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "doc_id").drop("doc_id").write
+    writer.partitionBy("source", "chunk").mode("append").options(**options).text(folder)
+
+
+def _rename_files(spark: SparkSession, folder: str) -> None:
+    """Every third file gets a hidden name, every third one the ending of a codec."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    store = path_of(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(r.uri for r in with_uris(spark, folder, ["**/part-*.txt"]).select("uri").collect())
+    for i, name in enumerate(names):
+        if i % 3:
+            above, last = name.rsplit("/", 1)
+            store.rename(path_of(name), path_of(above + "/" + ("_" + last if i % 3 == 1 else last + ".zst")))
+
+
 def short_path(df: DataFrame) -> DataFrame:
     """Paths of derived files without the run's folder and part name."""
     return df.withColumn("file_path", F.regexp_extract("file_path", r"source=[^/]+/chunk=\d+", 0))
@@ -300,6 +324,18 @@ def charset_lines(spark, sf_dir):
     return short_path(read_lines(spark, with_uris(spark, folder, ["**/*.txt"]), "ISO-8859-1"))
 
 
+def charset_mixed(spark, sf_dir):
+    folder = document_files(spark, sf_dir, "mixed_utf16")
+    return short_path(read_lines(spark, with_uris(spark, folder, ["**/*.txt"])))
+
+
+def files_odd_names(spark, sf_dir):
+    folder = document_files(spark, sf_dir, "odd_names")
+    body = {"scan_config": {"root_path": folder, "include_globs": ["**/part-*", "**/_part-*"], "exclude_globs": ["**/*.crc"]},
+            "logical_query": {"must": ["enter"], "any": ["the", "der"]}, "log_start_pattern": r"^DOC \d+ \w+"}
+    return flat_hits(short_path(search_files(spark, body).all_hits))
+
+
 def failed_files(spark, sf_dir):
     result = files_result(spark, sf_dir, "mixed_gzip", logical_query={"must": ["the"]})
     return short_path(result.failed_files)
@@ -357,6 +393,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "files_summary": files_summary,
     "gzip_lines": gzip_lines,
     "charset_lines": charset_lines,
+    "charset_mixed": charset_mixed,
+    "files_odd_names": files_odd_names,
     "failed_files": failed_files,
     "files_beside_failed": files_beside_failed,
 }

@@ -320,6 +320,10 @@ SELECT sum(hits)::BIGINT AS total_hits, 1 AS page, 10 AS page_size, CAST(ceil(su
        count(*) AS files_scanned FROM running WHERE earlier < 400""",
     "gzip_lines": f"WITH {FILE_LINES} SELECT file_path, start_line AS line_no, content AS line FROM lines",
     "charset_lines": f"WITH {FILE_LINES} SELECT file_path, start_line AS line_no, content AS line FROM lines",
+    "charset_mixed": f"WITH {FILE_LINES} SELECT file_path, start_line AS line_no, content AS line FROM lines",
+    "files_odd_names": files_with_positions(
+        "entries", "contains(lower(content), 'enter') AND (contains(lower(content), 'the') OR contains(lower(content), 'der'))",
+        ["enter", "the", "der"]),
     "failed_files": f"WITH {FILE_LINES} SELECT file_path, 'invalid UTF-8 text' AS reason FROM ({UNREADABLE})",
     "files_beside_failed": f"WITH {FILE_LINES} SELECT file_path, start_line, content FROM lines "
                            f"WHERE contains(lower(content), 'the') AND file_path NOT IN ({UNREADABLE})",
