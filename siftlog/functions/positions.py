@@ -1,7 +1,7 @@
 """Byte positions of the matches inside an entry, as ARRAY<STRUCT<offset: BIGINT, length: BIGINT>>.
 
-Everything is built-in expressions: the text is ``split`` at the matches and the
-offsets add up the pieces' byte lengths.  Evaluated on hits only.
+The text is ``split`` at the matches by built-in expressions; only the pieces' byte lengths leave the JVM, and one running
+sum over all of a batch makes them offsets, so the work grows with the matches.  Evaluated on hits only.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlog.functions.dialect import escape_literal
 from siftlog.functions.linear import positions as located
@@ -21,58 +22,85 @@ POSITIONS_TYPE = "array<struct<offset:bigint,length:bigint>>"
 BYTE_WORD = r"[0-9A-Z_a-z\xAA\xB2\xB3\xB5\xB9\xBA\xBC-\xBE\xC0-\xD6\xD8-\xF6\xF8-\xFF]"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _no_positions() -> Column:
     return F.array().cast(POSITIONS_TYPE)
 
 
-def _positions(items: Column, gap, step, length) -> Column:
-    """Positions of matches that each follow a gap.
+_TYPE = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
+
+
+def _running(gap, step, length, counts):
+    """Arrow positions of matches: one running sum over all of a batch, begun anew in each row.
 
-    ``gap(item)`` bytes lie before a match, ``step(item)`` bytes are passed by it, ``length(item)``
-    is reported.  Offsets add up in chunks of sqrt(n) items, so long texts stay far from n * n.
-    Elements are only read, as growing or slicing an array copies it.
+    ``gap`` bytes lie before a match, ``step`` bytes are passed by it, ``length`` is reported; ``counts`` matches belong to
+    each row.  An empty match that touches the match before does not count.
     """
-    zero = F.lit(0).cast("bigint")
+    import numpy as np
+    import pyarrow as pa
+
+    row = np.repeat(np.arange(len(counts)), counts)
+    passed = np.concatenate([[0], np.cumsum(gap + step)])
+    offset = passed[:-1] + gap - passed[np.cumsum(counts) - counts][row]
+    kept = np.ones(len(row), bool)
+    kept[1:] = (length[1:] > 0) | (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + length[:-1])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(counts)))]).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(offset[kept]), pa.array(length[kept])], names=["offset", "length"])
+    return pa.ListArray.from_arrays(pa.array(ends), items)
+
+
+def _flat(lists):
+    """Values and counts of an Arrow column of lists of numbers; null is an empty list."""
+    import numpy as np
+    import pyarrow.compute as pc
 
-    def total(values: Column, first: Column, last: Column) -> Column:
-        return F.aggregate(F.sequence(first, last), zero, lambda a, j: a + F.element_at(values, j))
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), counts.astype(np.int64)
 
-    def before(steps: Column, width: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int"))
-        totals = F.transform(chunks, lambda c: total(
-            steps, c * width + 1, F.least((c + 1) * width, F.size(steps))))
-        bases = _let(totals, lambda t: F.transform(
-            t, lambda _, c: F.when(c == 0, zero).otherwise(total(t, F.lit(1), c))))
 
-        def at(base: Column, i: Column) -> Column:
-            chunk = F.floor(i / width).cast("int")
-            inside = F.when(i % width == 0, zero).otherwise(total(steps, chunk * width + 1, i))
-            return F.element_at(base, chunk + 1) + inside
+def _positions(gaps: Column, step: Column, length: Column) -> Column:
+    """Positions of the matches between the pieces of a text, whose sizes are ``gaps``; all of one ``step`` and ``length``."""
+    sum_up, flat = _running, _flat
 
-        return _let(bases, lambda base: F.transform(steps, lambda _, i: at(base, i)))
+    @F.arrow_udf(_TYPE)
+    def placed(gaps, step, length):
+        import numpy as np
+        import pyarrow.compute as pc
 
-    def placed(all_items: Column) -> Column:
-        steps = F.transform(all_items, lambda item: gap(item) + step(item))
-        width = F.ceil(F.sqrt(F.size(all_items))).cast("int")
-        sums = _let(steps, lambda s: _let(width, lambda w: before(s, w)))
-        return F.zip_with(all_items, sums, lambda item, at: F.struct(
-            (at + gap(item)).alias("offset"), length(item).alias("length")))
+        gap, counts = flat(gaps)
+        last = np.cumsum(counts)[counts > 0] - 1  # no match follows the last piece
+        gap, counts = np.delete(gap, last), np.maximum(counts - 1, 0)
+        each = [np.repeat(c.to_numpy(zero_copy_only=False).astype(np.int64), counts) for c in (step, length)]
+        return pc.if_else(pc.is_null(gaps), None, sum_up(gap, *each, counts))
 
-    return _let(items, lambda i: F.when(F.size(i) == 0, _no_positions()).otherwise(placed(i)))
+    return placed(gaps, step, length)
+
+
+def _between_and_in(pieces: Column, matches: Column) -> Column:
+    """Positions from the sizes of the pieces of a text between its matches and of the matches."""
+    sum_up, flat = _running, _flat
+
+    @F.arrow_udf(_TYPE)
+    def placed(pieces, matches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        (piece, n_pieces), (match, counts) = flat(pieces), flat(matches)
+        # before each match lies a piece, but an empty match at the very start makes none: then the gap is empty
+        at = np.arange(len(match)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at -= np.repeat((n_pieces == counts).astype(np.int64), counts)
+        gap = np.where(at < 0, 0, piece[np.maximum(np.repeat(np.cumsum(n_pieces) - n_pieces, counts) + at, 0)]) if len(match) else match
+        return pc.if_else(pc.is_null(matches), None, sum_up(gap, match, match, counts))
+
+    return placed(pieces, matches)
 
 
 def _bytes(text: Column) -> Column:
     return F.octet_length(text).cast("bigint")
 
 
-def _between(hay: Column, pattern: Column) -> Column:
-    """The pieces of text before each match."""
-    return _let(F.split(hay, pattern, -1), lambda p: F.slice(p, 1, F.size(p) - 1))
+def _sizes_around(hay: Column, pattern: Column, size) -> Column:
+    """Sizes of the pieces of text around the matches."""
+    return F.transform(F.split(hay, pattern, -1), size)
 
 
 def _quoted(literal: Column) -> Column:
@@ -88,7 +116,7 @@ def _folded(content: Column, term: Term) -> tuple[Column, Column]:
 def _plain(content: Column, term: Term) -> Column:
     hay, literal = _folded(content, term)
     width = _bytes(literal)
-    return _positions(_between(hay, _quoted(literal)), _bytes, lambda _: width, lambda _: width)
+    return _positions(_sizes_around(hay, _quoted(literal), _bytes), width, width)
 
 
 def _whole_word(content: Column, term: Term) -> Column:
@@ -104,35 +132,16 @@ def _whole_word(content: Column, term: Term) -> Column:
     pattern = F.concat(
         first, F.lit(f"(?<!{BYTE_WORD}"), first, F.lit(")(?="), rest, F.lit(f"(?!{BYTE_WORD}))")
     )
-    width, one = _bytes(literal), F.lit(1).cast("bigint")
     return _positions(
-        _between(as_characters(hay), pattern),
-        lambda piece: F.length(piece).cast("bigint"), lambda _: one, lambda _: width,
+        _sizes_around(as_characters(hay), pattern, lambda piece: F.length(piece).cast("bigint")),
+        F.lit(1).cast("bigint"), _bytes(literal),
     )
 
 
 def _regex(content: Column, pattern: str) -> Column:
     regex = F.lit(pattern)
-
-    def found(matches: Column) -> Column:
-        # an empty match at the very start makes no piece; the empty text before it is put back
-        pieces = _let(F.split(content, regex, -1), lambda p: F.when(
-            F.size(p) == F.size(matches), F.concat(F.array(F.lit("")), p)).otherwise(p))
-        steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(
-            _bytes(p).alias("gap"), _bytes(m).alias("width")))
-        positions = _positions(steps, lambda s: s.gap, lambda s: s.width, lambda s: s.width)
-        return F.when(~F.array_contains(matches, ""), positions).otherwise(_without_touching(positions))
-
-    return _let(F.regexp_extract_all(content, regex, F.lit(0)), lambda m: F.when(
-        F.size(m) == 0, _no_positions()).otherwise(found(m)))
-
-
-def _without_touching(positions: Column) -> Column:
-    """An empty match that begins where the match before it ends does not count."""
-    return _let(positions, lambda all_found: F.filter(all_found, lambda p, i: ~(
-        (i > 0) & (p.length == 0)
-        & (p.offset == F.get(all_found, i - 1).offset + F.get(all_found, i - 1).length)
-    )))
+    return _between_and_in(F.transform(F.split(content, regex, -1), _bytes),
+                           F.transform(F.regexp_extract_all(content, regex, F.lit(0)), _bytes))
 
 
 def term_positions(content: Column, term: Term | str, strict: bool = False) -> Column:
