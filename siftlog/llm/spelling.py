@@ -214,9 +214,10 @@ def near_pairs(words: DataFrame, grams: Grams | None = None) -> DataFrame:
 
     # words of one length keep the places of the grams they share; behind an added letter these move by one
     a, b = (short.select("list", F.col("word").alias(name)) for name in ("a", "b"))
-    moved = by_gram.select(F.explode(F.array(*(F.xxhash64("gram", F.col("start") + i, F.col("size") + 1) for i in (0, 1)))).alias("list"),
-                           F.col("word").alias("a"))
-    found = [a.join(b, "list").filter((F.col("a") < F.col("b")) & near), moved.join(b, "list").filter(near)]
+    moved = by_gram.join(long, "list", "left_anti").select(
+        F.explode(F.array(*(F.xxhash64("gram", F.col("start") - i, F.col("size") - 1) for i in (0, 1)))).alias("list"), F.col("word").alias("b"))
+    every = by_gram.select("list", F.col("word").alias("a"))
+    found = [a.join(b, "list").filter((F.col("a") < F.col("b")) & near), every.join(moved, "list").filter(near)]
 
     split = _splits(by_gram.join(long, "list", "left_semi").drop("list").unionByName(lists.filter("gram = ''")))
     one, other = split.withColumnsRenamed({"word": "a", "at": "at_a"}), split.withColumnsRenamed({"word": "b", "at": "at_b"})
