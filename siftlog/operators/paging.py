@@ -13,6 +13,7 @@ from siftlog.operators.running import block_starts, running_total
 from siftlog.sources.inventory import path_order
 
 TOP_K_ROWS = 100_000  # pages that end within so many rows are taken as a top-k
+FILES_PER_TASK = 10_000  # files that a task counts at a time
 
 
 def without_content(hits: DataFrame) -> DataFrame:
@@ -45,10 +46,17 @@ def files_within_cap(
     the file that reaches the cap.  Each listed file has a hit, so at most ``max_hits`` files can
     be in the result and the running sum sees no more rows than that.
     """
+    return counted_within_cap(hits.groupBy(*file).agg(F.count(F.lit(1)).alias("hits")), max_hits, file, order)
+
+
+def counted_within_cap(
+    counts: DataFrame, max_hits: int, file: Sequence[str] = ("file_path",), order: Column | None = None
+) -> DataFrame:
+    """``files_within_cap`` for a table of ``hits`` per file."""
     limit = max(max_hits, 1)
     order = path_order("file_path") if order is None else order
-    counts = hits.groupBy(*file).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("hits"))
-    first = counts.withColumn("_order", order).orderBy("_order").limit(limit)
+    capped = counts.select(*file, F.least("hits", F.lit(limit)).cast("bigint").alias("hits"))
+    first = capped.withColumn("_order", order).orderBy("_order").limit(limit)
     earlier = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     return (
         first.withColumn("_earlier", F.coalesce(F.sum("hits").over(earlier), F.lit(0)))
@@ -57,6 +65,56 @@ def files_within_cap(
     )
 
 
+def first_and_counts(limit: int):
+    """For ``mapInArrow``: of each file a task's first ``limit`` hits in line order, and how many hits it has there.
+
+    Takes ``(uri, start_line, ..., whole)`` and adds ``hits``: null for the rows themselves, a number in the rows of
+    counts.  Rows that are not ``whole`` are no hits yet and pass.  A row passes that is among the first so far, so rows
+    may come in any order; in line order no more than ``limit`` of a file pass.
+    """
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen: dict = {}  # uri -> number of hits, lines of the first ones
+
+        def counts(schema):
+            given = {"uri": list(seen), "hits": [n for n, _ in seen.values()]}
+            seen.clear()
+            size = len(given["uri"])
+            return pa.RecordBatch.from_arrays([
+                pa.array(given[f.name], f.type) if f.name in given else pa.nulls(size, f.type) for f in schema
+            ], schema=schema)
+
+        schema = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            uri = batch.column("uri").dictionary_encode()
+            names, code = uri.dictionary.to_pylist(), uri.indices.to_numpy()
+            line = batch.column("start_line").to_numpy()
+            keep = ~batch.column("whole").to_numpy(zero_copy_only=False).astype(bool)
+            rows = np.flatnonzero(~keep)
+            rows = rows[np.argsort(code[rows], kind="stable")]
+            for of_file in np.split(rows, np.flatnonzero(np.diff(code[rows])) + 1) if len(rows) else ():
+                name = names[code[of_file[0]]]
+                number, first = seen.get(name, (0, line[:0]))
+                lines = line[of_file]
+                if len(first) < limit or (limit and lines.min() < first[-1]):
+                    first = np.sort(np.concatenate([first, lines]))[:limit]
+                    keep[of_file] = lines <= first[-1]
+                seen[name] = number + len(of_file), first
+            schema = batch.schema.append(pa.field("hits", pa.int64()))
+            kept = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.nulls(kept.num_rows, pa.int64())], schema=schema)
+            if len(seen) > FILES_PER_TASK:
+                yield counts(schema)
+        if seen:
+            yield counts(schema)
+
+    return make
+
+
 def cap_hits(
     hits: DataFrame,
     max_hits: int | None,

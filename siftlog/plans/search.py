@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from siftlog.errors import ConfigError, InvalidRequest
 from siftlog.functions.positions import match_positions
 from siftlog.functions.terms import LogicalQuery
 from siftlog.functions.timefilter import TimeFilter
-from siftlog.operators.paging import cap_hits, files_within_cap, page_bounds, page_totals, take_page, without_content
+from siftlog.operators import paging
+from siftlog.operators.paging import cap_hits, cap_per_file, counted_within_cap, page_bounds, page_totals, take_page, without_content
 from siftlog.session import written
 from siftlog.sources.inventory import (
     display_path,
@@ -85,13 +87,32 @@ class SearchRequest:
 
 @dataclass(frozen=True)
 class SearchResult:
-    """Lazy tables: one page of hits, one row of totals, the files that could not be read."""
+    """One page of hits, one row of totals, the files that could not be read, and all hits.
+
+    The first use of ``hits`` or ``summary`` reads the text once and writes what both are made of.
+    """
 
-    hits: DataFrame
-    summary: DataFrame
     failed_files: DataFrame
-    capped_entries: DataFrame  # what ``all_hits`` are made of, without positions
     finish: Callable[[DataFrame], DataFrame]
+    page_and_totals: Callable[[], tuple[DataFrame, DataFrame]]
+    capped: Callable[[], DataFrame]
+
+    @cached_property
+    def _shown(self) -> tuple[DataFrame, DataFrame]:
+        return self.page_and_totals()
+
+    @property
+    def hits(self) -> DataFrame:
+        return self._shown[0]
+
+    @property
+    def summary(self) -> DataFrame:
+        return self._shown[1]
+
+    @cached_property
+    def capped_entries(self) -> DataFrame:
+        """What ``all_hits`` are made of, without positions."""
+        return self.capped()
 
     @property
     def all_hits(self) -> DataFrame:
@@ -184,23 +205,45 @@ def search_files(
         names.sort(key=lambda n: n.path.split("/"))
     scan = open_scan(spark, names, request.root_path, pattern, request.charset)
     keep = entry_condition(query, stamp, strict)
-    found = scan.entries(keep, query.ignores_final_newline and stamp.ignores_final_newline)
+    tail_safe = query.ignores_final_newline and stamp.ignores_final_newline
 
     listed, file, order = _listing(spark, names), ["file_path"], None
     first = F.lit(False) if not names else F.col("file_path") == names[0].path
     if not request.root_path:  # read as given: in that order, repeats again
-        found = found.join(listed.withColumnRenamed("path", "file_path"), "file_path")
         file, order = ["place", "file_path"], F.col("place")
         first = first & (F.col("place") == 0)
-    capped = cap_hits(found, request.max_hits, file, order, first)
     skip, size = page_bounds(request.page, request.page_size, settings.default_page_size, settings.max_page_size)
-    counted = _counted(found, capped, request.max_hits, listed, len(names), file, order)
-    summary = page_totals(counted, request.page, size, "files_scanned")
+    limit = None if request.max_hits is None else max(request.max_hits, 1)
+
+    def given(rows: DataFrame) -> DataFrame:
+        return rows if request.root_path else rows.join(listed.withColumnRenamed("path", "file_path"), "file_path")
 
-    def hits(entries: DataFrame) -> DataFrame:  # positions last: only for what is shown
+    def finish(entries: DataFrame) -> DataFrame:  # positions last: only for what is shown
         return as_hits(entries, query, request.include_content, strict)
 
-    return SearchResult(hits(take_page(capped, skip, size, order)), summary, scan.failed_files(), capped, hits)
+    def first_hits(most: int) -> tuple[DataFrame, DataFrame]:
+        """Hits after the caps, at least the first ``most`` of them, and hits per file."""
+        entries, counts = (given(rows) for rows in scan.first_hits(keep, tail_safe, most))
+        if limit is None:
+            return entries, counts
+        if request.max_hits <= 0:
+            return cap_per_file(entries.filter(first), 1, file=file), counts
+        kept = counted_within_cap(counts, limit, file, order).select(*file)
+        return cap_per_file(entries.join(kept, file, "left_semi"), min(most, limit), file=file), counts
+
+    def every() -> DataFrame:
+        if limit is not None and limit <= paging.TOP_K_ROWS:
+            return first_hits(limit)[0]
+        return cap_hits(given(scan.entries(keep, tail_safe)), request.max_hits, file, order, first)
+
+    def page_and_totals() -> tuple[DataFrame, DataFrame]:
+        near = skip + size <= paging.TOP_K_ROWS
+        entries, counts = first_hits((skip + size if limit is None else min(skip + size, limit)) if near else 0)
+        page = take_page(entries if near else every(), skip, size, order)
+        counted = _counted(counts, request.max_hits, listed, len(names), file, order, first)
+        return finish(page), page_totals(counted, request.page, size, "files_scanned")
+
+    return SearchResult(scan.failed_files(), finish, page_and_totals, every)
 
 
 def _listing(spark: SparkSession, names: list[Row]) -> DataFrame:
@@ -239,20 +282,18 @@ def open_scan(
 
 
 def _counted(
-    found: DataFrame, capped: DataFrame, max_hits: int | None, listed: DataFrame, files: int,
-    file: list[str], order: Column | None,
+    counts: DataFrame, max_hits: int | None, listed: DataFrame, files: int, file: list[str], order: Column | None, first: Column,
 ) -> DataFrame:
     """One row: hits after caps, and files read until the cap stops the search, unreadable ones included."""
-    total, every = F.count(F.lit(1)).alias("total_hits"), F.lit(files).cast("bigint").alias("files_scanned")
+    every = F.lit(files).cast("bigint")
+    if max_hits is not None and max_hits <= 0:
+        return counts.filter(first).agg(F.count(F.lit(1)).alias("total_hits")).select(
+            "total_hits", F.least(every, F.lit(1).cast("bigint")).alias("files_scanned"))
+    total = F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("total_hits")
     if max_hits is None:
-        return found.agg(total).select("total_hits", every)
-    if max_hits <= 0:
-        return capped.agg(total).select("total_hits", F.least(every, F.lit(1).cast("bigint")).alias("files_scanned"))
-    # the per-file counts tell it all; no hit is ranked for a total
-    reached = files_within_cap(found, max_hits, file, order)
+        return counts.agg(total).select("total_hits", every.alias("files_scanned"))
+    reached = counted_within_cap(counts, max_hits, file, order)
     if "place" not in file:
         reached = reached.join(listed.withColumnRenamed("path", "file_path"), "file_path")
-    return reached.agg(
-        F.coalesce(F.sum("hits"), F.lit(0)).cast("bigint").alias("total_hits"), F.max("place").alias("last")
-    ).select("total_hits", F.when(F.col("total_hits") < max_hits, every).otherwise(
-        F.col("last") + 1).alias("files_scanned"))
+    return reached.agg(total, F.max("place").alias("last")).select("total_hits", F.when(
+        F.col("total_hits") < max_hits, every).otherwise(F.col("last") + 1).alias("files_scanned"))

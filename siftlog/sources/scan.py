@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from siftlog.functions.linear import matcher, matches
 from siftlog.operators.entries import ENTRY_COLUMNS, entries_from_lines, join_pieces
+from siftlog.operators.paging import first_and_counts
 from siftlog.operators.running import block_starts
 from siftlog.session import written
 from siftlog.shipping import ship
@@ -153,15 +154,52 @@ class FileScan:
             cut = self._single if self.start_pattern is None else self._multi
             parts.append(cut(keep, keep_ignores_final_newline or keep is None))
         if self.streamed is not None:
-            df = entries_from_lines(self.streamed.withColumnRenamed("uri", "file_path"), self.start_pattern).withColumnRenamed("file_path", "uri")
-            parts.append(df if keep is None else df.filter(keep(F.col("content"))))
+            parts.append(self._streamed(keep))
         if not parts:
             return self.spark.createDataFrame([], "file_path string, start_line bigint, end_line bigint, content string")
         entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        if self.failed_count:
-            failed = F.broadcast(self.failed) if self.failed_count <= BROADCAST_BLOCKS else self.failed
-            entries = entries.join(failed, "uri", "left_anti")
-        return self.named(entries).select(*ENTRY_COLUMNS)
+        return self.named(self._readable(entries)).select(*ENTRY_COLUMNS)
+
+    def first_hits(self, keep: Keep, keep_ignores_final_newline: bool, limit: int) -> tuple[DataFrame, DataFrame]:
+        """``(entries, counts)``: at least the first ``limit`` hits of each file, and ``(file_path, hits)`` of them all.
+
+        The text is read once, now: each task writes its first hits of a file and their number.  Whole entries
+        pass without an exchange; only the pieces at batch and split edges are joined, from what was written.
+        """
+        parts = []
+        if self.lines is not None and self.start_pattern is None:
+            parts.append(self._single(keep, keep_ignores_final_newline))
+        elif self.lines is not None:
+            parts.append(self._placed_pieces(keep))
+        if self.streamed is not None:
+            parts.append(self._streamed(keep))
+        columns = ["uri", "start_line", "end_line", "content"]
+        if not parts:
+            return (self.spark.createDataFrame([], "file_path string, start_line bigint, end_line bigint, content string"),
+                    self.spark.createDataFrame([], "file_path string, hits bigint"))
+        whole = {"entry": F.lit(None).cast("bigint"), "whole": F.lit(True)}
+        parts = [p if "whole" in p.columns else p.withColumns(whole) for p in parts]
+        rows = self._readable(reduce(DataFrame.unionByName, parts)).select(*columns, "entry", "whole")
+        found = written(self.spark, rows.mapInArrow(first_and_counts(limit), (
+            "uri string, start_line bigint, end_line bigint, content string, entry bigint, whole boolean, hits bigint")), "found")
+        hits, counts = found.filter("whole").select(*columns), found.filter("hits is not null").select("uri", "hits")
+        if self.start_pattern is not None and self.lines is not None:
+            joined = _joined_by_uri(found.filter("not whole"))
+            joined = written(self.spark, joined.filter(keep(F.col("content"))), "joined")
+            hits = hits.unionByName(joined.select(*columns))
+            counts = counts.unionByName(joined.select("uri", F.lit(1).cast("bigint").alias("hits")))
+        counts = counts.groupBy("uri").agg(F.sum("hits").alias("hits"))
+        return self.named(hits).select(*ENTRY_COLUMNS), self.named(counts).select("file_path", "hits")
+
+    def _readable(self, rows: DataFrame) -> DataFrame:
+        if not self.failed_count:
+            return rows
+        failed = F.broadcast(self.failed) if self.failed_count <= BROADCAST_BLOCKS else self.failed
+        return rows.join(failed, "uri", "left_anti")
+
+    def _streamed(self, keep: Keep | None) -> DataFrame:
+        df = entries_from_lines(self.streamed.withColumnRenamed("uri", "file_path"), self.start_pattern).withColumnRenamed("file_path", "uri")
+        return df if keep is None else df.filter(keep(F.col("content")))
 
     def failed_files(self) -> DataFrame:
         if self.failed is None:
@@ -191,22 +229,29 @@ class FileScan:
         return df if tail_safe else df.filter(keep(F.col("content")))
 
     def _multi(self, keep: Keep | None, tail_safe: bool) -> DataFrame:
+        entries = _joined_by_uri(self._placed_pieces(keep))
+        return entries if keep is None else entries.filter(keep(F.col("content")))
+
+    def _placed_pieces(self, keep: Keep | None) -> DataFrame:
+        """Whole entries that ``keep`` holds for, and all pieces of others."""
         pieces = self.lines.select("uri", "block", "text", "is_start").mapInArrow(_cut_batches, _PIECES)
         if keep is not None:
             pieces = pieces.filter(~F.col("whole") | keep(F.col("content")))
         line = F.when(F.col("n_before").isNotNull(), F.col("n_before") + F.col("line") + 1).otherwise(
             F.raise_error(F.lit("file splits changed between two passes")).cast("bigint")
         )
-        placed = self._placed(pieces).select(
+        return self._placed(pieces).select(
             F.col("uri"), (F.col("starts_before") + F.col("entry")).alias("entry"),
             line.alias("start_line"), (line + F.col("lines") - 1).alias("end_line"),
             F.when(
                 F.col("unterminated") & (line + F.col("lines") - 1 == F.col("file_lines")),
                 F.expr("left(content, char_length(content) - 1)"),
-            ).otherwise(F.col("content")).alias("content"),
+            ).otherwise(F.col("content")).alias("content"), "whole",
         )
-        entries = join_pieces(placed.withColumnRenamed("uri", "file_path"), "entry").withColumnRenamed("file_path", "uri")
-        return entries if keep is None else entries.filter(keep(F.col("content")))
+
+
+def _joined_by_uri(pieces: DataFrame) -> DataFrame:
+    return join_pieces(pieces.withColumnRenamed("uri", "file_path"), "entry").withColumnRenamed("file_path", "uri")
 
 
 def _text_rows(
