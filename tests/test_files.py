@@ -466,3 +466,54 @@ def test_working_folders_are_deleted(spark, tmp_path):
         assert find(spark, tmp_path, must=["error"]).hits.count() == 1
         assert set(os.listdir(shared)) > before
     assert set(os.listdir(shared)) == before
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("pattern", [None, r"^\d{4} "])
+def test_pages_and_totals_read_no_text(spark, tmp_path, pattern):
+    for k in range(3):
+        put(tmp_path / f"{k}.log", "".join(f"{2000 + i} x error {i}\n  at y\n" for i in range(40)))
+    request = {"scan_config": {"root_path": str(tmp_path)}, "logical_query": {"must": ["error"]}, "max_hits": 50,
+               "page": 2, "page_size": 25, "log_start_pattern": pattern}
+    result = search_files(spark, request)
+    for df in (result.hits, result.summary, result.all_hits):
+        assert "Scan text" not in plan_of(df) and "FileScan text" not in plan_of(df), plan_of(df)
+    step = 1 if pattern else 0
+    want = [(str(tmp_path / "0.log"), 2 * i + 1, 2 * i + 1 + step) for i in range(40)] + [
+        (str(tmp_path / "1.log"), 2 * i + 1, 2 * i + 1 + step) for i in range(40)]
+    assert [(r.file_path, r.start_line, r.end_line) for r in result.hits.collect()] == want[25:50]
+    assert sorted((r.file_path, r.start_line, r.end_line) for r in result.all_hits.collect()) == want
+    assert [tuple(r) for r in result.summary.collect()] == [(80, 2, 25, 4, 2)]
+
+
+def test_whole_entries_meet_no_exchange(spark, tmp_path):
+    put(tmp_path / "a.log", "2000 x\n  at y\n" * 20)
+    scan = open_scan(spark, with_uris(spark, str(tmp_path)), str(tmp_path), r"^\d{4} ")
+    plan = plan_of(scan._readable(scan._placed_pieces(lambda c: F.contains(c, F.lit("x")))))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan, plan
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 1000])
+@pytest.mark.parametrize("in_order", [True, False])
+def test_first_hits_of_any_order(monkeypatch, limit, in_order):
+    import pyarrow as pa
+
+    from siftlog.operators import paging
+
+    monkeypatch.setattr(paging, "FILES_PER_TASK", 2)
+    rnd = random.Random(limit)
+    rows = [(f"f{k}", n, True) for k in range(5) for n in rnd.sample(range(1, 900), 60 * k)] + [("f1", 901, False), ("f9", 5, False)]
+    rows = sorted(rows) if in_order else rnd.sample(rows, len(rows))
+    names = ["uri", "start_line", "whole"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i:i + 37]]) for i in range(0, len(rows), 37)]
+    out = [r for b in paging.first_and_counts(limit)(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    assert sorted((r["uri"], r["start_line"]) for r in out if r["whole"] is False) == [("f1", 901), ("f9", 5)]
+    for k in range(6):
+        lines = sorted(n for f, n, whole in rows if f == f"f{k}" and whole)
+        got = sorted(r["start_line"] for r in out if r["uri"] == f"f{k}" and r["whole"])
+        assert got[:limit] == lines[:limit] and set(got) <= set(lines) and len(set(got)) == len(got)
+        assert not in_order or len(got) <= limit * 10
+        assert sum(r["hits"] for r in out if r["uri"] == f"f{k}" and r["hits"] is not None) == len(lines)
