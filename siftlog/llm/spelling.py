@@ -30,6 +30,7 @@ COMMON = 200  # words: a gram in more is extended ...
 MOST_COMMON = 20_000  # ... if it is among so many; bounds the dictionary that is broadcast
 SHORT_LIST = 32  # words
 LONG_WORD = 64  # letters
+MOST_BROADCAST = 1_000_000  # hashes of long lists (8 bytes each) that may be broadcast; more are joined by shuffling
 HELD_WORDS = 200_000  # counted in a task before they are handed on
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
@@ -208,22 +209,20 @@ def near_pairs(words: DataFrame, grams: Grams | None = None) -> DataFrame:
     grams = grams or gram_dictionary(words)
     lists = written(spark, _lists(words, grams), "lists").filter("word is not null")
     by_gram = lists.filter("gram <> ''").withColumn("list", F.xxhash64("gram", "start", "size"))
-    long = by_gram.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHORT_LIST).select("list")
-    short = by_gram.select("list", "word").join(long, "list", "left_anti")
+    long = written(spark, by_gram.groupBy("list").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHORT_LIST).select("list"), "long")
+    long = F.broadcast(long) if long.count() <= MOST_BROADCAST else long
     near = F.levenshtein("a", "b", 1) == 1
+    size_a, size_b = F.length("a"), F.length("b")
+    ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
 
     # words of one length keep the places of the grams they share; behind an added letter these move by one
-    a, b = (short.select("list", F.col("word").alias(name)) for name in ("a", "b"))
-    moved = by_gram.join(long, "list", "left_anti").select(
-        F.explode(F.array(*(F.xxhash64("gram", F.col("start") - i, F.col("size") - 1) for i in (0, 1)))).alias("list"), F.col("word").alias("b"))
-    every = by_gram.select("list", F.col("word").alias("a"))
-    found = [a.join(b, "list").filter((F.col("a") < F.col("b")) & near), every.join(moved, "list").filter(near)]
+    probes = by_gram.join(long, "list", "left_anti").select(F.explode(F.array("list", *(
+        F.xxhash64("gram", F.col("start") - i, F.col("size") - 1) for i in (0, 1)))).alias("list"), F.col("word").alias("b"))
+    found = [by_gram.select("list", F.col("word").alias("a")).join(probes, "list").filter(ordered & near)]
 
     split = _splits(by_gram.join(long, "list", "left_semi").drop("list").unionByName(lists.filter("gram = ''")))
     one, other = split.withColumnsRenamed({"word": "a", "at": "at_a"}), split.withColumnsRenamed({"word": "b", "at": "at_b"})
     itself = lists.select(F.xxhash64("gram", "start", "word").alias("rest"), F.col("word").alias("a"))
-    size_a, size_b = F.length("a"), F.length("b")
-    ordered = (size_a < size_b) | ((size_a == size_b) & (F.col("a") < F.col("b")))
     found += [one.join(other, "rest").filter((F.col("at_a") == F.col("at_b")) & ordered & near),
               itself.join(other, "rest").filter(near & (F.col("at_b") < size_b))]  # the same columns: one exchange for all
     pairs = found[0].select("a", "b")
