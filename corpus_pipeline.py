@@ -27,7 +27,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents without words have no such links and stay.  Rows of equal id and text count once.  Ids may repeat or be null
     (which counts as the largest): of one id's texts, each is judged by itself, and of linked ones a single one stays.
     """
-    of_doc = jaccard.groups(docs, words=5, percent=80, with_hash=True)
+    of_doc = jaccard.groups(docs, words=5, percent=80)
     rows = of_doc.groupBy("n", "group", "id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     first = rows.filter("n > 0").groupBy("group").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "rows")).alias("first")).select("first.id", "first.text_hash", "first.rows")

@@ -4,16 +4,19 @@ A document is its set of distinct n-grams.  Two sets with similarity t or more s
 n - ceil(t n) + 1 of either one, whatever global order the tokens stand in.  So candidates have to share a
 prefix token in each of several orders, and only what passes all of them is verified.
 
-The orders put a fixed quarter of all tokens (by hash) first and in it the tokens of fewest documents; they differ
-in how tokens of equally many documents stand.  So one shuffle of that quarter counts the tokens, and a document
-whose prefix is unique to it ends there.  Very common tokens, held by over ``COMMON`` of all documents, stand
-behind the others of that quarter and are sent only where a prefix reaches them; they are dealt out with a salt.
+Each order puts other tokens first (``ORDERS``, by the hash): a quarter of them, the other three quarters, and all;
+among these the tokens of fewest sets come first.  The first order is taken over all sets, each further one over the
+sets that share a prefix token in the orders before it, so its counts are other counts and its prefixes other
+tokens.  A set whose prefix is unique to it ends there.  The last order, over whole sets, makes the pairs; a pair
+must meet in the prefixes of the other orders too before its sets are fetched.  Very common tokens, held by over
+``COMMON`` of the sets, stand behind the others of their class and are sent only where a prefix reaches them; they
+are dealt out with a salt.
 
 Equal sets are one set from the start.  The sets that share a prefix token are not paired with one another: a
 leader of the token is compared with the rest, everything linked becomes one component, and only tokens whose sets
-lie in several components go on, with ``LEADERS`` new leaders at a time, and more as fewer sets are left.  That ends with every two sets of
-a token compared or in one component, so the components are exact, and a group of near copies costs one
-comparison each.  Tokens and sets are compared by 64-bit hashes.
+lie in several components go on, with up to ``LEADERS`` new leaders, and four times as many in every further round,
+so the rounds grow with the logarithm of the largest token.  That ends with every two sets of a token compared or in
+one component, so the components are exact, and a group of near copies costs one comparison each.  Tokens and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ SALTS = 64
 BITS = 2_048  # of a set's map: its elements' hashes; bits that only one of two sets has are elements that only it has
 LEADERS = 128
 MOST_BROADCAST = 200_000  # pairs of 16 bytes that may be broadcast; more are joined by shuffling
-PAIRS_PER_ENTRY = 32  # a round makes at most so many pairs for each entry that the first round had
 KNOWN_WORDS = 200_000  # hashes of words a worker keeps
-QUARTER = 1 << 62  # tokens below are counted: unsigned hashes with two leading zero bits
+QUARTER = 1 << 62  # tokens below have unsigned hashes with two leading zero bits
+ORDERS = ("quarter", "others", "all")  # the tokens that each order puts first
+HOT = 1_000  # a token with more than this many sets and this share (1 / HOT) of all entries is dealt out in SALTS parts
 
 
 class _Words(dict):
@@ -80,8 +84,14 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _first(tokens, order: str):
+    """Which tokens (signed) the order puts first."""
+    quarter = (tokens >= 0) & (tokens < QUARTER)
+    return quarter if order == "quarter" else ~quarter if order == "others" else quarter | True
+
+
 def _sets(percent: int, words: int):
-    """(id, text, ...) -> id, n, set_id and the tokens that may stand in a prefix: the quarter, or more where it is too small; and the rest."""
+    """(id, text, ...) -> id, n, set_id and the tokens that may stand in the first order's prefix: the quarter, or more where it is too small; and the rest."""
     def make(batches):
         import numpy as np
         import pyarrow as pa
@@ -105,43 +115,50 @@ def _sets(percent: int, words: int):
     return make
 
 
-def _frequent(batches):
-    """Tokens of a batch that are common in it, with their documents; every document is counted."""
-    import numpy as np
-    import pyarrow as pa
+def _frequent(order: str):
+    """Tokens of a batch that are common in it, with their sets; every set is counted."""
+    def make(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            flat = np.asarray(batch.column(0).flatten())
+            token, count = np.unique(flat[_first(flat, order)], return_counts=True)
+            keep = (count > 1) & (count >= COMMON / 2 * batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(count[keep].astype(np.int64))], names=["token", "docs"])
 
-    for batch in batches:
-        flat = np.asarray(batch.column(0).flatten())
-        token, count = np.unique(flat[(flat >= 0) & (flat < QUARTER)], return_counts=True)
-        keep = (count > 1) & (count >= COMMON / 2 * batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(count[keep].astype(np.int64))], names=["token", "docs"])
+    return make
 
 
-def _entries(percent: int, common):
+def _entries(percent: int, order: str, common):
     """(n, set_id, tokens) -> a row for each token sent: set_id, its number of plain tokens, and the token's salt.
 
-    Salt -1 marks plain tokens of the quarter, -2 tokens beyond it; common tokens have 0 and more.
+    Salt -1 marks plain tokens that the order puts first, -2 others; common tokens have 0 and more.
     """
     def make(batches):
         import numpy as np
         import pyarrow as pa
 
+        def before(mask, starts, row):
+            """Of each token, the marked ones before it in its set."""
+            upto = np.concatenate([[0], np.cumsum(mask)])
+            return upto[:-1] - upto[starts[row]]
+
         known = common.value
         for batch in batches:
             n, key = (np.asarray(batch.column(i)) for i in (0, 1))
             lengths = np.asarray(batch.column(2).value_lengths())
             flat = np.asarray(batch.column(2).flatten())
-            row = np.repeat(np.arange(len(n)), lengths)
-            beyond = (flat < 0) | (flat >= QUARTER)
-            is_common = np.isin(flat, known) & ~beyond
-            # common tokens are sent only where the plain ones do not fill the prefix
-            plain = np.bincount(row[~beyond & ~is_common], minlength=len(n))
+            row, starts = np.repeat(np.arange(len(n)), lengths), np.cumsum(lengths) - lengths
+            first = _first(flat, order)
+            is_common = np.isin(flat, known) & first
+            # common tokens are sent only where the plain ones do not fill the prefix, others where both do not
+            plain = np.bincount(row[first & ~is_common], minlength=len(n))
             room = np.maximum(0, prefix_length(n, percent) - plain)
-            upto = np.concatenate([[0], np.cumsum(is_common)])
-            before = upto[:-1] - upto[(np.cumsum(lengths) - lengths)[row]]
-            keep = ~is_common | (before < room[row])
-            row, token, beyond, is_common = row[keep], flat[keep], beyond[keep], is_common[keep]
-            salt = np.where(is_common, key[row] % SALTS, np.where(beyond, -2, -1)).astype(np.int32)
+            after = np.maximum(0, room - np.bincount(row[is_common], minlength=len(n)))
+            keep = np.where(first, ~is_common | (before(is_common, starts, row) < room[row]), before(~first, starts, row) < after[row])
+            row, token, first, is_common = row[keep], flat[keep], first[keep], is_common[keep]
+            salt = np.where(is_common, key[row] % SALTS, np.where(first, -1, -2)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token), pa.array(key[row]), pa.array(plain[row].astype(np.int32)), pa.array(salt)],
                 names=["token", "set_id", "plain", "salt"])
@@ -150,7 +167,7 @@ def _entries(percent: int, common):
 
 
 def _full(words: int):
-    """(set_id, text) -> set_id, shingles, for texts that are that set (another text may have the same id)."""
+    """(set_id, text) -> set_id, shingles and their map, for texts that are that set (another text may have the same id)."""
     def make(batches):
         import numpy as np
         import pyarrow as pa
@@ -175,17 +192,16 @@ def _full(words: int):
     return make
 
 
-def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(set_id, u, shared): of each set the tokens that another set also sent, and how many plain tokens only it has."""
+def _shared_tokens(sets: DataFrame, percent: int, order: str) -> DataFrame:
+    """(set_id, u, shared): of each set (n, set_id, tokens) the tokens that another one also sent, and how many plain tokens only it has."""
     import numpy as np
 
-    used = sets.filter("n > 0")
-    total = used.count()
-    frequent = map_batches(used.select("tokens"), _frequent, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
+    total = sets.count()
+    frequent = map_batches(sets.select("tokens"), _frequent(order), "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
     rows = frequent.filter(F.col("docs") >= max(16, COMMON * total / 2)).orderBy(F.desc("docs"), "token").limit(MOST_COMMON).collect()
     common = sets.sparkSession.sparkContext.broadcast(np.array(sorted(r.token for r in rows), np.int64))
     entries = map_batches(
-        used.select("n", "set_id", "tokens"), _entries(percent, common), "token long, set_id long, plain int, salt int")
+        sets.select("n", "set_id", "tokens"), _entries(percent, order, common), "token long, set_id long, plain int, salt int")
     # one shuffle of the entries: counted where they meet, and only those that may be shared go on
     same = Window.partitionBy("token", "salt")
     counted = entries.withColumns({
@@ -194,23 +210,29 @@ def _shared_tokens(sets: DataFrame, percent: int) -> DataFrame:
     salted = counted.filter("salt >= 0")
     whole = salted.groupBy("token", "salt").agg(*(F.first(c).alias(c) for c in ("docs", "low", "high"))).groupBy("token").agg(
         F.sum("docs").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # common tokens: at most MOST_COMMON rows
     found = counted.filter("salt < 0").select("token", "set_id", "plain", "salt", "docs").unionByName(
-        salted.drop("docs", "low", "high").join(whole.filter("low <> high").select("token", "docs"), "token"))
+        salted.drop("docs", "low", "high").join(F.broadcast(whole.filter("low <> high").select("token", "docs")), "token"))
     kind = F.least(F.col("salt"), F.lit(0))
     of_set = found.groupBy("set_id").agg(F.max("plain").alias("plain"), F.collect_list(F.struct(kind.alias("kind"), "docs", "token")).alias("shared"))
     own = F.col("plain") - F.size(F.filter("shared", lambda x: x.kind == -1))
     return of_set.select("set_id", own.alias("u"), "shared")
 
 
-def _prefix(shared: Column, u: Column, n: Column, percent: int, order: int) -> Column:
-    """The shared tokens of a set's prefix in one order; common tokens and those beyond the quarter were sent only where it needs them."""
-    def rank(x):
-        return F.struct(x.docs.alias("docs"), (x.token if order == 0 else F.xxhash64(x.token, F.lit(order))).alias("rank"), x.token.alias("token"))
-
+def _prefix(shared: Column, u: Column, n: Column, percent: int) -> Column:
+    """The shared tokens of a set's prefix; common tokens and those the order puts last were sent only where it needs them."""
     room = F.greatest(F.lit(0), prefix_length_column(n, percent) - u).cast("int")
-    first = F.slice(F.array_sort(F.transform(F.filter(shared, lambda x: x.kind == -1), rank)), F.lit(1), F.greatest(room, F.lit(0)))
+    plain = F.transform(F.filter(shared, lambda x: x.kind == -1), lambda x: F.struct(x.docs.alias("docs"), x.token.alias("token")))
     rest = F.filter(shared, lambda x: x.kind != -1)
-    return F.concat(F.transform(first, lambda x: x.token), F.transform(rest, lambda x: x.token))
+    return F.concat(F.transform(F.slice(F.array_sort(plain), F.lit(1), room), lambda x: x.token), F.transform(rest, lambda x: x.token))
+
+
+def _reached(sets: DataFrame, percent: int, order: str, prefix: str) -> DataFrame:
+    """(set_id, n, u, prefix) of the sets (n, set_id, tokens) that share a token of their prefix with another one."""
+    u, n = F.col("u"), F.col("n")
+    shared = _shared_tokens(sets, percent, order).join(sets.select("set_id", "n"), "set_id").filter(u < prefix_length_column(n, percent))
+    reached = shared.select("set_id", "n", "u", _prefix(F.col("shared"), u, n, percent).alias(prefix))
+    return written(sets.sparkSession, reached.filter(F.size(prefix) > 0), "reached")
 
 
 def prefix_length_column(n: Column, percent: int) -> Column:
@@ -221,9 +243,6 @@ def _alike(size_a: Column, size_b: Column, percent: int) -> Column:
     return 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
 
 
-ORDERS = 3
-
-
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``df``.
 
@@ -238,47 +257,54 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
                          F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, with_hash: bool = False) -> DataFrame:
-    """(id, n, set_id, group), a row for each row of ``df``: rows with n-grams that links join share a group.
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """(id, n, set_id, text_hash, group), a row for each row of ``df``: rows with n-grams that links join share a group.
 
-    ``with_hash`` adds text_hash, xxhash64 of the text, for tables whose ids do not tell rows apart.
+    ``text_hash``, xxhash64 of the text, tells rows apart where ids are repeated or null.
     """
     spark = df.sparkSession
-    hashed = [F.xxhash64(df[text]).alias("text_hash")] if with_hash else []
-    sets = written(spark, map_batches(
-        df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text"), *hashed), _sets(percent, words),
-        "id long, n long, set_id long, tokens array<long>" + (", text_hash long" if with_hash else "")), "sets")
-    prefixes = (_prefix(F.col("shared"), F.col("u"), F.col("n"), percent, k).alias(f"p{k}") for k in range(ORDERS))
-    sizes = sets.filter("n > 0").groupBy("set_id").agg(F.min("n").alias("n"))
-    reached = written(spark, _shared_tokens(sets, percent).join(sizes, "set_id").filter(
-        F.col("u") < prefix_length_column(F.col("n"), percent)).select("set_id", "n", "u", *prefixes), "prefixes")
-
-    # of each order: who shares a prefix token with another set
-    left = reached
-    for k in range(ORDERS):
-        tokens = left.select("set_id", F.explode(f"p{k}").alias("token"))
-        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-        left = left.join(tokens.join(shared, "token").select("set_id").distinct(), "set_id", "left_semi")
-    chosen = written(spark, left, "chosen")
-
-    # their whole sets, from one document each
-    holders = sets.filter("n > 0").groupBy("set_id").agg(F.min("id").alias("id")).join(chosen.select("set_id"), "set_id", "left_semi")
-    texts = df.select(df[doc_id].cast("long").alias("doc"), df[text].alias("text")).join(
-        holders, F.col("doc").eqNullSafe(F.col("id"))).select("set_id", "text")
+    rows = df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text"), F.xxhash64(df[text]).alias("text_hash"))
+    sets = written(spark, map_batches(rows, _sets(percent, words), "id long, n long, set_id long, tokens array<long>, text_hash long"), "sets")
+    used = sets.filter("n > 0")
+
+    # the first order, over all sets
+    reached = _reached(used.select("n", "set_id", "tokens"), percent, ORDERS[0], "p0").dropDuplicates(["set_id"])
+
+    # the whole sets that are left, from one document each
+    holders = used.groupBy("set_id").agg(F.min(F.struct("text_hash", "id")).alias("holder")).join(reached, "set_id").select(
+        F.col("holder.text_hash").alias("of_hash"), F.col("holder.id").alias("of_id"), "set_id")
+    texts = rows.join(holders, (F.col("text_hash") == F.col("of_hash")) & F.col("id").eqNullSafe(F.col("of_id"))).select("set_id", "text")
     full = map_batches(texts, _full(words), "set_id long, shingles array<long>, bits array<long>").dropDuplicates(["set_id"])
     whole = written(spark, full, "shingles")
 
-    entries = chosen.select("set_id", "n", (1000 * F.col("u") / F.col("n")).cast("int").alias("off"), F.explode("p0").alias("token"))
-    filters = written(spark, chosen.select("set_id", "n", *(_token_bits(F.col(f"p{k}")).alias(f"p{k}") for k in range(1, ORDERS))).join(
-        whole.select("set_id", "bits"), "set_id"), "filters")
+    # the further orders, each over the sets that the ones before it left
+    chosen = reached.select("set_id", "n", "p0")
+    for k, order in enumerate(ORDERS[1:], 1):
+        left = whole.select("set_id", F.col("shingles").alias("tokens")).join(chosen.select("set_id", "n"), "set_id")
+        chosen = chosen.join(_reached(left.select("n", "set_id", "tokens"), percent, order, f"p{k}").drop("n", "u"), "set_id")
+    chosen = written(spark, chosen, "chosen")
+
+    last = len(ORDERS) - 1
+    entries = chosen.select("set_id", "n", F.explode(f"p{last}").alias("token"))
+    filters = written(spark, chosen.select("set_id", "n", *(f"p{k}" for k in range(last))).join(whole.select("set_id", "bits"), "set_id"), "filters")
     roots = connected_components(_links(spark, entries, filters, whole.select("set_id", "shingles"), percent))
     return sets.drop("tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "group", F.coalesce("root", "set_id"))
 
 
-def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+def _dealt(entries: DataFrame, leaders: DataFrame, left: int) -> DataFrame:
+    """Entries with the leaders of their tokens; tokens of very many entries are dealt out (there are fewer than ``HOT``)."""
+    hot = F.broadcast(entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(
+        F.col("sets") > max(HOT, left // HOT)).select("token", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    one = entries.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64("set_id"), salts).cast("int")).drop("salts")
+    other = leaders.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return one.join(other, ["token", "salt"])
+
+
+def _links(spark, entries: DataFrame, filters: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all sets of a component; not every link within one."""
-    done, links, most, turn = None, None, 0, 0
+    done, links, turn = None, None, 0
     entries = entries.withColumn("label", F.col("set_id"))
     while True:
         # tokens whose sets still lie in several components
@@ -287,21 +313,18 @@ def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, per
         left = entries.count()
         if not left:
             return spark.createDataFrame([], "a long, b long") if links is None else links
-        most = left * PAIRS_PER_ENTRY if turn == 0 else most
-        slots = 1 if turn == 0 else max(LEADERS, min(left, most // left))
-        # few enough entries: every set leads
-        slot = F.col("set_id") if slots >= left else F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(slots))
-        leaders = entries.groupBy("token", slot.alias("slot")).agg(
-            F.min(F.struct("off", "set_id", "n", "label")).alias("leader"))
+        # one leader first, then up to LEADERS for each token, and four times as many in every further round
+        slot = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(LEADERS * 4 ** (turn - 1)))
+        leaders = entries.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "set_id", "label")).alias("leader"))
         leaders = written(spark, leaders.select("token", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("set_id", "n", "label"))), "leaders")
-        pairs = entries.join(leaders, "token").filter(
+        pairs = _dealt(entries, leaders, left).filter(
             (F.col("label") != F.col("l_label")) & _alike(F.col("n"), F.col("l_n"), percent)).select(
             F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(spark, pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        new = _verified(pairs, prefixes, whole, percent)
+        new = _verified(pairs, filters, whole, percent)
         links = new if links is None else links.unionByName(new)
         # labels only spare comparisons, so one round of merging is enough
         labels = connected_components(links, 1).select(F.col("node").alias("set_id"), "root")
@@ -311,16 +334,6 @@ def _links(spark, entries: DataFrame, prefixes: DataFrame, whole: DataFrame, per
         turn += 1
 
 
-def _token_bits(tokens: Column) -> Column:
-    """A map of 256 bits, as four longs: two lists that share a token share a bit."""
-    def word(k: Column) -> Column:
-        here = F.filter(tokens, lambda t: F.floor(F.pmod(t, F.lit(256)) / 64) == k)
-        bit = F.transform(here, lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int")))
-        return F.aggregate(bit, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), word)
-
-
 def _only(one: str, other: str) -> Column:
     """How many bits only the first map has."""
     return F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, n: s + n)
@@ -336,15 +349,12 @@ def _both_sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a prefix token in the other orders too, whose maps leave enough in common, and whose sets have it.
-
-    The first two tests read a few hundred bytes of each set and let all similar pairs pass.
-    """
+def _verified(pairs: DataFrame, filters: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a prefix token in the other orders too, whose maps leave enough in common, and whose sets have it."""
     spark = pairs.sparkSession
-    filtered = _both_sides(pairs, prefixes)
-    for k in range(1, ORDERS):
-        filtered = filtered.filter(F.exists(F.zip_with(f"a_p{k}", f"b_p{k}", lambda x, y: x.bitwiseAND(y)), lambda w: w != 0))
+    filtered = _both_sides(pairs, filters)
+    for k in range(len(ORDERS) - 1):
+        filtered = filtered.filter(F.arrays_overlap(f"a_p{k}", f"b_p{k}"))
     most = F.least(F.col("a_n") - _only("a_bits", "b_bits"), F.col("b_n") - _only("b_bits", "a_bits"))
     filtered = filtered.filter(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most))
     filtered = written(spark, filtered.select("a", "b"), "candidates")
