@@ -13,10 +13,14 @@ must meet in the prefixes of the other orders too before its sets are fetched.
 are dealt out with a salt.
 
 Equal sets are one set from the start.  The sets that share a prefix token are not paired with one another: a
-leader of the token is compared with the rest, everything linked becomes one component, and only tokens whose sets
-lie in several components go on, with up to ``LEADERS`` new leaders, and four times as many in every further round,
-so the rounds grow with the logarithm of the largest token.  That ends with every two sets of a token compared or in
-one component, so the components are exact, and a group of near copies costs one comparison each.  Tokens and sets are compared by 64-bit hashes.
+leader of the token, the set with fewest tokens of its own, is compared with the rest, and everything linked becomes
+one component.  Tokens of up to ``LEADERS`` sets pair what still lies in several components.  For the others the sets
+are seen as what they differ in from their leader: the leader's tokens they lack and the tokens it lacks.  Two sets
+differ where exactly one of them differs from the leader.  So two that link, but are not both linked to the leader,
+differ from it in common tokens, in the more the further off they are, and the prefix filter is applied to these
+differences, rarest first.  In a group of near copies almost nothing passes that.  Every two sets of a token are thus
+compared, in one component or known to be too far apart, so the components are exact.
+Tokens and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ COMMON = 0.002  # share of documents
 MOST_COMMON = 100_000  # common tokens that are known to all tasks (0.8 MB); the most frequent ones
 SALTS = 64
 BITS = 2_048  # of a set's map: its elements' hashes; bits that only one of two sets has are elements that only it has
-LEADERS = 128
+LEADERS = 8  # sets of a token that are all paired with one another
 MOST_BROADCAST = 200_000  # pairs of 16 bytes that may be broadcast; more are joined by shuffling
 KNOWN_WORDS = 200_000  # hashes of words a worker keeps
 QUARTER = 1 << 62  # tokens below have unsigned hashes with two leading zero bits
@@ -281,57 +285,85 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     chosen = reached.select("set_id", "n", "p0")
     for k, order in enumerate(ORDERS[1:], 1):
         left = whole.select("set_id", F.col("shingles").alias("tokens")).join(chosen.select("set_id", "n"), "set_id")
-        chosen = chosen.join(_reached(left.select("n", "set_id", "tokens"), percent, order, f"p{k}").drop("n", "u"), "set_id")
+        chosen = chosen.drop("u").join(_reached(left.select("n", "set_id", "tokens"), percent, order, f"p{k}").drop("n"), "set_id")
     chosen = written(spark, chosen, "chosen")
 
     last = len(ORDERS) - 1
-    entries = chosen.select("set_id", "n", F.explode(f"p{last}").alias("token"))
+    entries = chosen.select("set_id", "n", "u", F.explode(f"p{last}").alias("token"))
     filters = written(spark, chosen.select("set_id", "n", *(f"p{k}" for k in range(last))).join(whole.select("set_id", "bits"), "set_id"), "filters")
     roots = connected_components(_links(spark, entries, filters, whole.select("set_id", "shingles"), percent))
     return sets.drop("tokens").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "group", F.coalesce("root", "set_id"))
 
 
-def _dealt(entries: DataFrame, leaders: DataFrame, left: int) -> DataFrame:
-    """Entries with the leaders of their tokens; tokens of very many entries are dealt out (there are fewer than ``HOT``)."""
-    hot = F.broadcast(entries.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(
-        F.col("sets") > max(HOT, left // HOT)).select("token", F.lit(SALTS).alias("salts")))
+def _dealt(entries: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries with the other rows of their keys; keys of very many entries are dealt out (there are fewer than ``HOT``)."""
+    hot = F.broadcast(entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("sets")).filter(
+        F.col("sets") > max(HOT, entries.count() // HOT)).select(*keys, F.lit(SALTS).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
-    one = entries.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64("set_id"), salts).cast("int")).drop("salts")
-    other = leaders.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return one.join(other, ["token", "salt"])
+    one = entries.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("set_id"), salts).cast("int")).drop("salts")
+    other = others.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return one.join(other, [*keys, "salt"])
+
+
+def _pairs() -> list[Column]:
+    return [F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b")]
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of the keys whose sets lie in several components."""
+    keys = rows.groupBy(key).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return rows.join(keys.select(key), key, "left_semi")
 
 
 def _links(spark, entries: DataFrame, filters: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join all sets of a component; not every link within one."""
-    done, links, turn = None, None, 0
-    entries = entries.withColumn("label", F.col("set_id"))
-    while True:
-        # tokens whose sets still lie in several components
-        mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        entries = written(spark, entries.join(mixed.select("token"), "token", "left_semi"), "entries")
-        left = entries.count()
-        if not left:
-            return spark.createDataFrame([], "a long, b long") if links is None else links
-        # one leader first, then up to LEADERS for each token, and four times as many in every further round
-        slot = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(LEADERS * 4 ** (turn - 1)))
-        leaders = entries.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "set_id", "label")).alias("leader"))
-        leaders = written(spark, leaders.select("token", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("set_id", "n", "label"))), "leaders")
-        pairs = _dealt(entries, leaders, left).filter(
-            (F.col("label") != F.col("l_label")) & _alike(F.col("n"), F.col("l_n"), percent)).select(
-            F.least("set_id", "l_set_id").alias("a"), F.greatest("set_id", "l_set_id").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        new = _verified(pairs, filters, whole, percent)
-        links = new if links is None else links.unionByName(new)
-        # labels only spare comparisons, so one round of merging is enough
-        labels = connected_components(links, 1).select(F.col("node").alias("set_id"), "root")
-        # the leaders have met all sets of their tokens
-        entries = entries.drop("label").join(leaders.select("token", F.col("l_set_id").alias("set_id")), ["token", "set_id"], "left_anti")
-        entries = entries.join(labels, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
-        turn += 1
+    heads = entries.groupBy("token").agg(F.min(F.struct("u", "n", "set_id")).alias("leader"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    heads = written(spark, heads.select("token", "sets", F.col("leader.set_id").alias("l_set_id"), F.col("leader.n").alias("l_n")), "heads")
+    entries = written(spark, entries.drop("u").join(heads.select("token"), "token", "left_semi"), "entries")
+    met = written(spark, _dealt(entries, heads, ["token"]).filter("set_id <> l_set_id").select(
+        "set_id", "n", "l_set_id", "l_n", (F.col("sets") <= LEADERS).alias("few")).groupBy("set_id", "n", "l_set_id", "l_n").agg(
+        F.bool_and("few").alias("few")), "met")
+    done = written(spark, met.filter(_alike(F.col("n"), F.col("l_n"), percent)).select(*_pairs()).distinct(), "pairs")
+    links = _verified(done, filters, whole, percent)
+    labels = written(spark, connected_components(links).select(F.col("node").alias("set_id"), "root"), "labels")
+
+    def labelled(rows):
+        return rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
+
+    few = written(spark, _mixed(labelled(entries.join(heads.filter(F.col("sets") <= LEADERS).select("token"), "token", "left_semi")), "token"), "few")
+    others = few.select("token", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "label")))
+    near = few.join(others, "token").filter(
+        (F.col("set_id") < F.col("l_set_id")) & (F.col("label") != F.col("l_label")) & _alike(F.col("n"), F.col("l_n"), percent)).select(*_pairs())
+    many = _mixed(labelled(met.filter("not few").select("set_id", "n", F.col("l_set_id").alias("leader"))), "leader")
+    pairs = near.unionByName(_differing(spark, many, whole, percent)).distinct().join(done, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(written(spark, pairs, "pairs"), filters, whole, percent))
+
+
+def _differing(spark, met: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets (leader, set_id, n, label) of one leader and two components that may link.
+
+    With d and e the numbers of tokens in which they differ from the leader, and c of those in which both do, they
+    differ from one another in d + e - 2 c tokens; at most (100 - percent) / (100 + percent) of both sizes if they link.
+    """
+    of_leader = whole.select(F.col("set_id").alias("leader"), F.col("shingles").alias("of_leader"))
+    tokens = met.join(whole, "set_id").join(of_leader, "leader").withColumn("tokens", F.concat(
+        F.array_except("shingles", "of_leader"), F.array_except("of_leader", "shingles")))
+    sets = written(spark, tokens.select("leader", "set_id", "n", "label", F.size("tokens").alias("size"), "tokens"), "differing")
+    each = sets.select("leader", "set_id", F.explode("tokens").alias("token"))
+    docs = each.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
+    shared = each.join(docs, ["leader", "token"]).groupBy("leader", "set_id").agg(F.array_sort(F.collect_list(F.struct("docs", "token"))).alias("shared"))
+    # rarest first: the tokens that no other set differs in stand before the shared ones
+    placed = sets.drop("tokens").join(shared, ["leader", "set_id"]).select(
+        "leader", "set_id", "n", "label", "size", (F.col("size") - F.size("shared")).alias("own"), F.posexplode("shared").alias("place", "t")).select(
+        "leader", "set_id", "n", "label", "size", (F.col("size") - F.col("own") - F.col("place")).alias("rest"), F.col("t.token").alias("token"))
+    # the first token that two such sets share stands within this prefix of both, and the rest holds enough more
+    placed = written(spark, placed.filter(percent * (F.col("size") - F.col("rest")) <= (100 - percent) * F.col("n")), "prefixes")
+    others = placed.select("leader", "token", *(F.col(c).alias(f"l_{c}") for c in ("set_id", "n", "label", "size", "rest")))
+    differ = (100 + percent) * (F.col("size") + F.col("l_size") - 2 * F.least("rest", "l_rest"))
+    return _dealt(placed, others, ["leader", "token"]).filter(
+        (F.col("set_id") < F.col("l_set_id")) & (F.col("label") != F.col("l_label")) & _alike(F.col("n"), F.col("l_n"), percent)
+        & (differ <= (100 - percent) * (F.col("n") + F.col("l_n")))).select(*_pairs())
 
 
 def _only(one: str, other: str) -> Column:

@@ -84,6 +84,27 @@ def test_hot_group_of_near_copies(spark):
     assert {r.component_id for r in components(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
 
 
+def test_pairs_of_edited_copies_grow_with_the_group(spark, monkeypatch):
+    """Copies with none to seven edits: many lie too far from one another, and few such pairs are fetched."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        parts = list(base)
+        for _ in range(rng.randrange(8)):
+            parts[rng.randrange(150)] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(parts), "c"))
+    made, verified = [], jaccard._verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    assert got(components(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 4, 85)
+    assert sum(made) <= 5 * len(rows)
+
+
 def test_long_and_nothing(spark):
     df = spark.createDataFrame([(1, "word " * 300_000, "c"), (2, "word word word word", "c")], SCHEMA)
     assert got(components(df)) == Counter([(1, 1, 1), (2, 1, 1)])
