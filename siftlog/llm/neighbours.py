@@ -58,13 +58,21 @@ def collision_search(ids, rows, query_ids, queries, k: int, largest: float, seed
             break
         half *= GROWTH
     open_ = np.arange(len(queries))
+    # the first windows hold most entries: whether a vector's place lies in one is compared, not gathered
+    place = np.empty((LISTS, n), np.uint16 if n < 1 << 16 else np.uint32)
+    for i in range(LISTS):
+        place[i, order[i]] = np.arange(n)
+    left, right = edges(open_, half)
     counts = np.zeros((len(queries), n), np.uint8)
-    left = right = None
+    since, inside = np.empty(n, place.dtype), np.empty(n, bool)
+    for count, starts, sizes in zip(counts, left.T.astype(place.dtype), (right - left).T.astype(place.dtype), strict=True):
+        for places, start, size in zip(place, starts, sizes, strict=True):
+            np.subtract(places, start, out=since)  # places before the window wrap around
+            np.less(since, size, out=inside)
+            np.add(count, inside.view(np.uint8), out=count)
     found = []
     while len(open_):
         low, high = edges(open_, half)
-        if left is None:
-            left, right = low, low
         still = np.ones(len(open_), bool)
         for j, q in enumerate(open_):
             new = np.concatenate([

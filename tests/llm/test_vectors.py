@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog.llm import tiles
-from siftlog.llm.neighbours import nearest
+from siftlog.llm.neighbours import FIRST, LISTS, collision_search, nearest
 from siftlog.llm.topk import threshold_search, top_k
 
 SCHEMA = "vec_id long, embedding array<double>, RANK string"
@@ -93,3 +93,24 @@ def test_recall(spark):
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert top_k(empty, F.col("id") % 2 == 0).collect() == [] and nearest(empty, F.col("id") % 2 == 0).collect() == []
+
+
+def test_first_windows_are_compared_not_gathered(monkeypatch):
+    """Entries gathered into counts are those of the widenings: far fewer than the first windows hold."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(600, 8))
+    gathered, bincount = [], np.bincount
+
+    def counted(x, *args, **kw):
+        gathered.append(len(x))
+        return bincount(x, *args, **kw)
+
+    monkeypatch.setattr(np, "bincount", counted)
+    ids = np.arange(600)
+    largest = np.sqrt((vectors * vectors).sum(1)).max()
+    query_id, vec_id, _ = collision_search(ids, vectors, ids[:30], vectors[:30], 20, largest, 0)
+    assert sum(gathered) < 0.3 * FIRST * LISTS * 600 * 30
+    scores = vectors[:30] @ vectors.T
+    scores[ids[:30], ids[:30]] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len(set(vec_id[query_id == q]) & set(best[q])) for q in range(30)) >= 0.9 * 20 * 30
