@@ -209,6 +209,18 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     return map_batches(df.select(*(df[c] for c in kept), df[text].alias("__text")), make, schema)
 
 
+def id_lists(column) -> Iterator[list[int] | None]:
+    """Arrow lists of ids as Python lists, made from one flat list; a null id becomes -1, which no vocabulary has."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = np.asarray(pc.fill_null(column.flatten(), -1)).tolist()
+    at = 0
+    for length in column.value_lengths().to_pylist():
+        yield None if length is None else flat[at:at + length]
+        at += length or 0
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None, out: str = "decoded") -> DataFrame:
     """Add ``out``, the text of the ids in column ``ids``; null ids give null, no ids an empty text."""
     spec = _spec(df, path)
@@ -223,7 +235,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] | None =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if x is None else tokenizer.decode(x) for x in part.column(width).to_pylist()]
+                texts = [None if x is None else tokenizer.decode(x) for x in id_lists(part.column(width))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(texts, pa.string())], names=schema.names)
 
     return map_batches(df.select(*(df[c] for c in kept), df[ids].alias("__ids")), make, schema)

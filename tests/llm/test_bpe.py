@@ -1,10 +1,14 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from siftlog.llm import bpe
 from siftlog.llm.bpe import WordTokenizer, decode, encode, merge_by_heap, merge_by_scan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -71,3 +75,21 @@ def test_query(spark, library):
         shown = library.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest())
+
+
+def test_ids_leave_arrow_as_one_list():
+    column = pa.array([[1, 2], None, [], [3, None, 4], [5]], pa.list_(pa.int32()))
+    assert list(bpe.id_lists(column)) == [[1, 2], None, [], [3, -1, 4], [5]]
+    assert list(bpe.id_lists(column.slice(1, 3))) == [None, [], [3, -1, 4]]
+    many = pa.array([np.arange(500, dtype=np.int32)] * 2000)
+    begun = time.process_time()
+    flat = list(bpe.id_lists(many))
+    between = time.process_time()
+    assert flat == many.to_pylist()
+    assert 2 * (between - begun) < time.process_time() - between
+
+
+def test_decode_of_odd_ids(spark, own):
+    rows = [(1, [5, None, 6]), (2, None), (3, []), (4, [7, 10 ** 6, -1])]
+    got = {r.doc_id: r.decoded for r in decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), PATH).collect()}
+    assert got == {1: own.decode([5, 6]), 2: None, 3: "", 4: own.decode([7])}
