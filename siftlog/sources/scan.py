@@ -404,7 +404,7 @@ def scan_files(
         ([u for u in split if u in utf8], False, None), ([u for u in split if u not in utf8], False, declared),
         (zipped, True, declared))
 
-    checked = gzip_check(spark, zipped) if zipped else None
+    checked = gzip_check(spark, [(u, sizes[u]) for u in zipped]) if zipped else None
     parts = [_text_rows(spark, *group) for group in groups if group[0]]
     lines = places = blocks = None
     failed = [spark.createDataFrame([(urllib.parse.quote(u, safe="/:"), r) for u, r in gone.items()], "uri string, reason string")] if gone else []

@@ -7,6 +7,7 @@ starts in, as in Spark's own splits.  What cannot be read ends in one row with t
 
 from __future__ import annotations
 
+import heapq
 import urllib.parse
 from collections.abc import Iterator, Sequence
 
@@ -18,6 +19,8 @@ from siftlog.session import written
 
 PIECE = 1 << 20
 PART = 64 << 20
+OPEN = 1 << 20  # what opening a file counts, as bytes of reading
+TASKS_PER_CORE = 3
 LINE = "uri string, part bigint, place bigint, line string, reason string"
 
 
@@ -77,8 +80,8 @@ def checked_gzip(uri: str) -> tuple[str | None, bool, int]:
     return None, last == b"\n", size
 
 
-def gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
-    """``(plain, reason, terminated, size)`` for each gzip file, streamed by a task each; ``plain`` is the given address."""
+def gzip_check(spark: SparkSession, files: Sequence[tuple[str, int]]) -> DataFrame:
+    """``(plain, reason, terminated, size)`` for each gzip file (address, length), streamed by one task; ``plain`` is the given address."""
     def check(batches):
         import pyarrow as pa
 
@@ -88,15 +91,32 @@ def gzip_check(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([plain]), pa.array([reason], pa.string()), pa.array([terminated]), pa.array([size])],
                                                  names=["plain", "reason", "terminated", "size"])
 
-    return written(spark, _tasks(spark, [(u,) for u in uris], "plain string").mapInArrow(
+    return written(spark, _tasks(spark, [(u,) for u, _ in files], [n for _, n in files], "plain string").mapInArrow(
         check, "plain string, reason string, terminated boolean, size bigint"), "gzip")
 
 
-def _tasks(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """One row for each piece of work, spread over tasks, with the percent-encoded address."""
+def dealt(sizes: Sequence[int], least: int) -> list[list[int]]:
+    """Places of ``sizes`` in groups of about ``PART`` bytes, larger ones alone, ``least`` groups if there are so many.
+
+    A file counts ``OPEN`` bytes besides its own; the largest first, each to the group that has least so far.
+    """
+    groups = max(min(len(sizes), least), -(-sum(n + OPEN for n in sizes) // PART))
+    loads = [(0, g) for g in range(groups)]
+    out: list[list[int]] = [[] for _ in loads]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        load, g = heapq.heappop(loads)
+        out[g].append(i)
+        heapq.heappush(loads, (load + sizes[i] + OPEN, g))
+    return [g for g in out if g]
+
+
+def _tasks(spark: SparkSession, rows: list[tuple], sizes: list[int], schema: str) -> DataFrame:
+    """One row for each piece of work, with the percent-encoded address, spread over tasks; small ones share a task."""
     made = [(*r[:1], urllib.parse.quote(r[0], safe="/:"), *r[1:]) for r in rows]
     first, *rest = schema.split(", ")
-    return spark.createDataFrame(made, ", ".join([first, "encoded string", *rest])).repartition(max(1, min(len(rows), 10_000)))
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in (first, "encoded string", *rest))
+    groups = [([made[i] for i in g],) for g in dealt(sizes, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)]
+    return spark.createDataFrame(groups, f"work array<struct<{fields}>>").repartition(max(1, min(len(groups), 10_000))).select(F.inline("work"))
 
 
 def _encoding(uri: str, charset: str | None) -> tuple[str, int]:
@@ -250,7 +270,9 @@ def streamed_lines(
     The lines are written to the shared folder once and numbered by the counts of the parts before.
     """
     tasks = [(uri, at, at + part if at + part < size else None) for uri, size in files for at in range(0, max(size, 1), part)]
-    read = written(spark, _tasks(spark, tasks, "plain string, part bigint, end bigint").mapInArrow(_line_reader(charset), LINE), "own")
+    # a file that is not UTF-16 is read whole by its first part; the further ones only look at its mark
+    sizes = [size if not at else part for uri, size in files for at in range(0, max(size, 1), part)]
+    read = written(spark, _tasks(spark, tasks, sizes, "plain string, part bigint, end bigint").mapInArrow(_line_reader(charset), LINE), "own")
     failed = read.filter("reason is not null").groupBy("uri").agg(F.min("reason").alias("reason"))
     good = read.filter("reason is null")
     counts = block_starts(good.groupBy("uri", "part").agg(F.count(F.lit(1)).alias("n")), ["uri"], "part", ["n"])

@@ -517,3 +517,28 @@ def test_first_hits_of_any_order(monkeypatch, limit, in_order):
         assert got[:limit] == lines[:limit] and set(got) <= set(lines) and len(set(got)) == len(got)
         assert not in_order or len(got) <= limit * 10
         assert sum(r["hits"] for r in out if r["uri"] == f"f{k}" and r["hits"] is not None) == len(lines)
+
+
+@pytest.mark.parametrize(("ending", "purpose"), [(".log.gz", "gzip"), (".log.zst", "own")])
+def test_small_files_share_tasks(spark, tmp_path, ending, purpose):
+    from siftlog import session
+    from siftlog.sources.stream import TASKS_PER_CORE
+
+    for i in range(60):
+        (put_gz if ending.endswith("gz") else put)(tmp_path / f"f{i:02}{ending}", f"line of {i}\n" * (i % 3))
+    before = len(session._made)
+    assert lines_of(spark, tmp_path) == [(f"f{i:02}{ending}", n + 1, f"line of {i}\n") for i in range(60) for n in range(i % 3)]
+    folder = next(f for f in session._made[before:] if f"siftlog-{purpose}-" in f)
+    written = [name for name in os.listdir(folder) if name.startswith("part-")]
+    assert 1 < len(written) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_dealt_by_bytes():
+    from siftlog.sources.stream import PART, dealt
+
+    sizes = [1, PART * 5, 0, PART // 2, PART // 2, 10]
+    groups = dealt(sizes, 2)
+    assert sorted(i for g in groups for i in g) == list(range(6))
+    assert [1] in groups
+    assert dealt([], 4) == []
+    assert sorted(map(len, dealt([7] * 10, 4))) == [2, 2, 3, 3]
