@@ -39,6 +39,7 @@ SALTS = 64
 BITS = 2_048  # of a set's map: its elements' hashes; bits that only one of two sets has are elements that only it has
 LEADERS = 8  # sets of a token that are all paired with one another
 MOST_BROADCAST = 200_000  # pairs of 16 bytes that may be broadcast; more are joined by shuffling
+TOKENS = 200_000  # that a task lays out at once, some 16 MB
 KNOWN_WORDS = 200_000  # hashes of words a worker keeps
 QUARTER = 1 << 62  # tokens below have unsigned hashes with two leading zero bits
 ORDERS = ("quarter", "others", "all")  # the tokens that each order puts first
@@ -134,6 +135,15 @@ def _frequent(order: str):
     return make
 
 
+def _parts(batch):
+    """The batch (n, set_id, tokens) in slices of about ``TOKENS`` tokens, at least one set each."""
+    import numpy as np
+
+    ends = np.cumsum(np.asarray(batch.column(2).value_lengths()), dtype=np.int64) // TOKENS
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def _entries(percent: int, order: str, common):
     """(n, set_id, tokens) -> a row for each token sent: set_id, its number of plain tokens, and the token's salt.
 
@@ -149,7 +159,7 @@ def _entries(percent: int, order: str, common):
             return upto[:-1] - upto[starts[row]]
 
         known = common.value
-        for batch in batches:
+        for batch in (part for b in batches for part in _parts(b)):
             n, key = (np.asarray(batch.column(i)) for i in (0, 1))
             lengths = np.asarray(batch.column(2).value_lengths())
             flat = np.asarray(batch.column(2).flatten())

@@ -1,6 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftlog.llm import jaccard
@@ -105,6 +109,21 @@ def test_pairs_of_edited_copies_grow_with_the_group(spark, monkeypatch):
     assert sum(made) <= 5 * len(rows)
 
 
+def test_entries_are_laid_out_in_parts():
+    rng = np.random.default_rng(3)
+    tokens = [rng.integers(-(1 << 62), 1 << 62, 500) for _ in range(4_000)] + [np.empty(0, np.int64)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([len(t) for t in tokens], pa.int64()), pa.array(range(len(tokens)), pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
+        names=["n", "set_id", "tokens"])
+    make = jaccard._entries(85, "all", SimpleNamespace(value=np.sort(tokens[0][:50])))
+    tracemalloc.start()
+    made = sum(b.num_rows for b in make([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 4_000 * 500 - 50  # plain tokens fill all prefixes, so no common one is sent
+    assert peak < 60 << 20
+
+
 def test_long_and_nothing(spark):
     df = spark.createDataFrame([(1, "word " * 300_000, "c"), (2, "word word word word", "c")], SCHEMA)
     assert got(components(df)) == Counter([(1, 1, 1), (2, 1, 1)])
