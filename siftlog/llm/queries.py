@@ -92,7 +92,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings of 400 bytes that also start elsewhere."""
+    """Documents without the bytes of strings of 400 bytes that also start elsewhere, and what shorter passages they share."""
     return repeats.remove(table(spark, sf_dir, "documents"), 400, with_kept=False)
 
 

@@ -12,6 +12,9 @@ In a bin the suffixes that start a repeated window, and whose left neighbours di
 the lengths of common prefixes.  The longest prefix a suffix shares with a neighbour is its span.  An anchor with too
 many different runs for one bin is settled by counting its windows' hashes instead.  Equal texts are one text from the start.
 
+All this is done at two lengths side by side, which never meet: level 0 for the bytes to remove, wherever the string starts
+again, and level 1 for shorter passages that another text holds too.
+
 Groups of maximal repeats are not returned: hashes and neighbours decide every span.  A bin's common-prefix intervals
 whose left extensions differ are found and written beside the leaves, but nothing reads them, they end at the edges of
 runs, and copies, equal runs and common anchors are not among them.
@@ -33,9 +36,10 @@ BIN_RUNS = 4_000  # different runs that meet in a bin, about
 MOST_RUNS = 20_000  # of one anchor; beyond, its windows are counted
 FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2 ** 64
 
-READ = ("id long, sha string, key long, n long, anchor array<long>, content array<long>, first array<int>, last array<int>, "
-        "local array<struct<a:int,b:int>>")
-LEAVES = "key long, start int, length int, node long, parent long"
+READ = ("id long, sha string, key long, n long, anchor array<long>, content array<long>, first array<int>, end array<int>, "
+        "level array<int>, local array<struct<a:int,b:int>>")
+RUN_BYTES = "anchor long, key long, first int, level int, again boolean, data binary"
+LEAVES = "key long, level int, start int, length int, other int, node long, parent long"
 
 
 def _letters():
@@ -146,8 +150,38 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield group
 
 
-def _read(length: int):
-    """(id, text) -> READ.  Runs equal within their text are spans already; the first of them stands for all."""
+def _runs_of(texts: list[bytes], length: int, level: int) -> list:
+    """anchor, content, first and end of the runs of each text, in their order.  Anchors of two levels are never equal."""
+    import numpy as np
+
+    found = [([], [], [], []) for _ in texts]
+    for group in _pieces(texts, length):
+        edges = np.cumsum([0, *(len(p) for _, _, p in group)])
+        piece, first, last, anchor, content = runs(b"".join(p for _, _, p in group), edges, length)
+        shift = np.array([o for _, o, _ in group], np.int64) - edges[:-1]
+        first, end = first + shift[piece], last + shift[piece] + length
+        anchor = _mixed(anchor + np.uint64(level * FACTOR))
+        text = np.array([i for i, _, _ in group])[piece]
+        cuts = np.flatnonzero(np.diff(text)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            if a < b:
+                for out, x in zip(found[text[a]], (anchor, content, first, end), strict=True):
+                    out.append(x[a:b])
+    none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+    return [tuple(map(np.concatenate, lists)) if lists[0] else none for lists in found]
+
+
+def _kinds_of(anchor, content):
+    """Of runs: the first of each kind, the kind of each, and how many are of each kind."""
+    import numpy as np
+
+    _, once, kind, count = np.unique(
+        np.stack([anchor, content], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return once, kind.ravel(), count
+
+
+def _read(lengths: tuple[int, int]):
+    """(id, text) -> READ.  Of the runs equal within their text the first stands for all; ``local`` are those of level 0."""
     def make(batches):
         import hashlib
 
@@ -159,69 +193,51 @@ def _read(length: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                found = [([], [], [], []) for _ in texts]
-                for group in _pieces(texts, length):
-                    edges = np.cumsum([0, *(len(p) for _, _, p in group)])
-                    piece, first, last, anchor, content = runs(b"".join(p for _, _, p in group), edges, length)
-                    shift = np.array([o for _, o, _ in group], np.int64) - edges[:-1]
-                    first, last = first + shift[piece], last + shift[piece]
-                    text = np.array([i for i, _, _ in group])[piece]
-                    cuts = np.flatnonzero(np.diff(text)) + 1
-                    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
-                        if a < b:
-                            for out, x in zip(found[text[a]], (anchor, content, first, last), strict=True):
-                                out.append(x[a:b])
-                columns, local = ([], [], [], []), []
-                for lists in found:
-                    if not lists[0]:
-                        for c in columns:
-                            c.append(np.empty(0, np.int64))
-                        local.append([])
-                        continue
-                    anchor, content, first, last = (np.concatenate(x) for x in lists)
-                    _, once, again, count = np.unique(
-                        np.stack([anchor, content], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-                    many = count[again.ravel()] > 1
-                    local.append([{"a": a, "b": b} for a, b in merged(
-                        list(zip(first[many].tolist(), (last[many] + length).tolist(), strict=True)))])
-                    once.sort()
-                    for c, x in zip(columns, (anchor.view(np.int64), content.view(np.int64), first, last), strict=True):
-                        c.append(x[once])
+                found, local = [[] for _ in texts], [[] for _ in texts]
+                for level, length in enumerate(lengths):
+                    for i, (anchor, content, first, end) in enumerate(_runs_of(texts, length, level)):
+                        if not len(first):
+                            continue
+                        once, kind, count = _kinds_of(anchor, content)
+                        if level == 0:
+                            many = count[kind] > 1
+                            local[i] = [{"a": a, "b": b} for a, b in merged(
+                                list(zip(first[many].tolist(), end[many].tolist(), strict=True)))]
+                        once.sort()
+                        found[i].append((anchor[once].view(np.int64), content[once].view(np.int64), first[once], end[once],
+                                         np.full(len(once), level)))
                 ends = np.zeros(len(texts) + 1, np.int32)
-                np.cumsum([len(x) for x in columns[0]], out=ends[1:])
+                np.cumsum([sum(len(x[0]) for x in parts) for parts in found], out=ends[1:])
 
-                def lists_of(x, kind, ends=ends):
-                    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(np.int64), kind))
+                def lists_of(k, kind, ends=ends, found=found):
+                    flat = [np.empty(0, np.int64), *(x[k] for parts in found for x in parts)]
+                    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), kind))
 
                 sha = [hashlib.sha256(t).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sha), pa.array([int(s[:15], 16) for s in sha], pa.int64()),
-                     pa.array([len(t) for t in texts], pa.int64()), lists_of(columns[0], pa.int64()), lists_of(columns[1], pa.int64()),
-                     lists_of(columns[2], pa.int32()), lists_of(columns[3], pa.int32()), pa.array(local, pair)],
-                    names=["id", "sha", "key", "n", "anchor", "content", "first", "last", "local"])
+                     pa.array([len(t) for t in texts], pa.int64()), lists_of(0, pa.int64()), lists_of(1, pa.int64()),
+                     lists_of(2, pa.int32()), lists_of(3, pa.int32()), lists_of(4, pa.int32()), pa.array(local, pair)],
+                    names=["id", "sha", "key", "n", "anchor", "content", "first", "end", "level", "local"])
 
     return make
 
 
-def _bytes_of_runs(length: int):
+def _bytes_of_runs(batches):
     """(key, text, members) -> the bytes of each member run."""
-    def make(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = {"anchor": [], "key": [], "first": [], "data": []}
-            for key, text, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                for m in members or ():
-                    rows["anchor"].append(m["anchor"])
-                    rows["key"].append(key)
-                    rows["first"].append(m["first"])
-                    rows["data"].append(data[m["first"]:m["last"] + length])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["anchor"], pa.int64()), pa.array(rows["key"], pa.int64()), pa.array(rows["first"], pa.int32()),
-                 pa.array(rows["data"], pa.binary())], names=list(rows))
+    import pyarrow as pa
 
-    return make
+    for batch in batches:
+        rows = {"anchor": [], "key": [], "first": [], "level": [], "again": [], "data": []}
+        for key, text, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            for m in members or ():
+                for c in ("anchor", "first", "level", "again"):
+                    rows[c].append(m[c])
+                rows["key"].append(key)
+                rows["data"].append(data[m["first"]:m["end"]])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -281,15 +297,32 @@ def interval_tree(lcp: list[int], left: list[int], length: int) -> tuple[list[in
     return reach, node, parent
 
 
-def _bin(length: int):
+def reach_of_others(lcp: list[int], owner: list[int]) -> list[int]:
+    """For each suffix of a suffix array, the longest prefix it shares with one of another owner."""
+    n = len(owner)
+    best, shared = [0] * n, 0
+    for i in range(1, n):
+        shared = lcp[i] if owner[i] != owner[i - 1] else min(shared, lcp[i])
+        best[i] = shared
+    shared = 0
+    for i in range(n - 2, -1, -1):
+        shared = lcp[i + 1] if owner[i] != owner[i + 1] else min(shared, lcp[i + 1])
+        best[i] = max(best[i], shared)
+    return best
+
+
+def _bin(lengths: tuple[int, int]):
     def make(table):
         import numpy as np
         import pyarrow as pa
 
         table = table.combine_chunks()
-        number, key, first = (np.asarray(table[c]) for c in ("bin", "key", "first"))
+        number, key, first, again = (np.asarray(table[c]) for c in ("bin", "key", "first", "again"))
+        level = int(number[0]) % 2 if len(number) else 0
+        length = lengths[level]
         _, once = np.unique(np.stack([key, first.astype(np.int64)], 1), axis=0, return_index=True)  # repeated rows of a text
-        key, first = key[once], first[once].astype(np.int64)
+        key, first, again = key[once], first[once].astype(np.int64), again[once].astype(bool)
+        owner = np.where(again, -1 - np.arange(len(key)), key)  # a run of several texts is another text's run to each
         data = table["data"].take(pa.array(once)).to_pylist()
         size = np.array([len(d) for d in data])
         offset = np.cumsum(size) - size
@@ -311,29 +344,35 @@ def _bin(length: int):
         lcp = [0, *(common_prefix(suffixes[a], suffixes[b]) for a, b in zip(array, array[1:]))]
         chosen = chosen[array]
         reach, node, parent = interval_tree(lcp, left[chosen].tolist(), length) if array else ([], [], [])
+        other = reach_of_others(lcp, owner[run[chosen]].tolist()) if array else []
         keep = np.array([r >= length for r in reach], bool)
         base = (int(number[0]) if len(number) else 0) << 32
         ids = np.array(node, np.int64)
         above = np.array([parent[x] if x >= 0 else -1 for x in node], np.int64)
         return pa.table({
-            "key": pa.array(key[run[chosen]][keep]), "start": pa.array((first[run] + start)[chosen][keep].astype(np.int32)),
-            "length": pa.array(np.array(reach, np.int32)[keep]), "node": pa.array(np.where(ids < 0, -1, base + ids)[keep]),
+            "key": pa.array(key[run[chosen]][keep]), "level": pa.array(np.full(keep.sum(), level, np.int32)),
+            "start": pa.array((first[run] + start)[chosen][keep].astype(np.int32)),
+            "length": pa.array(np.array(reach, np.int32)[keep]), "other": pa.array(np.array(other, np.int32)[keep]),
+            "node": pa.array(np.where(ids < 0, -1, base + ids)[keep]),
             "parent": pa.array(np.where(above < 0, -1, base + above)[keep])})
 
     return make
 
 
-def _window_hashes(length: int):
+def _window_hashes(lengths: tuple[int, int]):
     def make(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for key, first, data in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "data")), strict=True):
-                h = Hashes(data).every(length)
+            for key, first, level, again, data in zip(
+                    *(batch.column(c).to_pylist() for c in ("key", "first", "level", "again", "data")), strict=True):
+                h = Hashes(data).every(lengths[level])
+                n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array((first + np.arange(len(h))).astype(np.int32))],
-                    names=["window", "key", "start"])
+                    [pa.array(h.view(np.int64)), pa.array(np.full(n, key)), pa.array((first + np.arange(n)).astype(np.int32)),
+                     pa.array(np.full(n, level, np.int32)), pa.array(np.full(n, again))],
+                    names=["window", "key", "start", "level", "again"])
 
     return make
 
@@ -342,35 +381,43 @@ class Repeats:
     """What of a table's texts is repeated.
 
     ``texts``: a row per input row (id, sha, key, n).  ``copied``: keys of texts that occur more than once.  ``leaves``: of
-    the open anchors, each suffix with the longest prefix it shares, and its place in its bin's tree, which decides no span.
-    ``spans``: (key, spans) of the other texts, covering every byte of a window that also starts elsewhere.
+    the open anchors, each suffix with the longest prefix it shares, and shares with another text, and its place in its
+    bin's tree, which decides no span.  ``spans``: (key, spans) of the other texts.  Those of level 0 cover every byte of a
+    window of ``length`` bytes that also starts elsewhere, those of level 1 cover, at one or more places where it stands,
+    every run of windows of ``passage`` bytes that also start in another text (``spread`` finds the rest).
     ``needed``: the texts these spans are of.
     """
 
-    def __init__(self, df: DataFrame, length: int, doc_id: str, text: str):
+    def __init__(self, df: DataFrame, length: int, passage: int, doc_id: str, text: str):
         spark = df.sparkSession
         ship(spark)
+        lengths = (length, passage)
         source = df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text"))
-        read = written(spark, map_batches(source, _read(length), READ), "runs")
+        read = written(spark, map_batches(source, _read(lengths), READ), "runs")
         self.texts = read.select("id", "sha", "key", "n")
         self.copied = self.texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key")
 
-        run = F.explode(F.arrays_zip("anchor", "content", "first", "last")).alias("r")
+        def span(end, level=F.col("level")):
+            return F.struct(F.col("start").alias("a"), end.cast("int").alias("b"), level.alias("level")).alias("span")
+
+        run = F.explode(F.arrays_zip("anchor", "content", "first", "end", "level")).alias("r")
         rows = read.select("id", "key", run).select("id", "key", "r.*")
         place = F.struct("key", "first")
         kinds = rows.groupBy("anchor", "content").agg(
-            F.min(place).alias("low"), F.max(place).alias("high"), F.min(F.struct("key", "first", "last", "id")).alias("one"))
+            F.min(place).alias("low"), F.max(place).alias("high"), F.min(F.struct("key", "first", "end", "level", "id")).alias("one"))
         kinds = written(spark, kinds.select("anchor", "content", (F.col("low") != F.col("high")).alias("again"), "one.*"), "kinds")
-        settled = rows.join(kinds.filter("again").select("anchor", "content"), ["anchor", "content"], "left_semi").select(
-            "key", F.struct(F.col("first").alias("a"), (F.col("last") + length).alias("b")).alias("span"))
-        local = read.select("key", F.explode("local").alias("span"))
+        settled = rows.join(kinds.filter("again").select("anchor", "content"), ["anchor", "content"], "left_semi").withColumnRenamed(
+            "first", "start").select("key", span(F.col("end")))
+        local = read.select("key", F.explode("local").alias("l")).select("key", F.col("l.a").alias("start"), "l.b").select(
+            "key", span(F.col("b"), F.lit(0)))
         settled = written(spark, settled.unionByName(local).join(self.copied, "key", "left_anti").groupBy("key").agg(
             F.collect_set("span").alias("spans")), "settled")
 
         open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("again").alias("all")).filter(
             "kinds > 1 and not all").select("anchor", "kinds")
         members = written(spark, kinds.join(open_, "anchor"), "members")
-        asked = members.groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("members"))
+        asked = members.groupBy("id", "key").agg(
+            F.collect_list(F.struct("anchor", "first", "end", "level", "again")).alias("members"))
         # the texts that are looked at again, with what is asked of them; other texts of the same id have other keys
         of_id = read.select("id", "key").join(settled.select("key"), "key", "left_semi")
         wanted = of_id.select("id", "key", F.lit(None).cast(asked.schema["members"].dataType).alias("members")).unionByName(asked)
@@ -379,59 +426,95 @@ class Repeats:
         self.needed = written(spark, keyed.alias("s").join(wanted.alias("w"), F.col("s.id").eqNullSafe(F.col("w.id"))
                               & (F.col("s.key") == F.col("w.key"))).select("s.key", "s.text", "w.members"), "texts")
 
-        bytes_ = map_batches(self.needed.filter(F.size("members") > 0), _bytes_of_runs(length), "anchor long, key long, first int, data binary")
+        bytes_ = map_batches(self.needed.filter(F.size("members") > 0), _bytes_of_runs, RUN_BYTES)
         hot = members.groupBy("anchor").agg(F.first("kinds").alias("kinds")).filter(F.col("kinds") > MOST_RUNS).select("anchor")
         bins = max(1, members.count() // BIN_RUNS)
-        binned = bytes_.join(hot, "anchor", "left_anti").withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
-        self.leaves = written(spark, binned.select("bin", "key", "first", "data").groupBy("bin").applyInArrow(_bin(length), LEAVES), "leaves")
-        spans = self.leaves.select("key", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b")).alias("span"))
+        binned = bytes_.join(hot, "anchor", "left_anti").withColumn(
+            "bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)) * 2 + F.col("level"))  # an anchor is of one level
+        self.leaves = written(spark, binned.select("bin", "key", "first", "again", "data").groupBy("bin").applyInArrow(
+            _bin(lengths), LEAVES), "leaves")
+        spans = self.leaves.filter((F.col("level") == 0) | (F.col("other") >= passage)).select(
+            "key", span(F.col("start") + F.when(F.col("level") == 0, F.col("length")).otherwise(F.col("other"))))
         if not hot.isEmpty():
-            windows = map_batches(bytes_.join(hot, "anchor", "left_semi"), _window_hashes(length), "window long, key long, start int")
-            twice = windows.groupBy("window").agg(F.min(F.struct("key", "start")).alias("low"), F.max(F.struct("key", "start")).alias("high")).filter(
-                "low <> high").select("window")
-            spans = spans.unionByName(windows.join(twice, "window", "left_semi").select(
-                "key", F.struct(F.col("start").alias("a"), (F.col("start") + length).alias("b")).alias("span")))
+            windows = map_batches(bytes_.join(hot, "anchor", "left_semi"), _window_hashes(lengths),
+                                  "window long, key long, start int, level int, again boolean")
+            at = F.struct("key", "start")
+            twice = windows.groupBy("window", "level").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.bool_or("again").alias("many")).filter(
+                "low <> high and (level = 0 or many or low.key <> high.key)").select("window", "level")
+            spans = spans.unionByName(windows.join(twice, ["window", "level"], "left_semi").select(
+                "key", span(F.col("start") + F.when(F.col("level") == 0, length).otherwise(passage))))
         spans = spans.join(self.copied, "key", "left_anti").groupBy("key").agg(F.collect_set("span").alias("spans"))
         self.spans = spans.unionByName(settled).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _removed(batches):
-    import hashlib
+def spread(spans: list[tuple[int, int]], first, kind) -> list[tuple[int, int]]:
+    """Spans, each within the run of a text it starts in, at every run of the same kind."""
+    import numpy as np
 
-    import pyarrow as pa
+    if not spans or len(np.unique(kind)) == len(kind):
+        return spans
+    of = np.searchsorted(first, [a for a, _ in spans], "right") - 1
+    within: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), r in zip(spans, of.tolist(), strict=True):
+        within.setdefault(int(kind[r]), []).append((a - int(first[r]), b - int(first[r])))
+    within = {k: merged(v) for k, v in within.items()}
+    return [(f + a, f + b) for f, k in zip(first.tolist(), kind.tolist(), strict=True) for a, b in within.get(k, ())]
 
-    for batch in batches:
-        rows = []
-        for key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            cut = merged([(s["a"], s["b"]) for s in spans])
-            kept, at = [], 0
-            for a, b in cut:
-                kept.append(data[at:a])
-                at = b
-            kept = b"".join([*kept, data[at:]])
-            rows.append({"key": key, "n_removed": len(data) - len(kept), "n_spans": len(cut), "kept": kept,
-                         "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([
-            ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())]))
 
+REMOVED = "key long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_shared long, longest_shared long"
 
-def remove(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), a row for each row of ``df``.
+
+def _removed(passage: int):
+    def make(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            keys, texts, spans = (c.to_pylist() for c in batch.columns)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            also = [[(s["a"], s["b"]) for s in x if s["level"] == 1] for x in spans]
+            ran = _runs_of([t if x else b"" for t, x in zip(texts, also, strict=True)], passage, 1)
+            for key, data, found, others, (anchor, content, first, _) in zip(keys, texts, spans, also, ran, strict=True):
+                cut = merged([(s["a"], s["b"]) for s in found if s["level"] == 0])
+                kept, at = [], 0
+                for a, b in cut:
+                    kept.append(data[at:a])
+                    at = b
+                kept = b"".join([*kept, data[at:]])
+                shared = [b - a for a, b in merged(spread(others, first, _kinds_of(anchor, content)[1]))] if others else []
+                rows.append({"key": key, "n_removed": len(data) - len(kept), "n_spans": len(cut), "kept": kept,
+                             "kept_sha256": hashlib.sha256(kept).hexdigest(), "n_shared": sum(shared),
+                             "longest_shared": max(shared, default=0)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([
+                ("key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string()),
+                ("n_shared", pa.int64()), ("longest_shared", pa.int64())]))
+
+    return make
+
+
+def remove(df: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True,
+           passage: int = 256) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, longest_shared, kept), a row for each row of ``df``.
 
     Removed is every byte of a text's UTF-8 form (null: empty) that a string of ``length`` bytes covers which also starts
     anywhere else, in the same text or another.  ``kept`` is what remains of a text that loses some bytes but not all
     (null: unchanged or empty).  Equal rows are copies of each other.  Texts are told apart by 60 bits of their SHA-256.
+
+    ``n_shared`` counts the bytes that a string of ``passage`` bytes covers which also starts in another row's text, and
+    ``longest_shared`` those of the longest stretch of them.  They remove nothing.
     """
-    found = Repeats(df, length, doc_id, text)
-    cut = map_batches(found.needed.select("key", "text").join(found.spans, "key"), _removed,
-                      "key long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    found = Repeats(df, length, passage, doc_id, text)
+    cut = map_batches(found.needed.select("key", "text").join(found.spans, "key"), _removed(passage), REMOVED)
     cut = cut.dropDuplicates(["key"]) if with_kept else cut.drop("kept").dropDuplicates(["key"])
     out = found.texts.join(found.copied.withColumn("copied", F.lit(True)), "key", "left").join(cut, "key", "left")
     whole = F.coalesce(F.col("copied") & (F.col("n") >= length), F.lit(False))
+    shared = F.coalesce(F.col("copied") & (F.col("n") >= passage), F.lit(False))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"),
         F.when(whole, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        *(F.when(shared, F.col("n")).otherwise(F.coalesce(c, F.lit(0))).cast("bigint").alias(c) for c in ("n_shared", "longest_shared")),
         *([F.when(~whole, F.col("kept")).alias("kept")] if with_kept else []))
