@@ -175,9 +175,12 @@ def _kinds_of(anchor, content):
     """Of runs: the first of each kind, the kind of each, and how many are of each kind."""
     import numpy as np
 
-    _, once, kind, count = np.unique(
-        np.stack([anchor, content], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return once, kind.ravel(), count
+    order = np.lexsort((content, anchor))  # stable
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind, np.bincount(kind)
 
 
 def _read(lengths: tuple[int, int]):
@@ -395,32 +398,40 @@ class Repeats:
         source = df.select(df[doc_id].cast("long").alias("id"), df[text].alias("text"))
         read = written(spark, map_batches(source, _read(lengths), READ), "runs")
         self.texts = read.select("id", "sha", "key", "n")
-        self.copied = self.texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key")
+        different = self.texts.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
+        self.copied = different.filter("copies > 1").select("key")
 
-        def span(end, level=F.col("level")):
-            return F.struct(F.col("start").alias("a"), end.cast("int").alias("b"), level.alias("level")).alias("span")
+        def span(end):
+            return F.struct(F.col("start").alias("a"), end.cast("int").alias("b"), "level").alias("span")
 
         run = F.explode(F.arrays_zip("anchor", "content", "first", "end", "level")).alias("r")
         rows = read.select("id", "key", run).select("id", "key", "r.*")
-        place = F.struct("key", "first")
+        # a run equal in two texts has two keys; one of a single text has one key and one place, so plain minima name it
         kinds = rows.groupBy("anchor", "content").agg(
-            F.min(place).alias("low"), F.max(place).alias("high"), F.min(F.struct("key", "first", "end", "level", "id")).alias("one"))
-        kinds = written(spark, kinds.select("anchor", "content", (F.col("low") != F.col("high")).alias("again"), "one.*"), "kinds")
-        settled = rows.join(kinds.filter("again").select("anchor", "content"), ["anchor", "content"], "left_semi").withColumnRenamed(
-            "first", "start").select("key", span(F.col("end")))
-        local = read.select("key", F.explode("local").alias("l")).select("key", F.col("l.a").alias("start"), "l.b").select(
-            "key", span(F.col("b"), F.lit(0)))
-        settled = written(spark, settled.unionByName(local).join(self.copied, "key", "left_anti").groupBy("key").agg(
-            F.collect_set("span").alias("spans")), "settled")
+            *(F.min(c).alias(c) for c in ("key", "first", "end", "level")), (F.min("key") != F.max("key")).alias("again"))
+        kinds = written(spark, kinds.withColumn("content", F.when(F.col("again"), F.col("content"))), "kinds")
+        again = written(spark, rows.join(kinds.filter("again").select("anchor", "content"), ["anchor", "content"], "left_semi"), "again")
+
+        # copies are dropped by id and key: by key alone one text's copies would meet in one task
+        local = read.select("id", "key", F.explode("local").alias("l")).select(
+            "id", "key", F.col("l.a").alias("start"), F.col("l.b").alias("end"), F.lit(0).alias("level"))
+        settled = again.select("id", "key", F.col("first").alias("start"), "end", "level").unionByName(local).alias("s")
+        single = different.filter("copies = 1").alias("t")
+        settled = settled.join(single, F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.key") == F.col("t.key")), "left_semi")
+        settled = written(spark, settled.groupBy("key").agg(
+            F.min("id").alias("id"), F.collect_set(F.struct(
+                F.col("start").alias("a"), F.col("end").alias("b"), "level")).alias("spans")), "settled")
 
         open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_and("again").alias("all")).filter(
             "kinds > 1 and not all").select("anchor", "kinds")
-        members = written(spark, kinds.join(open_, "anchor"), "members")
-        asked = members.groupBy("id", "key").agg(
-            F.collect_list(F.struct("anchor", "first", "end", "level", "again")).alias("members"))
+        one = ["anchor", "key", "first", "end", "level", "again"]
+        several = again.groupBy("anchor", "content").agg(F.min(F.struct("key", "first", "end", "level")).alias("one"))
+        several = several.select("anchor", "one.*", F.lit(True).alias("again"))
+        members = written(spark, kinds.filter("not again").select(one).unionByName(several.select(one)).join(open_, "anchor"), "members")
+        asked = members.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "end", "level", "again")).alias("members")).join(
+            different.select("id", "key"), "key").select("id", "key", "members")
         # the texts that are looked at again, with what is asked of them; other texts of the same id have other keys
-        of_id = read.select("id", "key").join(settled.select("key"), "key", "left_semi")
-        wanted = of_id.select("id", "key", F.lit(None).cast(asked.schema["members"].dataType).alias("members")).unionByName(asked)
+        wanted = settled.select("id", "key", F.lit(None).cast(asked.schema["members"].dataType).alias("members")).unionByName(asked)
         wanted = wanted.groupBy("id", "key").agg(F.flatten(F.collect_list("members")).alias("members"))
         keyed = source.withColumn("key", F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 15), 16, 10).cast("long"))
         self.needed = written(spark, keyed.alias("s").join(wanted.alias("w"), F.col("s.id").eqNullSafe(F.col("w.id"))
@@ -444,7 +455,7 @@ class Repeats:
             spans = spans.unionByName(windows.join(twice, ["window", "level"], "left_semi").select(
                 "key", span(F.col("start") + F.when(F.col("level") == 0, length).otherwise(passage))))
         spans = spans.join(self.copied, "key", "left_anti").groupBy("key").agg(F.collect_set("span").alias("spans"))
-        self.spans = spans.unionByName(settled).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        self.spans = spans.unionByName(settled.select("key", "spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def spread(spans: list[tuple[int, int]], first, kind) -> list[tuple[int, int]]:
