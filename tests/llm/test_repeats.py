@@ -143,3 +143,20 @@ def test_reach_of_others_and_spread():
     assert reach_of_others([0, 5, 3, 9, 2], [1, 1, 2, 2, 1]) == [3, 3, 3, 3, 2]
     assert spread([(3, 8), (6, 9)], np.array([0, 5, 20]), np.array([7, 4, 7])) == [(3, 8), (6, 9), (23, 28)]
     assert spread([(3, 8)], np.array([0, 5]), np.array([1, 0])) == [(3, 8)]
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_part_of_a_passage_beside_the_whole_of_it(spark, monkeypatch, most):
+    """A text holds a passage of another text, and a part of it again: the part is shared too, whichever text stands for the passage."""
+    monkeypatch.setattr(repeats, "MOST_RUNS", most)
+    rng = random.Random(21)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    rows = []
+    for i in range(12):
+        p = some(90)
+        rows += [(2 * i, f"{some(30)}{p}{some(30)}{p[38:55]}{some(30)}", "c"), (2 * i + 1, f"{some(40)}{p}{some(10)}", "c")]
+    found = remove(spark.createDataFrame(rows, SCHEMA), 20, passage=14).collect()
+    assert Counter((r.doc_id, r.n_shared, r.longest_shared) for r in found) == brute_shared(rows, 14)
